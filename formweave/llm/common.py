@@ -62,6 +62,8 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
 def text_bytes(batch: pa.RecordBatch, column: str = "text") -> tuple[bytes, np.ndarray]:
     """All texts as one bytes object, and the offsets of each."""
     values = batch[column].cast(pa.large_binary())
+    if values.null_count:
+        values = pc.fill_null(values, b"")
     start = np.frombuffer(values.buffers()[1], np.int64, len(values) + 1, values.offset * 8)
     body = values.buffers()[2]
     return (body[int(start[0]) : int(start[-1])].to_pybytes() if body else b""), start - start[0]

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from .langid import op9_language_id
+from .mixing import op4_mixing
+from .packing import op5_best_fit_packing
+from .pii import op3_pii_pseudonyms
 from .simhash import op10_simhash_near_dedup
 
 QUERIES = {
+    "op3_pii_pseudonyms": op3_pii_pseudonyms,
+    "op4_mixing": op4_mixing,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op9_language_id": op9_language_id,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
