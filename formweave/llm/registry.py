@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+from .collisions import op6_embedding_near_dedup
+from .debruijn import op2_debruijn_dedup
 from .langid import op9_language_id
+from .maxscore import SQL as MAXSCORE_SQL
+from .maxscore import op1_maxscore_topk
 from .mixing import op4_mixing
 from .packing import op5_best_fit_packing
 from .pii import op3_pii_pseudonyms
 from .simhash import op10_simhash_near_dedup
+from .suffixes import op7_suffix_array_dedup
 
 QUERIES = {
+    "op1_maxscore_topk": op1_maxscore_topk,
+    "op2_debruijn_dedup": op2_debruijn_dedup,
     "op3_pii_pseudonyms": op3_pii_pseudonyms,
     "op4_mixing": op4_mixing,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op9_language_id": op9_language_id,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_maxscore_topk": MAXSCORE_SQL,
+}
