@@ -5,6 +5,7 @@ from __future__ import annotations
 from .collisions import op6_embedding_near_dedup
 from .debruijn import op2_debruijn_dedup
 from .langid import op9_language_id
+from .lm import op8_lm_scores
 from .maxscore import SQL as MAXSCORE_SQL
 from .maxscore import op1_maxscore_topk
 from .mixing import op4_mixing
@@ -21,6 +22,7 @@ QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
+    "op8_lm_scores": op8_lm_scores,
     "op9_language_id": op9_language_id,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }

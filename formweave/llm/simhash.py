@@ -44,8 +44,8 @@ def majority_bits(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.packbits(set_, axis=1, bitorder="little").view("<u8").ravel()
 
 
-def fingerprints(docs: DataFrame, size: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id long, fp long) of every row: SimHash over lower-cased (A-Z) word shingles, repeats included.
+def fingerprints(docs: DataFrame, size: int = 4, seed: int = 42, *more: str) -> DataFrame:
+    """(doc_id long, fp long, and the long columns named) of every row: SimHash over lower-cased (A-Z) word shingles, repeats included.
 
     Null, empty and blank texts have the fingerprint zero; fewer words than `size` make one shingle.
     """
@@ -53,9 +53,9 @@ def fingerprints(docs: DataFrame, size: int = 4, seed: int = 42) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, limit=1 << 20):
             fp = majority_bits(*shingle_hashes(*text_bytes(batch), size, seed))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fp.view(np.int64)), *(batch[c] for c in more)], names=["doc_id", "fp", *more])
 
-    return texts_only(docs).mapInArrow(run, "doc_id long, fp long")
+    return texts_only(docs, *more).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *more)))
 
 
 def block_keys(fp, blocks: int, equal: int) -> list:
@@ -99,7 +99,7 @@ def close_pairs(distance: int):
 
 
 def near_groups(prints: DataFrame, distance: int = 4, blocks: int = 6) -> DataFrame:
-    """(doc_id, fp, component_id) for (doc_id, fp): the smallest doc_id that links reach.
+    """prints (doc_id, fp and more) with component_id, the smallest doc_id that links reach, and the group's number.
 
     Fingerprints within `distance` bits agree on at least blocks - distance of the blocks, so that each choice
     of that many blocks is a join key that together find every link. More blocks make longer keys, for more
@@ -110,10 +110,24 @@ def near_groups(prints: DataFrame, distance: int = 4, blocks: int = 6) -> DataFr
     classes = keep(prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID) + F.pmod(F.xxhash64("fp"), F.lit(1 << 44))).alias("node")), "classes")
     keyed = classes.select("fp", "node", F.explode(F.array(*block_keys(F.col("fp"), blocks, blocks - distance))).alias("x")).select("x.t", "x.key", "fp", "node")
     links = in_groups(keyed, ["t", "key"], close_pairs(distance), "a long, b long")
-    found = connected_components(links)
-    named = classes.join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
-    named = named.select("fp", F.coalesce("component", "node").alias("c")).select("fp", F.when(F.col("c") < NO_ID, F.col("c")).alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    found = connected_components(links).withColumnRenamed("node", "n")
+    named = classes.join(found, F.col("node") == F.col("n"), "left").select("fp", F.coalesce("component", "node").alias("group"))
+    return prints.join(named, "fp").withColumn("component_id", F.when(F.col("group") < NO_ID, F.col("group"))).select(*prints.columns, "component_id", "group")
+
+
+def one_of_each(docs: DataFrame, size: int = 4, seed: int = 42, distance: int = 4, blocks: int = 6) -> DataFrame:
+    """docs with one row of each group of near-duplicates: that with the smallest doc_id (null ids last)."""
+    digest = F.xxhash64("text")
+    prints = keep(fingerprints(docs.withColumn("_digest", digest), size, seed, "_digest"), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("_digest").alias("digest"))
+    chosen = near_groups(prints, distance, blocks).groupBy("group").agg(F.min(first).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.digest").alias("_of"))
+    docs_ = docs.withColumn("_digest", digest)
+    kept = docs_.join(chosen, docs_["doc_id"].cast("long").eqNullSafe(chosen["_id"]) & (docs_["_digest"] == chosen["_of"]))
+    # rows alike in id and text are one group: the first of them by their other columns stays
+    from pyspark.sql import Window as W
+
+    order = W.partitionBy("_id", "_of").orderBy(*(F.col(c) for c, t in docs.dtypes if c != "text" and not t.startswith(("map", "variant"))))
+    return kept.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(docs.columns)
 
 
 def simhash_near_dedup(docs: DataFrame, size: int = 4, seed: int = 42, distance: int = 4, blocks: int = 6) -> DataFrame:

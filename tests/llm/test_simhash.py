@@ -3,7 +3,7 @@ import re
 
 import xxhash
 
-from formweave.llm.simhash import near_groups, simhash_near_dedup
+from formweave.llm.simhash import near_groups, one_of_each, simhash_near_dedup
 
 
 def words_of(text):
@@ -77,3 +77,14 @@ def test_null_ids_repeated_rows_and_no_rows(spark):
     df = spark.createDataFrame([(None, "a b"), (4, "a b"), (4, "a b"), (None, "zz yy xx ww vv uu")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in simhash_near_dedup(df).collect()) == [(0, 0), (0, 4), (4, 4), (4, 4)]
     assert simhash_near_dedup(df.limit(0)).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    texts = corpus()
+    rows = [(i, t, "de", len(t or "")) for i, t in enumerate(texts)] + [(3, texts[3], "de", 9), (None, texts[4], "x", 1), (None, "never seen words before these", "x", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long")
+    want = {i for i, c in brute_groups({i: brute_print(t) for i, t in enumerate(texts)}).items() if i == c}
+    out = one_of_each(df)
+    assert out.columns == df.columns
+    assert sorted(r.doc_id if r.doc_id is not None else -1 for r in out.collect()) == sorted([-1, *want])
+    assert one_of_each(df.limit(0)).count() == 0
