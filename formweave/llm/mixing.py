@@ -130,7 +130,7 @@ def taken_words(documents: DataFrame, **options) -> DataFrame:
     """doc_id, size, source, source_size, target, taken for every row of documents: the words that the mix takes."""
     slots, segments = mix_plan(documents, **options)
     uses = slots.groupBy("sid", "block").agg(F.count("*").alias("uses"))
-    of = segments.join(uses, ["sid", "block"], "left")
+    of = segments.join(uses.hint("merge"), ["sid", "block"], "left")
     row = ["doc_id", "digest", "sid", "source", "before", "size", "source_size", "target"]
     # equal rows of size 0 share all of these columns: count() brings each of them back
     of = of.groupBy(*row).agg(F.sum(F.coalesce((F.col("end") - F.col("begin")) * F.col("uses"), F.lit(0))).alias("taken"), F.sum(F.when(F.col("size") == 0, 1).otherwise(0)).alias("_n"))
@@ -145,7 +145,7 @@ def mix_documents(documents: DataFrame, **options) -> DataFrame:
     where parts are left out between them. Rows that the mix takes nothing of, and rows without words, go.
     """
     slots, segments = mix_plan(documents, **options)
-    used = segments.join(slots.select("sid", "block", "pass_no"), ["sid", "block"])
+    used = segments.join(slots.select("sid", "block", "pass_no").hint("merge"), ["sid", "block"])
     spans = used.groupBy("doc_id", "source", "digest", "before", "pass_no").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
     # equal rows (same id, source and text) are numbered, so that each meets its own place in the source
     from pyspark.sql import Window as W
