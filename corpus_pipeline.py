@@ -1,7 +1,8 @@
 """Corpus pipeline: language ID, near-duplicates, pseudonyms, mixing and packing, each on all that the one before kept.
 
 It belongs to formweave.llm. Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
-Parquet and read again as the next stage's docs; all but the last return the columns of documents.
+Parquet and read again as the next stage's docs; all but the last return the columns of documents. Extra columns come
+through as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formweave.llm.common import keep, load
+from formweave.llm.common import aside, keep, load, restored
 from formweave.llm.langid import UNKNOWN, identify, learned_from
 from formweave.llm.mixing import mix_documents
 from formweave.llm.packing import best_fit_packing
@@ -19,8 +20,8 @@ from formweave.llm.simhash import one_of_each
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language; those without text or any letter, for which none can be named, go."""
-    found = identify(docs, learned_from(docs))
-    return found.where(F.col("lang_pred") != UNKNOWN).select(docs.columns)
+    found = identify(aside(docs, "text"), learned_from(docs))
+    return restored(found.where(F.col("lang_pred") != UNKNOWN), docs.columns, "text")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,11 +31,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with personal values replaced; n_chars follows the text."""
-    found = pseudonymise(docs)
+    found, size = pseudonymise(aside(docs, "text")), {}
     if "n_chars" in docs.columns:
-        size = F.when(F.col("n_pseudonyms") > 0, F.length("text")).otherwise(F.col("n_chars"))
-        found = found.withColumn("n_chars", size.cast(docs.schema["n_chars"].dataType))
-    return found.select(docs.columns)
+        before = F.col(f"_rest.c{docs.columns.index('n_chars')}")
+        after = F.when(F.col("n_pseudonyms") > 0, F.length("text")).otherwise(before)
+        size = {"n_chars": after.cast(docs.schema["n_chars"].dataType)}
+    return restored(found, docs.columns, "text", **size)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,6 +46,18 @@ def texts_only(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def aside(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns, and all others in one struct `_rest`: no extra column clashes with one of an operator's own."""
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in names]
+    return docs.select(*names, F.struct(F.lit(0).alias("none"), *others).alias("_rest"))
+
+
+def restored(df: DataFrame, columns: list[str], *names: str, **replaced: Column) -> DataFrame:
+    """`columns` of the docs given to aside(docs, *names), but for those replaced."""
+    where = {c: F.col(c) if c in names else F.col(f"_rest.c{i}") for i, c in enumerate(columns)} | replaced
+    return df.select(*(where[c].alias(c) for c in columns))
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows in order, cut into batches of about `limit` bytes of `column`."""
     for batch in batches:

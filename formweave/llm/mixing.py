@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import exact_rank, keep, load, mix, pieces, text_bytes, words
+from .common import aside, exact_rank, keep, load, mix, pieces, restored, text_bytes, words
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BLOCK_WORDS = 128
@@ -142,7 +142,8 @@ def mix_documents(documents: DataFrame, **options) -> DataFrame:
     """The rows of documents as the mix takes them, with all columns: text has the words taken, n_chars their length.
 
     A row stands once for each pass that takes any of its words, with these words in order, joined by one space
-    where parts are left out between them. Rows that the mix takes nothing of, and rows without words, go.
+    where parts are left out between them. Rows that the mix takes nothing of, and rows without words, go. Other
+    columns stay as they are, whatever their names.
     """
     slots, segments = mix_plan(documents, **options)
     used = segments.join(slots.select("sid", "block", "pass_no").hint("merge"), ["sid", "block"])
@@ -154,10 +155,10 @@ def mix_documents(documents: DataFrame, **options) -> DataFrame:
     place = segments.where("size > 0").select(*by_text, "before").distinct().withColumn("_k", F.row_number().over(W.partitionBy(*by_text).orderBy("before"))).withColumnRenamed("before", "_at")
     spans = spans.join(place, [spans[c].eqNullSafe(place[c]) for c in by_text] + [spans["before"] == place["_at"]]).select(*(spans[c] for c in by_text), "_k", "pass_no", "spans")
     spans = spans.select(*(F.col(c).alias(f"_{c}") for c in by_text), F.col("_k").alias("_k2"), "pass_no", "spans")
-    docs = documents.withColumns({"_id": F.col("doc_id").cast("long"), "_d": F.xxhash64("text")})
+    docs = aside(documents, "doc_id", "source", "text").withColumns({"_id": F.col("doc_id").cast("long"), "_d": F.xxhash64("text")})
     docs = docs.withColumn("_k", F.row_number().over(W.partitionBy("_id", "source", "_d").orderBy("_d")))
     joined = docs.join(spans, docs["_id"].eqNullSafe(spans["_doc_id"]) & docs["source"].eqNullSafe(spans["_source"]) & (docs["_d"] == spans["_digest"]) & (docs["_k"] == spans["_k2"]))
-    joined = joined.select(*(docs[c] for c in documents.columns), "spans")
+    joined = joined.select(*(docs[c] for c in ("doc_id", "source", "text", "_rest")), "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -175,8 +176,9 @@ def mix_documents(documents: DataFrame, **options) -> DataFrame:
             columns = {n: c for n, c in zip(batch.schema.names, batch.columns) if n != "spans"} | {"text": pa.array(out, pa.string())}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    out = joined.mapInArrow(cut, T.StructType(documents.schema.fields))
-    return out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in documents.columns else out
+    out = joined.mapInArrow(cut, T.StructType(joined.drop("spans").schema.fields))
+    size = {"n_chars": F.length("text").cast(documents.schema["n_chars"].dataType)} if "n_chars" in documents.columns else {}
+    return restored(out, documents.columns, "doc_id", "source", "text", **size)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

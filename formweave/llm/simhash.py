@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, load, longs, pieces, ragged, text_bytes, texts_only, tidy, words
+from .common import aside, keep, load, longs, pieces, ragged, restored, text_bytes, texts_only, tidy, words
 from .components import connected_components, forest, in_groups
 
 #: Nodes of classes whose doc_ids are all null lie above this; they name no component.
@@ -116,18 +116,21 @@ def near_groups(prints: DataFrame, distance: int = 4, blocks: int = 6) -> DataFr
 
 
 def one_of_each(docs: DataFrame, size: int = 4, seed: int = 42, distance: int = 4, blocks: int = 6) -> DataFrame:
-    """docs with one row of each group of near-duplicates: that with the smallest doc_id (null ids last)."""
-    digest = F.xxhash64("text")
-    prints = keep(fingerprints(docs.withColumn("_digest", digest), size, seed, "_digest"), "fingerprints")
+    """docs with one row of each group of near-duplicates: that with the smallest doc_id (null ids last).
+
+    All columns of docs come back as they are, whatever their names.
+    """
+    boxed = aside(docs, "doc_id", "text").withColumn("_digest", F.xxhash64("text"))
+    prints = keep(fingerprints(boxed, size, seed, "_digest"), "fingerprints")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("_digest").alias("digest"))
     chosen = near_groups(prints, distance, blocks).groupBy("group").agg(F.min(first).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.digest").alias("_of"))
-    docs_ = docs.withColumn("_digest", digest)
-    kept = docs_.join(chosen, docs_["doc_id"].cast("long").eqNullSafe(chosen["_id"]) & (docs_["_digest"] == chosen["_of"]))
+    kept = boxed.join(chosen, boxed["doc_id"].cast("long").eqNullSafe(chosen["_id"]) & (boxed["_digest"] == chosen["_of"]))
     # rows alike in id and text are one group: the first of them by their other columns stays
     from pyspark.sql import Window as W
 
-    order = W.partitionBy("_id", "_of").orderBy(*(F.col(c) for c, t in docs.dtypes if c != "text" and not t.startswith(("map", "variant"))))
-    return kept.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(docs.columns)
+    others = [F.col(f"_rest.c{i}") for i, (c, t) in enumerate(docs.dtypes) if c not in ("doc_id", "text") and "map<" not in t and "variant" not in t]
+    order = W.partitionBy("_id", "_of").orderBy("doc_id", *others)
+    return restored(kept.withColumn("_n", F.row_number().over(order)).where("_n = 1"), docs.columns, "doc_id", "text")
 
 
 def simhash_near_dedup(docs: DataFrame, size: int = 4, seed: int = 42, distance: int = 4, blocks: int = 6) -> DataFrame:

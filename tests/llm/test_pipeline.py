@@ -21,6 +21,26 @@ def rows():
     return out + [(300, None, None, "s0"), (301, "", "en", "s0"), (302, "123 456 !!", "en", None)]
 
 
+def test_clashing_and_extra_columns_come_through(spark, tmp_path):
+    extra = ["score", "lang_pred", "n_pseudonyms", "kinds", "_rest", "_k", "_id", "_d", "spans", "_digest", "group", "pass_no"]
+    more = [("u", "v"), ("w", None)]
+    data = [(i, t, x, s, len(t or ""), *(f"{c}{i}" for c in extra), [(k, v) for k, v in more] if i % 2 else None) for i, t, x, s in rows()]
+    schema = "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"`{c}` string" for c in extra) + ", tags array<struct<k:string,v:string>>"
+    df = spark.createDataFrame(data, schema)
+    docs = df
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.dtypes == df.dtypes
+        got = docs.drop("text", "n_chars").collect()
+        assert got and all(r[c] == f"{c}{r.doc_id}" for r in got for c in extra)
+        assert all((r.tags is not None) == bool(r.doc_id % 2) for r in got)
+    empty = df.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty_ = stage(spark, empty, str(tmp_path))
+        assert empty_.count() == 0
+
+
 def test_stages_and_their_decisions(spark, tmp_path):
     data = [(i, t, x, s, len(t or "")) for i, t, x, s in rows()]
     df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")

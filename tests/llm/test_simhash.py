@@ -88,3 +88,10 @@ def test_one_row_of_each_group_stays(spark):
     assert out.columns == df.columns
     assert sorted(r.doc_id if r.doc_id is not None else -1 for r in out.collect()) == sorted([-1, *want])
     assert one_of_each(df.limit(0)).count() == 0
+
+
+def test_clashing_columns_come_back_as_they_are(spark):
+    names = ["_digest", "_id", "_of", "_n", "group", "_rest", "fp", "component_id"]
+    rows = [(1, "a b c d e", *"abcdefgh"), (2, "a b c d e", *"ijklmnop"), (3, None, *"qrstuvwx")]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    assert sorted(map(tuple, one_of_each(df).collect())) == [rows[0], rows[2]]
