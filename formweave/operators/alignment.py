@@ -144,16 +144,21 @@ def segment(words: list[str], listed: dict[str, frozenset[str]] | None = None, c
     return runs, fits
 
 
-def segment_forms(forms: DataFrame, text: str, listed: dict[str, set[str]] | None = None) -> DataFrame:
+def segment_forms(forms: DataFrame, text: str, listed: dict[str, set[str]] | None = None, cells: bool = False) -> DataFrame:
     """forms with values map<string,string> (field to words) and overflow (no assignment covers all words).
 
     listed has known values of some fields (state, card type, agent); at most MOST_LISTED in all, which is checked.
-    A text with more words than all fields can take has overflow set and every value empty.
+    A text with more words than all fields can take has overflow set and every value empty. With `cells` the column
+    has an array of cell texts, of which fields take whole ones; blank cells are left out.
     """
     known = {k: frozenset(x.strip().upper() for x in v if x and x.strip()) for k, v in (listed or {}).items()}
     if sum(map(len, known.values())) > MOST_LISTED:
         raise ValueError(f"more than {MOST_LISTED} known values")
-    rows = forms.withColumn("_words", tokens(F.coalesce(F.col(text), F.lit(""))))
+    if cells:
+        units = F.transform(F.coalesce(F.col(text), F.array().cast("array<string>")), lambda c: tokens(F.coalesce(c, F.lit(""))))
+        rows = forms.withColumn("_words", F.filter(units, lambda c: F.size(c) > 0))
+    else:
+        rows = forms.withColumn("_words", tokens(F.coalesce(F.col(text), F.lit(""))))
     most_words, kept = sum(f[5] + 1 for f in LOCATED), forms.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +168,9 @@ def segment_forms(forms: DataFrame, text: str, listed: dict[str, set[str]] | Non
                 if len(words) > most_words:
                     runs, fits = [(0, 0)] * len(LOCATED), False
                 else:
-                    runs, fits = segment(words, known)
+                    runs, fits = segment([], known, words) if cells else segment(words, known)
+                if cells:
+                    words = [" ".join(c) for c in words]
                 values.append([(f[0], " ".join(words[b:e]) if fits else "") for f, (b, e) in zip(LOCATED, runs)])
                 overflow.append(not fits)
             columns = [pa.array(values, pa.map_(pa.string(), pa.string())), pa.array(overflow)]

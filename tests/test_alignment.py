@@ -110,6 +110,10 @@ def test_segment_covers_all_words_or_says_that_it_cannot(spark):
     assert not got[3].overflow and not any(got[4].values.values())
     cells = [["L_I@60001"], ["L-Max@LifeIns_21-1001"], ["1/2/2020"], *[[w] for w in FORM.split()[3:]]]
     assert segment([], cells=cells)[0] == runs
+    rows = [(1, [w[0] for w in cells]), (2, [" ", *(w[0] for w in cells), None]), (3, None), (4, ["x"] * 500)]
+    of = {r.form_id: r for r in segment_forms(spark.createDataFrame(rows, "form_id int, t array<string>"), "t", cells=True).collect()}
+    assert of[1]["values"] == got[1]["values"] == of[2]["values"] and not of[1].overflow
+    assert of[4].overflow and not any(of[4]["values"].values()) and not any(of[3]["values"].values())
 
 
 def test_catalog(spark):
