@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formweave.llm.common import aside, keep, load, restored
+from formweave.llm.alike import alike_groups
+from formweave.llm.common import aside, keep, load, restored, texts_only
 from formweave.llm.langid import UNKNOWN, identify, learned_from
 from formweave.llm.mixing import mix_documents
 from formweave.llm.packing import best_fit_packing
 from formweave.llm.pii import pseudonymise
-from formweave.llm.simhash import one_of_each
+from formweave.llm.simhash import first_of_groups
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +26,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
-    return one_of_each(docs)
+    """The document with the smallest id of each group that similarities of 0.8 or more of 5-word shingles join."""
+    boxed = aside(docs, "doc_id", "text").withColumn("_digest", F.xxhash64("text"))
+    return first_of_groups(docs, boxed, alike_groups(texts_only(boxed, "_digest")))
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -122,14 +122,21 @@ def one_of_each(docs: DataFrame, size: int = 4, seed: int = 42, distance: int =
     """
     boxed = aside(docs, "doc_id", "text").withColumn("_digest", F.xxhash64("text"))
     prints = keep(fingerprints(boxed, size, seed, "_digest"), "fingerprints")
+    return first_of_groups(docs, boxed, near_groups(prints, distance, blocks))
+
+
+def first_of_groups(docs: DataFrame, boxed: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The row of docs with the smallest doc_id in each group of grouped (doc_id, _digest, group); boxed: docs set aside, with _digest."""
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("_digest").alias("digest"))
-    chosen = near_groups(prints, distance, blocks).groupBy("group").agg(F.min(first).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.digest").alias("_of"))
-    kept = boxed.join(chosen, boxed["doc_id"].cast("long").eqNullSafe(chosen["_id"]) & (boxed["_digest"] == chosen["_of"]))
+    chosen = grouped.groupBy("group").agg(F.min(first).alias("x")).select(F.coalesce("x.doc_id", F.lit(0)).alias("_id"), F.col("x.none").alias("_none"), F.col("x.digest").alias("_digest"))
+    # joined and ranked by the same columns: texts are shuffled once
+    same = ["_id", "_none", "_digest"]
+    kept = boxed.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_none": F.col("doc_id").cast("long").isNull()}).join(chosen, same)
     # rows alike in id and text are one group: the first of them by their other columns stays
     from pyspark.sql import Window as W
 
     others = [F.col(f"_rest.c{i}") for i, (c, t) in enumerate(docs.dtypes) if c not in ("doc_id", "text") and "map<" not in t and "variant" not in t]
-    order = W.partitionBy("_id", "_of").orderBy("doc_id", *others)
+    order = W.partitionBy(*same).orderBy("doc_id", *others)
     return restored(kept.withColumn("_n", F.row_number().over(order)).where("_n = 1"), docs.columns, "doc_id", "text")
 
 
