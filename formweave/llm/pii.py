@@ -168,12 +168,18 @@ FIND = re.compile(
     r"|(?P<secret>(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:password|passwd|secret|token|api_key) ?[=:] ?\"?[A-Za-z0-9+/_\-]{8,128})"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
     r"|(?P<ip>(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z])(?!\.[0-9]))"
-    r"|(?P<date>(?<![0-9A-Za-z./\-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4})(?![0-9A-Za-z]))"
+    r"|(?P<date>(?<![0-9A-Za-z./\-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4})(?![0-9A-SU-Za-z])(?!T(?![0-9]{2}:?[0-9]{2})))"
     r"|(?P<card>(?<![0-9A-Za-z])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9A-Za-z]))"
     r"|(?P<phone>(?<![0-9A-Za-z])(?:\+?1[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\+1[0-9]{10}(?![0-9A-Za-z]))"
     r"|(?P<ssn>(?<![0-9A-Za-z\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z\-]))"
 )
 MAY_HOLD = re.compile("[0-9@]")
+#: The alternatives of FIND, each by itself.
+EACH = {re.match(r"\(\?P<(\w+)>", part)[1]: re.compile(part) for part in re.split(r"\|(?=\(\?P<)", FIND.pattern)}
+#: No card is written in groups like a phone number's, so the phone comes first.
+ORDER = ("email", "secret", "iban", "ip", "date", "phone", "card", "ssn")
+#: Kinds that take in what stands beside them, where a value can also end before the end of the match.
+SHORTER = {"card": re.compile("(?<=[0-9])(?=[ \\-])"), "iban": re.compile("(?<=[0-9A-Z])(?= )")}
 
 
 def pseudonymiser(key: bytes) -> Callable[[str], tuple[str, list[str]]]:
@@ -184,18 +190,30 @@ def pseudonymiser(key: bytes) -> Callable[[str], tuple[str, list[str]]]:
     def new(kind: str, s: str) -> str | None:
         return MAKE[kind](s, permute)
 
+    def best(text: str, start: int) -> tuple[str, int, str] | None:
+        """Kind, end and pseudonym of the first valid value at start: kinds in ORDER, of each the longest."""
+        for kind in ORDER:
+            if m := EACH[kind].match(text, start):
+                ends = [x.start() for x in SHORTER[kind].finditer(text, start, m.end())] if kind in SHORTER else []
+                for end in [m.end(), *reversed(ends)]:
+                    if (put := new(kind, text[start:end])) is not None:
+                        return kind, end, put
+        return None
+
     def run(text: str) -> tuple[str, list[str]]:
         if not MAY_HOLD.search(text):
             return text, []
         kinds, out, at, begin = [], [], 0, 0
         while m := FIND.search(text, at):
-            put = new(m.lastgroup, m[0])
+            kind, end, put = m.lastgroup, m.end(), new(m.lastgroup, m[0])
+            if put is None or kind == "card":
+                kind, end, put = best(text, m.start()) or (kind, end, None)
             if put is None:  # looks alike but is not valid: another kind may begin within
                 at = m.start() + 1
                 continue
-            kinds.append(m.lastgroup)
+            kinds.append(kind)
             out += [text[begin : m.start()], put]
-            at = begin = m.end()
+            at = begin = end
         return "".join([*out, text[begin:]]), kinds
 
     return run

@@ -57,3 +57,17 @@ def test_rows_columns_and_edges(spark):
     assert [r.n_pseudonyms for r in got] == [2, 2, 0, 0, 1] and got[2].text is None and got[3].text == ""
     assert got[0] == got[1] and len({m[0] for r in got if r.text for m in FIND.finditer(r.text)}) == 1
     assert pseudonymise(out.limit(0)).count() == 0
+
+
+def test_values_beside_other_digits_are_found():
+    for value, after, kind in (
+        ("4111 1111 1111 1111", " 12/25", "card"), ("4111111111111111", " 123", "card"), ("4111-1111-1111-1111", " 12/2025 123", "card"),
+        ("AT61 1904 3002 3457 3201", " EUR", "iban"), ("AT61 1904 3002 3457 3201", " 2000", "iban"), ("DE89 3704 0044 0532 0130 00", " EUR", "iban"),
+        ("2024-02-29", "T10:15:00Z", "date"), ("2024-02-29", "T1015", "date"),
+    ):
+        text, kinds = change(f"see {value}{after}, ok")
+        assert text == f"see {one(value)}{after}, ok" and kinds == [kind] and value not in text, value + after
+    for i in range(50):
+        a, b = f"555-223-{4500 + i}", f"555-987-{6500 + i}"
+        assert change(f"call {a} {b} now") == (f"call {one(a)} {one(b)} now", ["phone", "phone"])
+    assert one("2024-02-29Tx") == "2024-02-29Tx"
