@@ -105,17 +105,6 @@ def prefixes(texts: DataFrame, size: int, seed: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, "key long, node long, n int, room int")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """keep(df, name); the shuffle files of its making go at once, not when the driver happens to collect its garbage."""
-    conf, option = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(option, None)
-    conf.set(option, "true")
-    try:
-        return keep(df, name)
-    finally:
-        conf.unset(option) if before is None else conf.set(option, before)
-
-
 def possible(marks: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose marks (node, n, mark) leave room for the similarity, with the bits that differ."""
     both = pairs.join(marks.toDF("a", "_n", "one"), "a").join(marks.toDF("b", "_m", "two"), "b")
@@ -141,7 +130,7 @@ def alike(texts: DataFrame, pairs: DataFrame, size: int, seed: int) -> DataFrame
             rows = rows[np.sort(np.unique(node[rows], return_index=True)[1])]
             yield pa.RecordBatch.from_arrays([pa.array(node[rows]), listed(h[ragged((np.cumsum(n) - n)[rows], n[rows])], n[rows])], names=["node", "set"])
 
-    sets = stored(texts.select("text").mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"]), "sets")
+    sets = keep(texts.select("text").mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"]), "sets")
     both = pairs.join(sets.toDF("a", "one"), "a").join(sets.toDF("b", "two"), "b")
     overlap = F.size(F.array_intersect("one", "two"))
     return both.where((UP + DOWN) * overlap >= UP * (F.size("one") + F.size("two"))).select("a", "b")
@@ -171,17 +160,17 @@ def alike_groups(texts: DataFrame, size: int = 5, seed: int = 42) -> DataFrame:
     marks = rows.select("node", "n", "mark").dropDuplicates(["node"])
     by = W.partitionBy("key").orderBy("node").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     ends = {"a": F.first("node").over(by), "_n": F.first("n").over(by), "_room": F.first("room").over(by), "_z": F.last("node").over(by)}
-    shared = stored(prefixes(texts, size, seed).withColumns(ends).where("a < _z").drop("_z").distinct(), "shared")
+    shared = keep(prefixes(texts, size, seed).withColumns(ends).where("a < _z").drop("_z").distinct(), "shared")
     room = (UP + DOWN) * F.least("room", "_room").cast("long") >= UP * (F.col("n").cast("long") + F.col("_n"))
     star = shared.where((F.col("node") != F.col("a")) & room).select("a", F.col("node").alias("b")).distinct()
     nearest = F.min_by("a", F.struct(F.col("differ") / F.col("size"), "a")).alias("a")
-    star = stored(possible(marks, star).groupBy("b").agg(nearest).select("a", "b"), "star")
-    links = stored(alike(texts, star, size, seed), "links")
+    star = keep(possible(marks, star).groupBy("b").agg(nearest).select("a", "b"), "star")
+    links = keep(alike(texts, star, size, seed), "links")
     found = connected_components(links)
-    placed = stored(shared.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("key", "node", "n", "room", F.coalesce("component", "node").alias("component")), "placed")
+    placed = keep(shared.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("key", "node", "n", "room", F.coalesce("component", "node").alias("component")), "placed")
     several = placed.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_z")).where("_a < _z").select("key")
     rest = in_groups(placed.join(several, "key"), ["key"], apart, "a long, b long").distinct()
-    rest = stored(possible(marks, rest.join(star, ["a", "b"], "left_anti")).select("a", "b"), "rest")
+    rest = keep(possible(marks, rest.join(star, ["a", "b"], "left_anti")).select("a", "b"), "rest")
     if not rest.isEmpty():
         found = connected_components(links.union(alike(texts, rest, size, seed)))
     group = F.coalesce("component", "node").alias("group")

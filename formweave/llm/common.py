@@ -26,19 +26,40 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Without the cluster's setting (tests) it is a local one."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a local session without it gets a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="formweave-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: short lineage that survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes df to the shared folder and reads it again: short lineage that survives lost executors.
+
+    The shuffle files of its making go at once, not when the driver happens to collect its garbage.
+    """
+    spark, option = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(option, None)
+    spark.conf.set(option, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(option) if before is None else spark.conf.set(option, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of keep() that nothing will read any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._kept_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def texts_only(docs: DataFrame, *more: str) -> DataFrame:

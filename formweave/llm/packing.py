@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -17,18 +18,48 @@ from .common import exact_rank, keep, load, pieces, texts_only
 
 CAPACITY = 2048
 END_ID = 0
-ROUNDS = 20
+ROUNDS = 4
+#: How often in a round a length may fail to find others that fill the rest.
+TRIES = 4
+#: Others are chosen by how many are left and by this power of their length, so that short ones remain for last gaps.
+POWER = 12
+#: Portions of the pieces that the rounded program may place.
+PORTIONS = (1.0, 0.9, 0.4, 0.2, 0.1, 0.0)
+
+
+#: White space that long is left to the tokenizers file: the fast encoder's pattern goes too deep there.
+LONG_BLANK = re.compile(r"\s{2000}")
 
 
 @lru_cache(2)
 def encoder(name: str = "byte_bpe_50k") -> Callable[[str], list[int]]:
-    """Ids of the public vocabulary; its rank file gives the same ids as the tokenizers file, several times as fast."""
+    """Ids of the public vocabulary; its rank file gives the same ids as the tokenizers file, several times as fast.
+
+    Texts with very long white space go through the tokenizers file itself.
+    """
     import public_tokenizers
     import tiktoken
+    from tokenizers import Tokenizer
+
+    fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(name), special_tokens={}).encode_ordinary
+    slow = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+    slow.encode_special_tokens = True
+    return lambda text: slow.encode(text, add_special_tokens=False).ids if LONG_BLANK.search(text) else fast(text)
+
+
+def ranks(name: str) -> dict[bytes, int]:
+    import public_tokenizers
 
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+@lru_cache(2)
+def vocabulary(name: str = "byte_bpe_50k") -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all ids one after the other, and where each begins; the id after the last has none."""
+    order = sorted((i, b) for b, i in ranks(name).items())
+    starts = np.cumsum([0, *(len(b) for _, b in order)])
+    return np.frombuffer(b"".join(b for _, b in order), np.uint8), np.append(starts, starts[-1])
 
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, name: str = "byte_bpe_50k") -> DataFrame:
@@ -52,45 +83,62 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, name: str = "byte_bp
     return texts_only(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def price(lengths: np.ndarray, value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unbounded knapsack: the best value within each capacity, and the number of the length to take first (-1: none)."""
-    best, take = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+def price(lengths: np.ndarray, value: np.ndarray, capacity: int) -> np.ndarray:
+    """Unbounded knapsack: the best value within each capacity."""
+    best = np.zeros(capacity + 1)
     fit = np.searchsorted(lengths, np.arange(capacity + 1), "right")
     for c in range(1, capacity + 1):
-        best[c], take[c] = best[c - 1], -2 if take[c - 1] != -1 else -1
+        best[c] = best[c - 1]
         if k := fit[c]:
-            v = best[c - lengths[:k]] + value[:k]
-            i = int(v.argmax())
-            if v[i] > best[c]:
-                best[c], take[c] = v[i], i
-    return best, take
+            best[c] = max(best[c], (best[c - lengths[:k]] + value[:k]).max())
+    return best
 
 
-def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS, near: float = 0.02, rate: float = 0.1) -> dict[tuple[int, ...], float]:
+def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS, near: float = 3e-3, rate: float = 1e-3, seed: int = 5) -> dict[tuple[int, ...], float]:
     """Configurations with their shares: multiplicative weights on the lengths, each round priced by one knapsack.
 
-    A round adds, for every length, its best configuration if this is within `near` of the best of all, and makes
-    lengths that have been covered beyond their demand cheaper.
+    A round may use what of the demand so far is not covered. From each length, longest first, it builds
+    configurations out of lengths that the knapsack prices within `near` of the best, at random by what is left of
+    them, until none is left or none fits so well. Lengths that lag behind get dearer, others cheaper.
     """
-    value = lengths / capacity
-    covered = np.zeros(len(lengths))
-    x: dict[tuple[int, ...], float] = defaultdict(float)
+    value, n = lengths / capacity, len(lengths)
+    covered, x = np.zeros(n), defaultdict(float)
+    rng = np.random.Generator(np.random.PCG64(seed))
     for t in range(rounds):
-        best, take = price(lengths, value, capacity)
-        chosen = np.flatnonzero(value + best[capacity - lengths] >= (1 - near) * best[capacity])
-        for i in chosen.tolist():
-            config, room = [i], capacity - int(lengths[i])
-            while take[room] != -1:
-                if take[room] == -2:
-                    room -= 1
+        best = price(lengths, value, capacity)
+        left = demand * (t + 1) / rounds - covered
+        there = np.zeros(capacity + 1, bool)  # what a single length, or nothing, fills
+        there[lengths], there[0] = left > 1e-9, True
+        slack = near * best[capacity]
+        for i in range(n - 1, -1, -1):
+            tries = TRIES
+            while left[i] > 1e-9 and tries:
+                config, room, used = [i], capacity - int(lengths[i]), {i: 1}
+                fits = best[capacity] - best[room] - value[i] <= slack
+                while fits and room:
+                    k = int(np.searchsorted(lengths, room, "right"))
+                    good = np.flatnonzero((best[room - lengths[:k]] + value[:k] >= best[room] - slack) & (left[:k] > 1e-9))
+                    if not len(good):
+                        fits = best[room] <= slack
+                        break
+                    last = good[there[room - lengths[good]]]
+                    good = last if len(last) else good
+                    weight = np.cumsum(left[good] * lengths[good].astype(float) ** POWER)
+                    j = int(good[min(len(good) - 1, np.searchsorted(weight, rng.random() * weight[-1], "right"))])
+                    config.append(j)
+                    used[j] = used.get(j, 0) + 1
+                    room -= int(lengths[j])
+                if not fits:
+                    tries -= 1
                     continue
-                config.append(int(take[room]))
-                room -= int(lengths[take[room]])
-            share = demand[i] / rounds
-            x[tuple(sorted(config))] += share
-            np.add.at(covered, config, share)
-        over = covered / demand
-        value = lengths / capacity * np.exp(-rate * np.clip(over - over.mean(), -4, 4))
+                share = min(left[j] / m for j, m in used.items())
+                x[tuple(sorted(config))] += share
+                for j, m in used.items():
+                    left[j] -= m * share
+                    covered[j] += m * share
+                    there[lengths[j]] = left[j] > 1e-9
+        value = value * np.exp(rate * np.clip((left / demand) * rounds, -4, 4))
+        value *= (lengths / capacity).sum() / value.sum()
     return x
 
 
@@ -121,31 +169,52 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[tup
     return [(n, content) for groups in room.values() for n, content in groups if n]
 
 
+def rounded(demand: np.ndarray, x: dict[tuple[int, ...], float], portion: float) -> list[tuple[int, dict[int, int]]]:
+    """Whole numbers of the configurations, for about this portion of all pieces: (number, {length number: count}).
+
+    Those with the longest pieces come first, as these are the hardest to place. Each is used as often as its share
+    says and its own lengths last; what is cut off from a share goes to the next one.
+    """
+    out, left, due, room = [], demand.copy(), 0.0, portion * demand.sum()
+    for c in sorted(x, reverse=True, key=lambda c: c[::-1]):
+        i, a = np.unique(np.array(c), return_counts=True)
+        due += x[c]
+        n = min(int(due + 1e-6), int((left[i] // a).min()), int(room // a.sum()))
+        if n:
+            due -= n
+            left[i] -= n * a
+            room -= n * int(a.sum())
+            out.append((n, dict(zip(i.tolist(), a.tolist()))))
+    return out
+
+
 def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
-    """Sequences that hold exactly the pieces of the histogram: the rounded program, then best fit for the rest."""
+    """Sequences that hold exactly the pieces of the histogram: the rounded program, then best fit for the rest.
+
+    Rounding leaves odd pieces together, which fit badly by themselves. So the program is rounded for several
+    portions of the pieces, best fit places the others, and what needs the fewest sequences is taken; among equals
+    that with the largest portion. Best fit alone is the last resort.
+    """
     out = [(n, ((capacity, 1),)) for n in [histogram.get(capacity, 0)] if n]
     lengths = np.array(sorted(x for x, n in histogram.items() if n and x < capacity), np.int64)
     if not len(lengths):
         return out
-    left = np.array([histogram[int(x)] for x in lengths], np.int64)
-    x = fractional(lengths, left.astype(float), capacity, rounds)
-    fill = {c: int(lengths[list(c)].sum()) for c in x}
-    covered = np.zeros(len(lengths))
-    for c, share in x.items():
-        np.add.at(covered, list(c), share)
-    scale = 1 / max(1.0, float((covered / left).max()))  # no length is covered beyond its demand
-    due = 0.0
-    for c, share in sorted(x.items(), key=lambda item: (-fill[item[0]], item[0])):
-        if fill[c] < capacity:
+    demand = np.array([histogram[int(x)] for x in lengths], np.int64)
+    x = fractional(lengths, demand.astype(float), capacity, rounds)
+    least, best = -(-int((lengths * demand).sum()) // capacity), None
+    for portion in PORTIONS:
+        left, way = demand.copy(), []
+        for n, content in rounded(demand, x, portion):
+            way.append((n, tuple((int(lengths[i]), k) for i, k in content.items())))
+            for i, k in content.items():
+                left[i] -= n * k
+        way += best_fit({int(v): int(n) for v, n in zip(lengths, left) if n}, capacity)
+        size = sum(n for n, _ in way)
+        if best is None or size < best[0]:
+            best = size, way
+        if size == least:
             break
-        i, a = np.unique(np.array(c), return_counts=True)
-        due += share * scale
-        n = min(int(due), int((left[i] // a).min()))
-        due -= int(due)
-        if n:
-            left[i] -= n * a
-            out.append((n, tuple((int(lengths[j]), int(k)) for j, k in zip(i, a))))
-    return out + best_fit({int(v): int(n) for v, n in zip(lengths, left) if n}, capacity)
+    return out + best[1]
 
 
 def pack(pieces_: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -2,11 +2,12 @@ import random
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from formweave.llm.packing import best_fit, best_fit_packing, configurations, encoder, price
+from formweave.llm.packing import best_fit, best_fit_packing, configurations, encoder, fractional, price, rounded
 
 tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 tokenizer.encode_special_tokens = True
@@ -40,9 +41,63 @@ def test_configurations_hold_the_histogram():
     assert sum(k for k, _ in configurations({6: 10, 4: 10}, 10)) == 10
 
 
+def by_program(histogram, cap=2048):
+    lengths = np.array(sorted(histogram))
+    demand = np.array([histogram[int(x)] for x in lengths])
+    x = fractional(lengths, demand.astype(float), cap)
+    way = rounded(demand, x, 1.0)
+    assert all(sum(int(lengths[i]) * k for i, k in c.items()) <= cap for _, c in way)
+    return sum(n * sum(c.values()) for n, c in way)
+
+
+def test_the_program_places_most_pieces_of_real_texts():
+    h = Counter(len(ids_of(r[0])) % 2048 or 2048 for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall())
+    h = Counter({x: 20 * n for x, n in h.items() if x < 2048})
+    assert by_program(h) > 0.8 * h.total()
+    whole = sum(x * n for x, n in h.items())
+    assert sum(n for n, _ in configurations(h)) <= 1.002 * -(-whole // 2048)
+
+
+def test_few_lengths_that_best_fit_places_badly():
+    for m in (1, 10, 1000):
+        h = {1043: 6 * m, 551: 6 * m, 531: 6 * m, 471: 12 * m}
+        assert sum(n for n, _ in best_fit(h, 2048)) > sum(n for n, _ in configurations(h)) == 9 * m
+
+
+def test_small_cases_are_optimal_or_one_above():
+    rng = np.random.default_rng(3)
+    for _ in range(25):
+        sizes = sorted(rng.integers(1, 13, 9).tolist(), reverse=True)
+        got = sum(n for n, _ in configurations(Counter(sizes), 12))
+        assert optimum(sizes, 12) <= got <= optimum(sizes, 12) + 1
+
+
+def optimum(sizes, cap):
+    best = len(sizes)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(sizes):
+            best = len(rooms)
+            return
+        for j in {r: j for j, r in enumerate(rooms) if r >= sizes[i]}.values():
+            place(i + 1, [r - sizes[i] * (k == j) for k, r in enumerate(rooms)])
+        place(i + 1, [*rooms, cap - sizes[i]])
+
+    place(0, [])
+    return best
+
+
+def test_very_long_blanks_and_words():
+    for t in ("a" + " " * 2_000_000 + "b", "\u00a0" * 1_000_000, "x" * 300_000):
+        assert encoder()(t) == tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def test_price_equals_brute_force():
     lengths, value = np.array([2, 3, 5]), np.array([1.0, 2.0, 3.2])
-    best, _ = price(lengths, value, 12)
+    best = price(lengths, value, 12)
     for c in range(13):
         want = max(a * 1.0 + b * 2.0 + d * 3.2 for a in range(7) for b in range(5) for d in range(3) if 2 * a + 3 * b + 5 * d <= c)
         assert abs(best[c] - want) < 1e-9
@@ -51,7 +106,7 @@ def test_price_equals_brute_force():
 def test_rows_round_trip(spark):
     rng = random.Random(1)
     texts = [" ".join(rng.choices(["alpha", "Béta", "12", "x.y", "\n"], k=rng.randint(0, 120))) for _ in range(80)]
-    texts += [None, "", texts[0], "word " * 300]
+    texts += [None, "", texts[0], "word " * 300, " " * 100_000]
     df = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)] + [(5, texts[5], 1, 2)], "doc_id long, text string, length int, offset int")
     cap = 100
     got = best_fit_packing(df, cap).collect()
