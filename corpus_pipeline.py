@@ -15,7 +15,7 @@ from formweave.llm.common import aside, keep, load, restored, texts_only
 from formweave.llm.langid import UNKNOWN, identify, learned_from
 from formweave.llm.mixing import mix_documents
 from formweave.llm.packing import best_fit_packing
-from formweave.llm.pii import pseudonymise
+from formweave.llm.pii import pseudonymise, session_key
 from formweave.llm.simhash import first_of_groups
 
 
@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with personal values replaced; n_chars follows the text."""
-    found, size = pseudonymise(aside(docs, "text")), {}
+    found, size = pseudonymise(aside(docs, "text"), session_key(spark)), {}
     if "n_chars" in docs.columns:
         before = F.col(f"_rest.c{docs.columns.index('n_chars')}")
         after = F.when(F.col("n_pseudonyms") > 0, F.length("text")).otherwise(before)

@@ -1,6 +1,8 @@
+import ipaddress
+import re
 from datetime import date
 
-from formweave.llm.pii import FIND, Permutation, luhn_digit, pseudonymise, pseudonymiser
+from formweave.llm.pii import FIND, KEY_SETTING, MONTHS, Permutation, is_day, luhn_digit, pseudonymise, pseudonymiser, session_key
 
 change = pseudonymiser(b"k")
 
@@ -26,9 +28,8 @@ def test_formats_stay_and_values_link():
     assert a[:4] == "+1 (" and [c for c in a if c.isdigit()][1:] == [c for c in b if c.isdigit()]
     d = one("2024-02-29")
     assert date.fromisoformat(d) and d != "2024-02-29"
-    y, m, day = d.split("-")
-    assert one("29.02.2024") == f"{day}.{m}.{y}" and one("02/29/2024") == f"{m}/{day}/{y}"
-    assert len(one("1.2.2003").split(".")) == 3
+    assert one("2024/02/29") == d.replace("-", "/") and one("29.02.2024").replace(".", "/") == one("29/02/2024")
+    assert [len(x) for x in one("1.2.2003").split(".")] == [1, 1, 4]
     e = one("ab.42@mail8.example.com")
     assert e.endswith("@mail8.example.com") and e[2] == "." and e[3:5].isdigit() and e[:5] != "ab.42"
     assert all(0 <= int(x) < 256 for x in one("42.144.35.254").split(".")) and one("42.144.35.254") != "42.144.35.254"
@@ -49,14 +50,55 @@ def test_distinct_values_stay_distinct():
     assert len({one(x) for x in ips}) == 600
 
 
+def test_all_dates_of_each_format_are_permuted():
+    """Brute force: every text of a format that is a day becomes another one, and no two the same."""
+    days = [date(y, m, d) for y in range(1900, 2100, 13) for m in range(1, 13) for d in range(1, 32) if is_day(y, m, d)]
+    for write in (
+        lambda x: f"{x:%Y-%m-%d}", lambda x: f"{x:%d/%m/%Y}", lambda x: f"{x.day}.{x.month}.{x.year}", lambda x: f"{x.year}/{x.month}/{x.day}", lambda x: f"{x:%d} {MONTHS[x.month - 1].title()} {x.year}",
+        lambda x: f"{MONTHS[x.month - 1].title()} {x.day}, {x.year}", lambda x: f"{x.day} {MONTHS[x.month - 1][:3].upper()} {x.year}", lambda x: f"{x:%m/%d/%Y}",
+    ):
+        texts = {write(x) for x in days}
+        new = {t: one(t) for t in texts}
+        assert len(set(new.values())) == len(texts)
+        assert all(re.sub("[0-9]", "0", re.sub("[A-Za-z]+", "M", t)) == re.sub("[0-9]", "0", re.sub("[A-Za-z]+", "M", n)) for t, n in new.items())
+    both = {f"{d:02}/{m:02}/1990" for d in range(1, 32) for m in range(1, 32) if is_day(1990, m, d) or is_day(1990, d, m)}
+    assert len({one(t) for t in both}) == len(both)
+    a, b = one("12 March 1980"), one("March 12, 1980")
+    assert a.split()[0] == b.split()[1].strip(",") and a.split()[1:] == [b.split()[0], b.split()[2]]
+
+
+def test_phones_of_other_countries_and_long_addresses():
+    for s in ("+44 20 7946 0958", "+49 (30) 901820", "+33123456789", "+1 9885552485", "+998 71 123 45 67"):
+        new = one(s)
+        assert new != s and re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", s)
+        assert new[:3] == s[:3] or s.startswith("+1")
+    for s in ("2001:0db8:85a3:0000:0000:8a2e:0370:7334", "fe80::1ff:fe23:4567:890a", "2001:DB8::8:800:200C:417A"):
+        new = one(s)
+        assert new != s and ipaddress.IPv6Address(new) and [x.isdigit() for x in new] == [x.isdigit() for x in s]
+    for s in ("12:30:45", "std::vector", "+12", "a::b", "00:1a:2b:3c:4d:5e"):
+        assert one(s) == s, s
+    assert len({one(f"+44 20 7946 {i:04}") for i in range(500)}) == 500
+
+
+def test_key(spark):
+    df = spark.createDataFrame([(1, "a 42.1.2.3")], "doc_id long, text string")
+    spark.conf.unset(KEY_SETTING)
+    try:
+        key = session_key(spark)
+        assert session_key(spark) == key and len(key) == 64
+        assert pseudonymise(df, key).first().text == pseudonymise(df, key).first().text != pseudonymise(df, "other").first().text
+    finally:
+        spark.conf.unset(KEY_SETTING)
+
+
 def test_rows_columns_and_edges(spark):
     rows = [(1, "a 42.1.2.3 b 42.1.2.3", "en", 9), (1, "a 42.1.2.3 b 42.1.2.3", "en", 9), (2, None, None, None), (3, "", "x", 1), (None, "c 42.1.2.3 " + "word " * 50000, "y", 2)]
-    out = pseudonymise(spark.createDataFrame(rows, "doc_id long, text string, lang string, n_pseudonyms int"))
+    out = pseudonymise(spark.createDataFrame(rows, "doc_id long, text string, lang string, n_pseudonyms int"), "k")
     assert out.columns == ["doc_id", "text", "lang", "n_pseudonyms", "kinds"]
     got = out.collect()
     assert [r.n_pseudonyms for r in got] == [2, 2, 0, 0, 1] and got[2].text is None and got[3].text == ""
     assert got[0] == got[1] and len({m[0] for r in got if r.text for m in FIND.finditer(r.text)}) == 1
-    assert pseudonymise(out.limit(0)).count() == 0
+    assert pseudonymise(out.limit(0), "k").count() == 0
 
 
 def test_values_beside_other_digits_are_found():

@@ -4,7 +4,7 @@ from collections import Counter
 
 import corpus_pipeline
 from formweave.llm.packing import encoder
-from formweave.llm.pii import pseudonymiser
+from formweave.llm.pii import pseudonymiser, session_key
 
 from .test_simhash import brute_groups, brute_print
 
@@ -56,7 +56,7 @@ def test_stages_and_their_decisions(spark, tmp_path):
     groups = brute_groups({i: brute_print(text[i]) for i in sorted(lingual)})
     chosen = {i for i, c in groups.items() if i == c}
     assert Counter(r.doc_id for r in at["SimHash near-dedup"].collect()) == Counter(chosen)
-    change = pseudonymiser(b"formweave")
+    change = pseudonymiser(session_key(spark).encode())
     private = {r.doc_id: r for r in at["PII"].collect()}
     assert {i: r.text for i, r in private.items()} == {i: change(text[i])[0] for i in chosen}
     assert all(r.n_chars == len(r.text) for r in private.values())
