@@ -15,8 +15,9 @@ from .common import aside, exact_rank, keep, load, mix, pieces, restored, text_b
 WEIGHTS = (5.0, 2.0, 1.0)
 BLOCK_WORDS = 128
 SHARD_SLOTS = 1 << 14
-#: Slots that one row of the plan stands for at most.
+#: Slots that are made at once, and output shards that one task makes.
 RUN_SLOTS = 1 << 16
+TASK_SHARDS = 4
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -49,22 +50,51 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS,
     return out
 
 
-def draw(quota: np.ndarray, shard_slots: int, seed: int) -> np.ndarray:
-    """Slots of each source (column) in each output shard (row): multinomial by what is left of the quotas.
+def taken_by(good: int, pool: int, n: int, rng: np.random.Generator) -> int:
+    """How many of n slots, drawn from a pool, are among its `good` ones: hypergeometric (beyond what numpy's draw
+    takes, by the normal law of the same mean and variance, of which the share of rounding is then negligible)."""
+    if pool < 10**9:
+        return int(rng.hypergeometric(good, pool - good, n)) if n else 0
+    p = good / pool
+    x = round(n * p + rng.standard_normal() * np.sqrt(n * p * (1 - p) * (pool - n) / (pool - 1)))
+    return max(0, n - (pool - good), min(good, n, x))
 
-    No source exceeds its quota, and the shards together use up all quotas.
+
+class Shards:
+    """Slots of each source in each output shard: multinomial draws by weight, given that all quotas are used up.
+
+    Such draws are those of shuffled slots without replacement. They are split between the halves of the shards, and
+    again, so that any shard's counts follow from the quotas and a seed alone, in as many steps as halvings.
     """
-    left, out = quota.astype(np.int64).copy(), []
-    while left.sum():
-        rng = np.random.Generator(np.random.PCG64([seed, len(out)]))
-        n, got = min(shard_slots, int(left.sum())), np.zeros_like(left)
-        while n:
-            free = left - got
-            got += np.minimum(free, rng.multinomial(n, free / free.sum()))
-            n = min(shard_slots, int(left.sum())) - int(got.sum())
-        left -= got
-        out.append(got)
-    return np.array(out, np.int64).reshape(len(out), len(quota))
+
+    def __init__(self, quota: np.ndarray, shard_slots: int, seed: int):
+        self.quota, self.slots, self.seed = [int(q) for q in quota], shard_slots, seed
+        self.total = sum(self.quota)
+        self.count = -(-self.total // shard_slots)
+        self.known: dict[tuple[int, int], list[int]] = {}
+
+    def left_half(self, quota: list[int], lo: int, mid: int, hi: int) -> list[int]:
+        if (lo, hi) not in self.known:
+            rng = np.random.Generator(np.random.PCG64([self.seed, lo, hi]))
+            n, pool, out = min(mid * self.slots, self.total) - lo * self.slots, sum(quota), []
+            for q in quota:
+                out.append(taken_by(q, pool, n, rng))
+                n, pool = n - out[-1], pool - q
+            self.known[lo, hi] = out
+        return self.known[lo, hi]
+
+    def __getitem__(self, k: int) -> tuple[list[int], list[int]]:
+        """For each source the slots in shard k, and those in the shards before it."""
+        lo, hi, quota, before = 0, self.count, self.quota, [0] * len(self.quota)
+        while hi - lo > 1:
+            mid = (lo + hi) // 2
+            left = self.left_half(quota, lo, mid, hi)
+            if k < mid:
+                quota, hi = left, mid
+            else:
+                before = [b + x for b, x in zip(before, left)]
+                quota, lo = [q - x for q, x in zip(quota, left)], mid
+        return quota, before
 
 
 def permuted(i: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -88,7 +118,7 @@ def mix_plan(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share:
     block. segments: a row for each document and block that it reaches into (none for size 0): doc_id, source,
     digest, size, before (words of its source before it), sid, source_size, target, block, begin and end (words of
     the document in the block), and block null where the size is 0. Documents stand in their source in an order
-    by hash. Only one row for each source comes to the driver.
+    by hash. Only one row for each source comes to the driver; each task draws the slots of its shards by itself.
     """
     rows = keep(sized(documents), "sizes")
     spark = rows.sparkSession
@@ -97,25 +127,25 @@ def mix_plan(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share:
     goal = targets(totals, weights, share, most)
     blocks = np.array([-(-totals[s] // block_words) for s in order], np.int64)
     quota = np.array([min(most * b, round(goal[s] / totals[s] * b)) if b else 0 for s, b in zip(order, blocks.tolist())], np.int64)
-    counts = draw(quota, shard_slots, seed)
-    begin = np.cumsum(counts, axis=0) - counts
-    place = np.cumsum(counts, axis=1) - counts
-    plan = [(k, int(place[k, s]) + o, s, int(begin[k, s]) + o, min(RUN_SLOTS, int(counts[k, s]) - o)) for k, s in zip(*np.nonzero(counts)) for o in range(0, int(counts[k, s]), RUN_SLOTS)]
-    plan = [(int(k), p, int(s), b, n) for k, p, s, b, n in plan]
+    shards = Shards(quota, shard_slots, seed)
 
     def slots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, p, s, b, n in zip(*(batch[c].to_pylist() for c in ("shard", "place", "sid", "first", "n"))):
-                j = np.arange(b, b + n)
-                again, i = np.divmod(j, blocks[s])
-                block = np.empty(n, np.int64)
-                for e in np.unique(again).tolist():
-                    block[again == e] = permuted(i[again == e], int(blocks[s]), (seed * 1000003 + s) * 64 + e)
-                one = np.ones(n, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (one * k, p + np.arange(n), one * s, again, block)], names=["shard", "slot", "sid", "pass_no", "block"])
-
-    planned = spark.createDataFrame(plan, "shard long, place long, sid long, first long, n long")
-    slots = planned.repartition("shard", "sid", "first").mapInArrow(slots_of, "shard long, slot long, sid long, pass_no long, block long")
+            for k in batch["id"].to_pylist():
+                place = 0
+                for s, (count, before) in enumerate(zip(*shards[k])):
+                    for o in range(0, count, RUN_SLOTS):
+                        n = min(RUN_SLOTS, count - o)
+                        again, i = np.divmod(np.arange(before + o, before + o + n), blocks[s])
+                        block = np.empty(n, np.int64)
+                        for e in np.unique(again).tolist():
+                            block[again == e] = permuted(i[again == e], int(blocks[s]), (seed * 1000003 + s) * 64 + e)
+                        one = np.ones(n, np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (one * k, place + o + np.arange(n), one * s, again, block)], names=["shard", "slot", "sid", "pass_no", "block"])
+                    place += count
+
+    planned = spark.range(0, shards.count, 1, max(1, -(-shards.count // TASK_SHARDS)))
+    slots = planned.mapInArrow(slots_of, "shard long, slot long, sid long, pass_no long, block long")
     named = spark.createDataFrame([(i, s, totals[s], float(goal[s])) for i, s in enumerate(order)], "sid long, name string, source_size long, target double")
     placed = rows.join(named, rows["source"].eqNullSafe(named["name"])).drop("name")
     placed = exact_rank(placed, ["sid"], [F.col("doc_id"), F.col("digest")], F.struct("doc_id", "digest"), F.col("size"))

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from formweave.llm.mixing import draw, mix_documents, permuted, taken_words, targets
+from formweave.llm.mixing import Shards, mix_documents, permuted, taken_by, taken_words, targets
 
 
 def count(t):
@@ -23,9 +23,17 @@ def test_targets_share_by_weight_up_to_twice_the_size():
 
 def test_draws_use_up_quotas_and_permutations_are_bijections():
     q = np.array([5, 0, 1000, 37])
-    d = draw(q, 64, 3)
-    assert (d.sum(axis=0) == q).all() and (d.sum(axis=1)[:-1] == 64).all() and (draw(q, 64, 3) == d).all()
-    assert draw(np.array([0]), 8, 1).shape == (0, 1)
+    shards = Shards(q, 64, 3)
+    d = np.array([shards[k][0] for k in range(shards.count)])
+    assert (d.sum(axis=0) == q).all() and (d.sum(axis=1)[:-1] == 64).all() and shards.count == 17
+    assert [shards[k][1] for k in range(17)] == (np.cumsum(d, axis=0) - d).tolist()
+    assert Shards(q, 64, 3)[9] == shards[9] and Shards(q, 64, 4)[9] != shards[9]
+    assert Shards(np.array([0]), 8, 1).count == 0
+    # a source's share of a shard varies as a draw without replacement does
+    x = np.array([Shards(np.array([600, 400]), 100, s)[3][0][0] for s in range(400)])
+    assert abs(x.mean() - 60) < 1 and 0.7 < x.var() / (100 * 0.6 * 0.4 * 900 / 999) < 1.35
+    rng = np.random.default_rng(1)
+    assert abs(np.mean([taken_by(6 * 10**11, 10**12, 10**6, rng) for _ in range(300)]) - 6e5) < 200
     for n in (1, 2, 3, 100, 1000):
         assert sorted(permuted(np.arange(n), n, 5).tolist()) == list(range(n))
     assert (permuted(np.arange(1000), 1000, 5) != permuted(np.arange(1000), 1000, 6)).any()
