@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formweave.llm.alike import alike_groups
+from formweave.llm.alike import similar_groups
 from formweave.llm.common import aside, keep, load, restored, texts_only
 from formweave.llm.langid import UNKNOWN, identify, learned_from
 from formweave.llm.mixing import mix_documents
@@ -26,9 +26,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group that similarities of 0.8 or more of 5-word shingles join."""
+    """The document with the smallest id of each group that similarities of 0.8 or more of 5-word shingles join, found by SimHash."""
     boxed = aside(docs, "doc_id", "text").withColumn("_digest", F.xxhash64("text"))
-    return first_of_groups(docs, boxed, alike_groups(texts_only(boxed, "_digest")))
+    return first_of_groups(docs, boxed, similar_groups(texts_only(boxed, "_digest")))
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,31 +1,83 @@
-"""Near-duplicates by Jaccard similarity of word shingles: an exact set join on the rarest shingles of each text."""
+"""Near-duplicates by similarity of word shingles: wide SimHash fingerprints, pigeonhole blocks, then exact sets.
+
+Two texts whose sets of shingles have the Jaccard similarity s differ, on average, in the share acos(2s / (1 + s)) / pi
+of the bits of a fingerprint over these sets. For s = 0.8 that is 15 %, too many for all choices of blocks. So several
+permutations of the fingerprint are each split into blocks, and there are as many blocks as a pair of that similarity
+needs to share one with the wanted recall. Pairs that share a block, and few differing bits, are verified on the sets.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import acos, ceil, comb, log2, pi
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import keep, pieces, ragged, text_bytes
+from .common import discard, keep, mix, pieces, text_bytes
 from .components import connected_components, in_groups
-from .simhash import shingle_hashes
+from .simhash import majority_bits, shingle_hashes
 
 #: Similarity from which texts are near-duplicates: UP / DOWN.
 UP, DOWN = 4, 5
-#: Texts whose shingles are counted to tell common from rare ones (at least; else this share of them), and how many
-#: common ones are told apart at most.
-SAMPLE_TEXTS, SAMPLE_SHARE, COMMON = 4_000, 1 / 64, 200_000
-#: Bits of a set's mark: each is the parity of the shingles that fall on it.
-MARK_BITS = 512
-#: Bits of the filter that holds which sets are wanted.
+#: 64-bit words of a fingerprint.
+WORDS = 3
+#: Columns of these.
+PRINT = [f"f{i}" for i in range(WORDS)]
+#: Groups of up to so many texts with a block in common are compared whole at once; in larger ones each with the first
+#: and with the next NEXT at first, and with what those links have not joined afterwards.
+SMALL, NEXT = 64, 4
+#: Texts that share a block with a text by chance.
+CHANCE = 8
+#: Bits of the filter that holds which texts are wanted.
 FILTER_BITS = 1 << 24
 
 
+class Blocks:
+    """Which bits of a fingerprint each block has: enough blocks for `recall` at the least similarity, each of so many
+    bits that a text meets few others by chance."""
+
+    def __init__(self, count: int, recall: float = 0.95, seed: int = 11):
+        self.share = acos(2 * UP / (UP + DOWN)) / pi
+        self.bits = min(40, max(8, ceil(log2(max(2, count / CHANCE)))))
+        every, rng = 64 * WORDS, np.random.Generator(np.random.PCG64(seed))
+        # pairs differ in d bits by the binomial law; of these, a block of other bits is free with the chance `free`
+        chance = np.array([comb(every, d) * self.share**d * (1 - self.share) ** (every - d) for d in range(every + 1)])
+        free = np.array([comb(every - d, self.bits) / comb(every, self.bits) for d in range(every + 1)])
+        need = next(k for k in range(1, 1 << 16) if chance @ (1 - free) ** k <= 1 - recall)
+        each = every // self.bits
+        order = np.concatenate([rng.permutation(every)[: each * self.bits].reshape(each, self.bits) for _ in range(-(-need // each))])
+        self.places = order[:need]
+        #: Beyond the mean by four standard deviations: one pair in 30,000 at the least similarity differs in more bits.
+        self.distance = int(every * self.share + 4 * (every * self.share * (1 - self.share)) ** 0.5)
+        self.masks = np.zeros((WORDS, need), np.uint64)
+        for t, p in enumerate(self.places):
+            for x in p.tolist():
+                self.masks[x // 64, t] |= np.uint64(1 << x % 64)
+
+    def keys(self, prints: np.ndarray) -> np.ndarray:
+        """(n, blocks) keys of fingerprints (n, WORDS): the block's number and its bits."""
+        bits = np.unpackbits(prints.astype("<u8").view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little").astype(np.float64)
+        weight = np.zeros((64 * WORDS, len(self.places)))
+        for t, p in enumerate(self.places):
+            weight[p, t] = 2.0 ** np.arange(self.bits)
+        return (bits @ weight).astype(np.int64) + (np.arange(len(self.places)) << 44)
+
+    def first_shared(self, differ: np.ndarray) -> np.ndarray:
+        """The first block in which two fingerprints agree, given their differing bits (n, WORDS)."""
+        out = np.full(len(differ), len(self.places))
+        open_ = np.arange(len(differ))
+        for t in range(len(self.places)):
+            same = np.zeros(len(open_), np.uint64)
+            for w in range(WORDS):
+                same |= differ[open_, w] & self.masks[w, t]
+            out[open_[same == 0]] = t
+            open_ = open_[same != 0]
+        return out
+
+
 def shingle_sets(batch: pa.RecordBatch, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of each text in ascending order, text by text, and how many each text has."""
     hashes, count = shingle_hashes(*text_bytes(batch), size, seed)
@@ -37,141 +89,193 @@ def shingle_sets(batch: pa.RecordBatch, size: int, seed: int) -> tuple[np.ndarra
     return hashes[new], np.bincount(row[new], minlength=len(count))
 
 
-def nodes(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """A 64-bit digest of each set."""
-    ends = np.cumsum(count)
-    return np.fromiter((xxhash.xxh64_intdigest(hashes[e - n : e].tobytes()) for e, n in zip(ends, count)), np.uint64, len(count)).view(np.int64)
-
-
-def listed(values: np.ndarray, count: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.array(values.view(np.int64)))
+def node_of(prints: np.ndarray) -> np.ndarray:
+    """The number of a node: a hash of all bits of its fingerprint."""
+    out = np.zeros(len(prints), np.uint64)
+    for w in range(WORDS):
+        out = mix(out + prints[:, w] + np.uint64(w + 1))
+    return out.view(np.int64)
 
 
-def common_shingles(texts: DataFrame, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that several texts of a sample have, ascending, and how many have each.
-
-    They only choose the order of shingles, so what the sample misses costs time and no pair.
-    """
+def wide_fingerprints(texts: DataFrame, size: int, seed: int) -> DataFrame:
+    """doc_id, _digest, node and f0, f1, ...: the fingerprint over distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, limit=1 << 20):
-            yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(batch, size, seed)[0].view(np.int64))], names=["h"])
-
-    share = min(1.0, max(SAMPLE_SHARE, SAMPLE_TEXTS / max(1, texts.count())))
-    sample = texts.where(F.pmod(F.xxhash64("_digest"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    counts = sample.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
-    found = counts.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
-    h, n = np.asarray(found["h"]).view(np.uint64), np.asarray(found["n"])
-    order = np.argsort(h)
-    return h[order], n[order]
+            h, n = shingle_sets(batch, size, seed)
+            prints = []
+            for _ in range(WORDS):
+                prints.append(majority_bits(h, n))
+                h = mix(h + np.uint64(1))
+            node = node_of(np.stack(prints, axis=1))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["_digest"], pa.array(node), *(pa.array(p.view(np.int64)) for p in prints)], names=["doc_id", "_digest", "node", *PRINT])
 
+    return texts.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "_digest", "node", *PRINT)))
 
-def marked(texts: DataFrame, size: int, seed: int) -> DataFrame:
-    """(doc_id, _digest, node, n, mark) of each text: its set's digest, size and mark.
 
-    Marks of two sets differ in no more bits than there are shingles that only one of them has.
-    """
+def keyed(nodes: DataFrame, blocks: Blocks) -> DataFrame:
+    """key, f0, f1, ... for each block of each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, limit=1 << 20):
-            h, n = shingle_sets(batch, size, seed)
-            row = np.repeat(np.arange(len(n)), n)
-            odd = np.bincount(row * MARK_BITS + (h % np.uint64(MARK_BITS)).astype(np.int64), minlength=len(n) * MARK_BITS) & 1
-            mark = np.packbits(odd.astype(np.uint8)).view(np.int64)
-            columns = [batch["doc_id"], batch["_digest"], pa.array(nodes(h, n)), pa.array(n, pa.int32()), listed(mark, np.full(len(n), MARK_BITS // 64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "_digest", "node", "n", "mark"])
+        for batch in batches:
+            for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
+                keys = blocks.keys(prints_of(part))
+                of = pa.array(np.repeat(np.arange(part.num_rows), keys.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(part[c].take(of) for c in PRINT)], names=["key", *PRINT])
+
+    return nodes.select(*PRINT).mapInArrow(run, ", ".join(f"{c} long" for c in ("key", *PRINT)))
+
 
-    return texts.mapInArrow(run, "doc_id long, _digest long, node long, n int, mark array<long>")
+def prints_of(table) -> np.ndarray:
+    return np.stack([np.asarray(table[f"f{i}"]).view(np.uint64) for i in range(WORDS)], axis=1) if table.num_rows else np.zeros((0, WORDS), np.uint64)
 
 
-def prefixes(texts: DataFrame, size: int, seed: int) -> DataFrame:
-    """(key, node, n, room) for the first shingles of each set, rare ones first; room: how many come from this one on.
+def meetings(rows: DataFrame, blocks: Blocks, small: int = SMALL) -> DataFrame:
+    """a, b, differ: pairs of nodes that share a block and differ in few bits, each pair for its first block alone; and
+    rows (key, a, f0, f1, ...; b null) of the members of groups too large to be compared whole.
 
-    Two sets of at least the similarity share a shingle among so many first ones of each, in any order of shingles.
+    Rows come sorted by block. A task holds the first row of the present group and its last `small` rows, however
+    large the group is.
     """
-    known, times = common_shingles(texts, size, seed)
+    fields = ["key", "a", "b", "differ", *PRINT]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, limit=1 << 20):
-            h, n = shingle_sets(batch, size, seed)
-            at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
-            often = np.where(known[at] == h, times[at], 0) if len(known) else np.zeros(len(h), np.int64)
-            order = np.lexsort((h, often, np.repeat(np.arange(len(n)), n)))
-            first = np.where(n > 0, n - (UP * n + DOWN - 1) // DOWN + 1, 0)
-            chosen = ragged(np.cumsum(n) - n, first)
-            columns = [h[order][chosen].view(np.int64), np.repeat(nodes(h, n), first), np.repeat(n, first).astype(np.int32), (np.repeat(np.cumsum(n), first) - chosen).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "n", "room"])
-
-    return texts.select("text").mapInArrow(run, "key long, node long, n int, room int")
-
-
-def possible(marks: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose marks (node, n, mark) leave room for the similarity, with the bits that differ."""
-    both = pairs.join(marks.toDF("a", "_n", "one"), "a").join(marks.toDF("b", "_m", "two"), "b")
-    differ = sum((F.bit_count(F.col("one")[i].bitwiseXOR(F.col("two")[i])) for i in range(MARK_BITS // 64)), F.lit(0))
-    both = both.select("a", "b", (F.col("_n") + F.col("_m")).alias("size"), differ.alias("differ"))
-    return both.where((UP + DOWN) * F.col("differ") <= (DOWN - UP) * F.col("size"))
-
-
-def alike(texts: DataFrame, pairs: DataFrame, size: int, seed: int) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose sets have at least the similarity."""
-    slot = F.pmod(F.col("node"), F.lit(FILTER_BITS))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).select((slot / 32).cast("int").alias("at"), F.expr(f"shiftleft(1L, cast(pmod(node, {FILTER_BITS}) % 32 as int))").alias("bit"))
-    found = wanted.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+        key, node, prints, place = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WORDS), np.uint64), np.zeros(0, np.int64)
+        head = None  # node and fingerprint of the first row of the present group
+        for batch in batches:
+            old = len(key)
+            k = np.asarray(batch["key"])
+            key, node, prints = np.concatenate((key, k)), np.concatenate((node, node_of(prints_of(batch)))), np.concatenate((prints, prints_of(batch)))
+            # place of each row in its group: groups that begin in an earlier batch count on
+            start = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
+            number = np.arange(len(key))
+            begin = np.maximum.accumulate(np.where(start, number, 0))
+            base = np.zeros(len(key), np.int64)
+            if old:
+                first = np.flatnonzero(start)
+                upto = first[1] if len(first) > 1 else len(key)
+                base[:upto] = place[0]
+            place = number - begin + base
+            fresh = np.arange(old, len(key))
+            pairs = []
+            for d in range(1, small):
+                i = fresh[(place[fresh] >= d) & (fresh >= d)]
+                i = i[(place[i] < small) | (d <= NEXT)]
+                if not len(i):
+                    break
+                pairs.append((i - d, i))
+            left = np.concatenate([p for p, _ in pairs] or [fresh[:0]])
+            right = np.concatenate([q for _, q in pairs] or [fresh[:0]])
+            one, two, at = prints[left], prints[right], right
+            a, b = node[left], node[right]
+            far = fresh[place[fresh] >= small]
+            if len(far):
+                here = base[far] == 0  # the group's first row is still held
+                f = np.where(here[:, None], prints[begin[far]], head[1] if head else np.uint64(0))
+                n = np.where(here, node[begin[far]], head[0] if head else 0)
+                one, two, at = np.concatenate((one, f)), np.concatenate((two, prints[far])), np.concatenate((at, far))
+                a, b = np.concatenate((a, n)), np.concatenate((b, node[far]))
+            differ = one ^ two
+            bits = np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
+            near = np.flatnonzero((bits <= blocks.distance) & (a != b))
+            near = near[blocks.first_shared(differ[near]) == key[at[near]] >> 44]
+            none = pa.nulls(len(near), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(np.minimum(a[near], b[near])), pa.array(np.maximum(a[near], b[near])), pa.array(bits[near])] + [none] * WORDS, names=fields)
+            # members of large groups: once a group proves large, also those already seen
+            large = fresh[place[fresh] >= small]
+            turn = large[place[large] == small]
+            back = np.concatenate([np.arange(t - small, t) for t in turn] or [large[:0]])
+            out = np.concatenate((back[back >= 0], large))
+            none = pa.nulls(len(out), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(node[out]), none, none, *(pa.array(prints[out, w].view(np.int64)) for w in range(WORDS))], names=fields)
+            if len(key):
+                last = len(key) - 1
+                if base[last] == 0:
+                    head = node[begin[last]], prints[begin[last]]
+                s = max(int(begin[last]), len(key) - small)
+                key, node, prints, place = key[s:], node[s:], prints[s:], place[s:]
+
+    return rows.repartition("key").sortWithinPartitions("key", *PRINT).mapInArrow(run, ", ".join(f"{c} long" for c in fields))
+
+
+def apart(blocks: Blocks):
+    """Pairs of each group in different components that differ in few bits."""
+
+    def compare(table: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        node, part, prints = np.asarray(table["a"]), np.asarray(table["component"]), prints_of(table)
+        cross, left = np.asarray(table["_i"]) != np.asarray(table["_j"]), np.asarray(table["_left"])
+        for s, e in zip(bounds[:-1], bounds[1:]):
+            bits = sum(np.bitwise_count(prints[s:e, None, w] ^ prints[None, s:e, w]).astype(np.int16) for w in range(WORDS))
+            near = (bits <= blocks.distance) & (node[s:e, None] < node[None, s:e]) & (part[s:e, None] != part[None, s:e])
+            if cross[s]:
+                near &= left[s:e, None] != left[None, s:e]
+            i, j = np.nonzero(near)
+            yield pa.RecordBatch.from_arrays([pa.array(node[s:e][i]), pa.array(node[s:e][j]), pa.array(bits[i, j].astype(np.int64))], names=["a", "b", "differ"])
+
+    return compare
+
+
+def verified(texts: DataFrame, named: DataFrame, pairs: DataFrame, size: int, seed: int) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose sets have at least the similarity; named: node and the _digest of one of its texts."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct().join(named, F.col("n") == F.col("node")).select("_digest")
+    slot = F.pmod(F.col("_digest"), F.lit(FILTER_BITS))
+    found = wanted.select((slot / 32).cast("int").alias("at"), F.expr(f"shiftleft(1L, cast(pmod(_digest, {FILTER_BITS}) % 32 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
     bits = np.zeros(FILTER_BITS // 32, np.uint32)
     bits[np.asarray(found["at"])] = np.asarray(found["bits"]).astype(np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, limit=1 << 20):
-            h, n = shingle_sets(batch, size, seed)
-            node = nodes(h, n)
-            at = node % FILTER_BITS
-            rows = np.flatnonzero((bits[at // 32] >> (at % 32).astype(np.uint32)) & 1)
-            rows = rows[np.sort(np.unique(node[rows], return_index=True)[1])]
-            yield pa.RecordBatch.from_arrays([pa.array(node[rows]), listed(h[ragged((np.cumsum(n) - n)[rows], n[rows])], n[rows])], names=["node", "set"])
-
-    sets = keep(texts.select("text").mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"]), "sets")
-    both = pairs.join(sets.toDF("a", "one"), "a").join(sets.toDF("b", "two"), "b")
+        for batch in batches:
+            at = np.asarray(batch["_digest"]) % FILTER_BITS
+            some = batch.filter(pa.array(((bits[at // 32] >> (at % 32).astype(np.uint32)) & 1).astype(bool)))
+            for part in pieces(iter([some]), limit=1 << 20):
+                h, n = shingle_sets(part, size, seed)
+                yield pa.RecordBatch.from_arrays([part["_digest"], pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(h.view(np.int64)))], names=["_digest", "set"])
+
+    # the filter lets a few others through; only named texts have a node
+    sets = texts.select("text", "_digest").mapInArrow(run, "_digest long, set array<long>").join(named, "_digest").groupBy("node").agg(F.first("set").alias("set"))
+    sets = keep(sets, "sets")
+    both = pairs.select("a", "b").join(sets.toDF("a", "one"), "a").join(sets.toDF("b", "two"), "b")
     overlap = F.size(F.array_intersect("one", "two"))
-    return both.where((UP + DOWN) * overlap >= UP * (F.size("one") + F.size("two"))).select("a", "b")
+    out = keep(both.where((UP + DOWN) * overlap >= UP * (F.size("one") + F.size("two"))).select("a", "b"), "links")
+    discard(sets)
+    return out
 
 
-def apart(table: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Pairs of each group in different components whose sizes and places of the shared shingle leave room for the similarity."""
-    node, n, room, part = (np.asarray(table[c]) for c in ("node", "n", "room", "component"))
-    cross, left = np.asarray(table["_i"]) != np.asarray(table["_j"]), np.asarray(table["_left"])
-    for s, e in zip(bounds[:-1], bounds[1:]):
-        near = (UP + DOWN) * np.minimum(room[s:e, None], room[None, s:e]).astype(np.int64) >= UP * (n[s:e, None].astype(np.int64) + n[None, s:e])
-        near &= (node[s:e, None] < node[None, s:e]) & (part[s:e, None] != part[None, s:e])
-        if cross[s]:
-            near &= left[s:e, None] != left[None, s:e]
-        i, j = np.nonzero(near)
-        yield pa.RecordBatch.from_arrays([pa.array(node[s:e][i]), pa.array(node[s:e][j])], names=["a", "b"])
+def in_components(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs whose nodes are not in one component yet."""
+    one, two = found.toDF("a", "_x"), found.toDF("b", "_y")
+    both = pairs.join(one, "a", "left").join(two, "b", "left")
+    return both.where(F.coalesce("_x", "a") != F.coalesce("_y", "b")).drop("_x", "_y")
 
 
-def alike_groups(texts: DataFrame, size: int = 5, seed: int = 42) -> DataFrame:
+def similar_groups(texts: DataFrame, size: int = 5, seed: int = 42, recall: float = 0.95, small: int = SMALL) -> DataFrame:
     """(doc_id, _digest, group) for each row of texts (doc_id, text, _digest): those that links join have one group.
 
-    A link is a Jaccard similarity of at least UP / DOWN between sets of lower-cased word shingles. Equal sets are one
-    node. First each node is compared with one of the smallest nodes of those that share a shingle; then whatever
-    shares a shingle and is not joined yet, pair by pair: no pair that could join two groups is left out.
+    A link is a Jaccard similarity of at least UP / DOWN between sets of lower-cased word shingles; no other pair
+    links, and a pair just at this similarity is found with at least the chance `recall`, closer ones almost surely.
+    Texts whose fingerprints are equal in all bits are one node, and so are texts without words. First each node is verified with
+    the one of its partners that differs in fewest bits, then all pairs that these links have not joined.
     """
-    rows = keep(marked(texts, size, seed), "marked")
-    marks = rows.select("node", "n", "mark").dropDuplicates(["node"])
-    by = W.partitionBy("key").orderBy("node").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    ends = {"a": F.first("node").over(by), "_n": F.first("n").over(by), "_room": F.first("room").over(by), "_z": F.last("node").over(by)}
-    shared = keep(prefixes(texts, size, seed).withColumns(ends).where("a < _z").drop("_z").distinct(), "shared")
-    room = (UP + DOWN) * F.least("room", "_room").cast("long") >= UP * (F.col("n").cast("long") + F.col("_n"))
-    star = shared.where((F.col("node") != F.col("a")) & room).select("a", F.col("node").alias("b")).distinct()
-    nearest = F.min_by("a", F.struct(F.col("differ") / F.col("size"), "a")).alias("a")
-    star = keep(possible(marks, star).groupBy("b").agg(nearest).select("a", "b"), "star")
-    links = keep(alike(texts, star, size, seed), "links")
-    found = connected_components(links)
-    placed = keep(shared.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("key", "node", "n", "room", F.coalesce("component", "node").alias("component")), "placed")
-    several = placed.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_z")).where("_a < _z").select("key")
-    rest = in_groups(placed.join(several, "key"), ["key"], apart, "a long, b long").distinct()
-    rest = keep(possible(marks, rest.join(star, ["a", "b"], "left_anti")).select("a", "b"), "rest")
+    rows = keep(wide_fingerprints(texts, size, seed), "prints")
+    nodes = rows.groupBy("node").agg(F.min("_digest").alias("_digest"), *(F.first(c).alias(c) for c in PRINT))
+    nodes = keep(nodes, "nodes")
+    blocks, named = Blocks(nodes.count(), recall), nodes.select("node", "_digest")
+    met = keep(meetings(keyed(nodes, blocks), blocks, small), "met")
+    pairs = met.where("b is not null").select("a", "b", "differ")
+    # a pair may come twice where it met by the first and by a following row
+    both = pairs.union(pairs.select("b", "a", "differ").toDF("a", "b", "differ"))
+    nearest = both.groupBy("b").agg(F.min_by("a", F.struct("differ", "a")).alias("a"))
+    nearest = nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = verified(texts, named, keep(nearest, "nearest"), size, seed)
+    found = keep(connected_components(links), "components")
+    large = met.where("b is null").select("key", "a", *PRINT).distinct()
+    placed = large.join(found.toDF("a", "_c"), "a", "left").withColumn("component", F.coalesce("_c", "a")).drop("_c")
+    placed = keep(placed, "placed")
+    several = placed.groupBy("key").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x < _y").select("key")
+    rest = in_groups(placed.join(several, "key"), ["key"], apart(blocks), "a long, b long, differ long")
+    rest = keep(in_components(pairs, found).union(rest).select("a", "b").distinct(), "rest")
     if not rest.isEmpty():
-        found = connected_components(links.union(alike(texts, rest, size, seed)))
+        found = connected_components(links.union(verified(texts, named, rest, size, seed)))
+    discard(met, placed)
     group = F.coalesce("component", "node").alias("group")
     return rows.select("doc_id", "_digest", "node").join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("doc_id", "_digest", group)
