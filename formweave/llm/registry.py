@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .collisions import op6_embedding_near_dedup
+from .debruijn import SQL as DEBRUIJN_SQL
 from .debruijn import op2_debruijn_dedup
 from .langid import op9_language_id
 from .lm import op8_lm_scores
@@ -12,6 +13,7 @@ from .mixing import op4_mixing
 from .packing import op5_best_fit_packing
 from .pii import op3_pii_pseudonyms
 from .simhash import op10_simhash_near_dedup
+from .suffixes import SQL as SUFFIXES_SQL
 from .suffixes import op7_suffix_array_dedup
 
 QUERIES = {
@@ -28,4 +30,6 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_maxscore_topk": MAXSCORE_SQL,
+    "op2_debruijn_dedup": DEBRUIJN_SQL,
+    "op7_suffix_array_dedup": SUFFIXES_SQL,
 }

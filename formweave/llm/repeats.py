@@ -13,8 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import keep, pieces, ragged, run_hashes, text_bytes, tidy, word_hashes, words
 
@@ -70,11 +72,53 @@ def sampled_positions(docs: DataFrame, k: int, w: int) -> DataFrame:
     return known(docs).mapInArrow(run, "m long, doc_id long, digest long, pos int")
 
 
+def sharing(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The rows of which another row has the same key, whatever share of all rows one key has.
+
+    Rows are range-partitioned and sorted by key and order, so a frequent key fills as many partitions as it needs;
+    a row is compared with the rows next to it, and those at the edges of partitions are settled among themselves.
+    """
+    names = rows.columns
+    ordered = rows.repartitionByRange(*key, *order).sortWithinPartitions(*key, *order)
+
+    def judge(table: pa.Table, begin: int, end: int, first: bool, last: bool) -> pa.RecordBatch:
+        """Rows begin .. end - 1 that match a row next to them, or have their neighbour in another partition."""
+        same = np.ones(table.num_rows - 1, bool)
+        for c in key:
+            x = table[c].combine_chunks()
+            same &= np.asarray(pc.equal(x[1:], x[:-1]))
+        sure, edge = np.concatenate(([False], same)) | np.concatenate((same, [False])), np.zeros(table.num_rows, bool)
+        edge[0], edge[-1] = first, last
+        pick = begin + np.flatnonzero((sure | edge)[begin:end])
+        found = table.take(pa.array(pick))
+        columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in found.columns]
+        columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) and c.num_chunks else c for c in columns]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(edge[pick]), pa.array(sure[pick])], names=[*names, "_edge", "_sure"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, first = None, True  # the last row waits for its right neighbour, beside the one before it
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now])
+            if held.num_rows > 2:
+                cut = held.num_rows - 1
+                yield judge(held, 0 if first else 1, cut, first, False)
+                held, first = held.slice(cut - 1), False
+        if held is not None and held.num_rows:
+            yield judge(held, 0 if first else 1, held.num_rows, first, True)
+
+    judged = keep(ordered.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("_edge", T.BooleanType()), T.StructField("_sure", T.BooleanType())])), "sharing")
+    edges = judged.where("_edge").groupBy(*key).agg(F.count("*").alias("_c")).where("_c > 1").drop("_c")
+    rest = judged.where("_edge and not _sure").join(edges, key).select(*judged.columns)
+    return judged.where("_sure").unionByName(rest).select(*names)
+
+
 def segments(docs: DataFrame, candidates: DataFrame, k: int, w: int) -> DataFrame:
     """The segments at the candidate positions (doc_id, digest, pos): one row for each row of docs that has them.
 
-    doc_id, digest, m, s (digest of the segment's words), a (its first word), n (number of windows), windows
-    (8 bytes for each window's hash), before and after (hash of the candidate segment that adjoins, or null).
+    doc_id, digest, m, s (digest of the segment's words), name (its first 8 bytes), a (its first word), n (number of
+    windows), windows (8 bytes for each window's hash), before and after (name of the candidate segment that adjoins,
+    or null).
     """
     at = candidates.groupBy(*KEY).agg(F.collect_set("pos").alias("at"))
     docs = known(docs)
@@ -104,27 +148,28 @@ def segments(docs: DataFrame, candidates: DataFrame, k: int, w: int) -> DataFram
             none = np.ones(1, bool)[: len(a)]
             before = pa.array(np.roll(short, 1), mask=np.concatenate((none, ~joins)))
             after = pa.array(np.roll(short, -1), mask=np.concatenate((~joins, none)))
-            columns = [batch["doc_id"].take(row), batch["digest"].take(row), pa.array(m.view(np.int64)), pa.array(s, pa.binary()), pa.array((a - first[text]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(codes, pa.binary()), before, after]
-            yield pa.RecordBatch.from_arrays(columns, names=[*KEY, "m", "s", "a", "n", "windows", "before", "after"])
+            columns = [batch["doc_id"].take(row), batch["digest"].take(row), pa.array(m.view(np.int64)), pa.array(s, pa.binary()), pa.array(short), pa.array((a - first[text]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(codes, pa.binary()), before, after]
+            yield pa.RecordBatch.from_arrays(columns, names=[*KEY, "m", "s", "name", "a", "n", "windows", "before", "after"])
+
+    return joined.mapInArrow(run, "doc_id long, digest long, m long, s binary, name long, a int, n int, windows binary, before long, after long")
+
 
-    return joined.mapInArrow(run, "doc_id long, digest long, m long, s binary, a int, n int, windows binary, before long, after long")
+def distinct_segments(found: DataFrame) -> DataFrame:
+    """m, s, n, name, windows, copies, and _before / _after: the segment that adjoins all copies, or null."""
+    same = lambda c: F.when((F.count(c) == F.count("*")) & (F.min(c) == F.max(c)), F.min(c))
+    return found.groupBy("m", "s", "n").agg(F.count("*").alias("copies"), F.first("name").alias("name"), F.first("windows").alias("windows"), same("before").alias("_before"), same("after").alias("_after"))
 
 
-def repeated_segments(found: DataFrame) -> DataFrame:
-    """m, s, mask (bit i: window i of the segment also starts elsewhere), copies, opens and closes for each distinct
-    segment with such a window; opens / closes: another segment, or none, may come before / after it.
+def repeated_segments(per: DataFrame, salts: int = 16) -> DataFrame:
+    """m, s and mask (bit i: window i of the segment also starts elsewhere) for each distinct segment with such a window.
 
     A segment that occurs twice repeats all its windows. Windows are only compared one by one where a segment that
-    occurs once shares its minimiser with others; each distinct segment is then taken once with its copies.
+    occurs once shares its minimiser with others; each distinct segment is then taken once with its copies. A
+    minimiser with very many different segments is dealt to several tasks.
     """
-    per = found.groupBy("m", "s", "n").agg(
-        F.count("*").alias("copies"), F.first("windows").alias("windows"),
-        *(F.min(c).alias(f"{c}_min") for c in ("before", "after")), *(F.max(c).alias(f"{c}_max") for c in ("before", "after")),
-        *(F.count(c).alias(f"{c}_n") for c in ("before", "after")),
-    )
-    per = keep(per, "distinct")
-    mixed = per.groupBy("m").agg(F.min("copies").alias("least"), F.count("*").alias("kinds")).where("least = 1 and kinds > 1").select(F.col("m").alias("_m"))
-    some = per.join(mixed, F.col("m") == F.col("_m")).drop("_m")
+    mixed = per.groupBy("m").agg(F.min("copies").alias("least"), F.count("*").alias("kinds")).where("least = 1 and kinds > 1")
+    mixed = mixed.select(F.col("m").alias("_m"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_t"))
+    some = per.withColumn("_salt", F.pmod(F.xxhash64("s"), F.lit(salts)).cast("int")).join(mixed, (F.col("m") == F.col("_m")) & (F.col("_salt") == F.col("_t")))
     ones = some.select("m", "s", "copies", "windows", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
     ones = ones.select("m", "s", "copies", "i", F.expr("substring(windows, 8 * i + 1, 8)").alias("code"))
     # equal windows have equal minimisers, so the count is by both
@@ -132,7 +177,16 @@ def repeated_segments(found: DataFrame) -> DataFrame:
     once = ones.where("copies = 1").join(again, ["m", "code"])
     masks = once.groupBy("s").agg(F.expr("bit_or(shiftleft(1L, i))").alias("mask")).withColumnRenamed("s", "_s")
     out = per.join(masks, F.col("s") == F.col("_s"), "left")
-    full = F.expr("shiftleft(1L, n) - 1")
-    alike = lambda c: (F.col(f"{c}_n") == F.col("copies")) & (F.col(f"{c}_min") == F.col(f"{c}_max"))
-    out = out.withColumn("mask", F.when(F.col("copies") > 1, full).otherwise(F.col("mask"))).where("mask is not null")
-    return out.select("m", "s", "mask", "copies", (~F.coalesce(alike("before"), F.lit(False))).alias("opens"), (~F.coalesce(alike("after"), F.lit(False))).alias("closes"))
+    out = out.withColumn("mask", F.when(F.col("copies") > 1, F.expr("shiftleft(1L, n) - 1")).otherwise(F.col("mask"))).where("mask is not null")
+    return out.select("m", "s", "mask", "copies")
+
+
+def covered(parts: list[tuple[int, int]], window: int) -> Iterator[tuple[int, int]]:
+    """Words (begin, end) under the windows that each (first word, mask of windows) has, run by run."""
+    for at, mask in parts:
+        while mask:
+            skip = (mask & -mask).bit_length() - 1
+            mask, at = mask >> skip, at + skip
+            run = (~mask & (mask + 1)).bit_length() - 1
+            yield at, at + run + window - 1
+            mask, at = mask >> run, at + run

@@ -4,56 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, load
-from .repeats import KEY, repeated_segments, sampled_positions, segments
+from .common import discard, keep, load
+from .repeats import KEY, covered, distinct_segments, repeated_segments, sampled_positions, segments, sharing
 
 #: Least words of a repeated passage, and words that retained suffixes are sorted by.
 LEAST_WORDS = 50
 SORT_WORDS = 18
 
 
-def matching_suffixes(suffixes: DataFrame) -> DataFrame:
-    """doc_id, digest, pos of the suffixes that begin with the same words as a neighbour in sorted order.
-
-    The order is by the hash of the leading words, then by document and place, so that a frequent passage is spread
-    over as many sorted partitions as it fills. Neighbours across two partitions are settled by their edge rows.
-    """
-    ordered = suffixes.repartitionByRange("m", *KEY, "pos").sortWithinPartitions("m", *KEY, "pos")
-
-    def judge(table: pa.Table, begin: int, end: int, first: bool, last: bool) -> pa.RecordBatch:
-        """Rows begin .. end - 1 that match a row next to them, or have their neighbour in another partition."""
-        m = table["m"].combine_chunks().to_numpy()
-        same = np.concatenate(([False], m[1:] == m[:-1], [False]))
-        sure, edge = same[:-1] | same[1:], np.zeros(len(m), bool)
-        edge[0], edge[-1] = first, last
-        pick = begin + np.flatnonzero((sure | edge)[begin:end])
-        rows = table.take(pa.array(pick)).combine_chunks()
-        columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in rows.columns]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(edge[pick]), pa.array(sure[pick])], names=[*table.schema.names, "edge", "sure"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, first = None, True  # the last row waits for its right neighbour, beside the one before it
-        for batch in batches:
-            now = pa.Table.from_batches([batch])
-            held = now if held is None else pa.concat_tables([held, now])
-            if held.num_rows > 2:
-                cut = held.num_rows - 1
-                yield judge(held, 0 if first else 1, cut, first, False)
-                held, first = held.slice(cut - 1), False
-        if held is not None and held.num_rows:
-            yield judge(held, 0 if first else 1, held.num_rows, first, True)
-
-    judged = keep(ordered.mapInArrow(run, "m long, doc_id long, digest long, pos int, edge boolean, sure boolean"), "suffixes")
-    edges = judged.where("edge").groupBy("m").agg(F.count("*").alias("c")).where("c > 1").select(F.col("m").alias("_m"))
-    rest = judged.where("edge and not sure").join(edges, F.col("m") == F.col("_m")).drop("_m")
-    return judged.where("sure").unionByName(rest).select(*KEY, "pos")
-
-
 def repeated_passages(docs: DataFrame, least: int = LEAST_WORDS, k: int = SORT_WORDS) -> DataFrame:
     """doc_id, n_repeated (words in repeated passages) and passages (array of struct(begin, end, copies)), one row
     for each row of docs that has any.
@@ -67,8 +29,9 @@ def repeated_passages(docs: DataFrame, least: int = LEAST_WORDS, k: int = SORT_W
     docs = docs.select("doc_id", "text")
     w = least - k + 1
     suffixes = keep(sampled_positions(docs, k, w), "places")
-    found = keep(segments(docs, matching_suffixes(suffixes), k, w), "segments")
-    flags = repeated_segments(found).withColumnsRenamed({"m": "_m", "s": "_s"}).drop("opens", "closes")
+    found = keep(segments(docs, sharing(suffixes, ["m"], [*KEY, "pos"]).select(*KEY, "pos"), k, w), "segments")
+    discard(suffixes)
+    flags = repeated_segments(keep(distinct_segments(found), "distinct")).withColumnsRenamed({"m": "_m", "s": "_s"})
     # a segment has one row for each row of docs; only the number of rows of a text is kept of that
     rows = found.groupBy(*KEY, "m", "s", "a").agg(F.count("*").alias("rows")).join(flags, (F.col("m") == F.col("_m")) & (F.col("s") == F.col("_s")))
     lists = rows.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("a", "mask", "copies"))).alias("parts"), F.min("rows").alias("rows"))
@@ -88,19 +51,29 @@ def extend(parts: list[dict], least: int) -> list[tuple[int, int, int]]:
     """Passages of one text: repeated windows in order, joined where they meet."""
     out: list[list[int]] = []
     for p in parts:
-        mask, at = p["mask"], p["a"]
-        while mask:
-            skip = (mask & -mask).bit_length() - 1
-            mask, at = mask >> skip, at + skip
-            run = (~mask & (mask + 1)).bit_length() - 1
-            if out and out[-1][1] >= at:
-                out[-1][1] = at + run + least - 1
+        for begin, end in covered([(p["a"], p["mask"])], least):
+            if out and out[-1][1] >= begin:
+                out[-1][1] = end
                 out[-1][2] = max(out[-1][2], p["copies"])
             else:
-                out.append([at, at + run + least - 1, p["copies"]])
-            mask, at = mask >> run, at + run
+                out.append([begin, end, p["copies"]])
     return [tuple(x) for x in out]
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(load(spark, sf_dir, "documents"))
+    """doc_id, n_repeated and passages (begin-end of each, by words) of the documents that have any."""
+    found = repeated_passages(load(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("passages", lambda p: F.concat(p["begin"].cast("string"), F.lit("-"), p["end"].cast("string"))), " ")
+    return found.select("doc_id", "n_repeated", spans.alias("passages"))
+
+
+SQL = """
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+x AS (SELECT r, unnest(range(1, len(w) - 48)) AS i, w FROM t WHERE len(w) >= 50),
+h AS (SELECT r, i, md5(array_to_string(w[i : i + 49], ' ')) AS h FROM x),
+d AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
+s AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM h JOIN d USING (h)),
+g AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS g FROM s),
+p AS (SELECT r, g, min(i) - 1 AS b, max(i) + 49 AS e FROM g GROUP BY r, g)
+SELECT doc_id, CAST(sum(e - b) AS BIGINT) AS n_repeated, string_agg(b || '-' || e, ' ' ORDER BY b) AS passages FROM p JOIN t USING (r) GROUP BY r, doc_id
+"""
