@@ -154,12 +154,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def run_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the values from each start to its end, the same wherever they stand."""
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(BASE, len(values)), out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * powers(BASE_INVERSE, len(values) + 1)[starts])
+
+
 def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word, alike in every task."""
-    raw = np.frombuffer(data, np.uint8)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[raw] * powers(BASE, len(raw)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * powers(BASE_INVERSE, len(raw) + 1)[starts])
+    return run_sums(BYTE_VALUES[np.frombuffer(data, np.uint8)], starts, ends)
 
 
 def run_hashes(h: np.ndarray, n: int) -> np.ndarray:

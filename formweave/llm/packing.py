@@ -32,19 +32,33 @@ LONG_BLANK = re.compile(r"\s{2000}")
 
 
 @lru_cache(2)
-def encoder(name: str = "byte_bpe_50k") -> Callable[[str], list[int]]:
+def encoder(name: str = "byte_bpe_50k") -> Callable[..., np.ndarray]:
     """Ids of the public vocabulary; its rank file gives the same ids as the tokenizers file, several times as fast.
 
     Texts with very long white space go through the tokenizers file itself.
     """
     import public_tokenizers
     import tiktoken
+
+    fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(name), special_tokens={})
+
+    def encode(text: str, tidy: bool = False) -> np.ndarray:
+        """tidy: the text has no two white-space characters of ASCII beside each other."""
+        if len(text) > 2000 and not (tidy and text.isascii()) and LONG_BLANK.search(text):
+            return np.array(slow_encoder(name).encode(text, add_special_tokens=False).ids, np.uint32)
+        return fast.encode_to_numpy(text, disallowed_special=())
+
+    return encode
+
+
+@lru_cache(2)
+def slow_encoder(name: str):
+    import public_tokenizers
     from tokenizers import Tokenizer
 
-    fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(name), special_tokens={}).encode_ordinary
     slow = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-    slow.encode_special_tokens = True
-    return lambda text: slow.encode(text, add_special_tokens=False).ids if LONG_BLANK.search(text) else fast(text)
+    slow.encode_special_tokens = True  # their strings in a text are ordinary text
+    return slow
 
 
 def ranks(name: str) -> dict[bytes, int]:
@@ -70,7 +84,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, name: str = "byte_bp
         for batch in pieces(batches):
             rows: list[tuple] = []
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                ids = np.array([*encode(text), END_ID], "<u4").tobytes()
+                ids = np.append(encode(text), np.uint32(END_ID)).astype("<u4").tobytes()
                 n = len(ids) // 4
                 at = 0
                 for k in range(-(-n // capacity)):
