@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -31,6 +32,73 @@ def ratio(a: str, b: str) -> float:
     return 200.0 * common_length(a, b) / (len(a) + len(b)) if a or b else 100.0
 
 
+def window_ratios(forms: list[tuple[list[str], list[str]]], longest: list[list[int]]) -> list[list[np.ndarray]]:
+    """For each form (values, words) and value x a table t: t[n, e] is the ratio of x and the n words before e, joined
+    by a space, up to its `longest` n; -inf where there are none.
+
+    All windows of all forms that begin at one word are followed at once, a character a step, with one machine word
+    for each row of the matrix; where a word ends, the row tells the common length of the window so far. Values too
+    long for that go one by one.
+    """
+    tables = [[np.full((k + 1, len(words) + 1), -np.inf) for k in sizes] for (_, words), sizes in zip(forms, longest)]
+    values, value_of, starts, ends, slots = {}, [], [], [], []
+    text, at = [], 0
+    for f, (asked, words) in enumerate(forms):
+        begin = at + np.concatenate(([0], np.cumsum([len(w) + 1 for w in words]))).astype(np.int64)
+        text.append(" ".join(words) + " ")
+        at += len(text[-1])
+        for i, x in enumerate(asked):
+            table = tables[f][i]
+            table[0] = 0.0 if x else 100.0
+            if len(x) > 64:
+                for k in range(1, min(len(table), len(words) + 1)):
+                    table[k, k:] = [ratio(x, " ".join(words[e - k : e])) for e in range(k, len(words) + 1)]
+                continue
+            v = values.setdefault(x, len(values))
+            for s in range(len(words)):
+                value_of.append(v)
+                starts.append(begin[s])
+                ends.append(begin[min(len(words), s + len(table) - 1)] - 1)
+                slots.append((f, i, s))
+    if not slots:
+        return tables
+    letters, codes = np.unique(np.frombuffer("".join(text).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+    word_end = np.zeros(len(codes) + 1, bool)
+    word_no = np.zeros(len(codes) + 1, np.int64)
+    at = 0
+    for _, words in forms:
+        e = at + np.cumsum([len(w) + 1 for w in words]) - 2 if words else np.zeros(0, np.int64)
+        word_end[e], word_no[e] = True, np.arange(1, len(words) + 1)
+        at += sum(map(len, words)) + max(1, len(words))
+    masks = np.zeros((len(values), len(letters)), np.uint64)
+    for x, v in values.items():
+        cp = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32)
+        c = np.searchsorted(letters, cp)
+        for i in np.flatnonzero((c < len(letters)) & (letters[np.minimum(c, len(letters) - 1)] == cp)).tolist():
+            masks[v, c[i]] |= np.uint64(1 << i)
+    size = np.array([len(x) for x in values], np.int64)
+    full = np.array([(1 << len(x)) - 1 for x in values], np.uint64)
+    value_of, starts, ends = np.array(value_of), np.array(starts), np.array(ends)
+    order = np.argsort(starts - ends, kind="stable")  # longest first, so that those still going are the first ones
+    value_of, starts, ends = value_of[order], starts[order], ends[order]
+    going = np.searchsorted(starts - ends, -np.arange(int((ends - starts).max(initial=0))), "left")
+    row = np.full(len(order), ~np.uint64(0))
+    found: list[tuple[np.ndarray, ...]] = []
+    for j, n in enumerate(going.tolist()):
+        place = starts[:n] + j
+        v, u = row[:n], row[:n] & masks[value_of[:n], codes[place]]
+        row[:n] = (v + u) | (v - u)
+        done = np.flatnonzero(word_end[place])
+        if len(done):
+            which = value_of[done]
+            common = size[which] - np.bitwise_count(row[done] & full[which])
+            found.append((order[done], word_no[place[done]], 200.0 * common / (size[which] + j + 1)))
+    for item, e, r in zip(*(np.concatenate(x).tolist() for x in zip(*found))) if found else ():
+        f, i, s = slots[item]
+        tables[f][i][e - s, e] = r
+    return tables
+
+
 def with_ratio(df: DataFrame, left: str, right: str, name: str = "ratio") -> DataFrame:
     """df with the ratio of two string columns (null where either is null), for strings of any length."""
 

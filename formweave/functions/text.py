@@ -29,8 +29,8 @@ def accented() -> tuple[str, str]:
 
 
 def strip_accents(c: Column) -> Column:
-    """Letters without their marks: combining ones go, accented letters become plain."""
-    return F.translate(F.regexp_replace(c, r"\p{Mn}", ""), *accented())
+    """Letters without their marks: combining ones go, accented letters become plain. ASCII texts are taken as they are."""
+    return F.when(c.rlike(r"^[\x00-\x7F]*$"), c).otherwise(F.translate(F.regexp_replace(c, r"\p{Mn}", ""), *accented()))
 
 
 def collapse(c: Column) -> Column:

@@ -12,13 +12,15 @@ from pyspark.sql import types as T
 
 from formweave.catalog import FIELDS
 from formweave.functions.scoring import field_score
-from formweave.functions.similarity import ratio
+from formweave.functions.similarity import window_ratios
 from formweave.functions.text import collapse, tokens
 
-#: Words that a value may take beyond its own number when it is located, and similarity that recovers a lost one.
+# Words that a value may take beyond its own number when it is located, and similarities that recover a lost one.
 SLACK = 4
 RECOVER_ONE, RECOVER_MORE = 40.0, 55.0
 LOCATED = [f for f in FIELDS if f[3]]
+#: Forms that are aligned together.
+AT_ONCE = 256
 #: Known values that a kernel may hold; more are refused rather than sent to every task.
 MOST_LISTED = 100_000
 
@@ -54,24 +56,19 @@ def best_chain(tables: list[np.ndarray], skip: bool) -> list[tuple[int, int]]:
 
 def align(expected: list[str], words: list[str]) -> list[tuple[int, int]]:
     """The run of words that each expected value most likely is, in order; (n, n) where none was found."""
-    if not expected:
+    return align_all([(expected, words)])[0]
+
+
+def align_all(forms: list[tuple[list[str], list[str]]]) -> list[list[tuple[int, int]]]:
+    """align() of many forms at once."""
+    sizes = [[max(1, len(x.split())) for x in expected] for expected, _ in forms]
+    tables = window_ratios(forms, [[n + SLACK for n in of] for of in sizes])
+    return [located(t, n, len(words)) for t, n, (_, words) in zip(tables, sizes, forms)]
+
+
+def located(tables: list[np.ndarray], sizes: list[int], m: int) -> list[tuple[int, int]]:
+    if not tables:
         return []
-    m = len(words)
-    sizes = [max(1, len(x.split())) for x in expected]
-    known: dict[tuple[str, str], float] = {}
-
-    def alike(x: str, begin: int, end: int) -> float:
-        pair = x, " ".join(words[begin:end])
-        if pair not in known:
-            known[pair] = ratio(*pair)
-        return known[pair]
-
-    tables = []
-    for x, n in zip(expected, sizes):
-        t = np.full((n + SLACK + 1, m + 1), -np.inf)
-        for k in range(min(len(t), m + 1)):
-            t[k, k:] = [alike(x, e - k, e) for e in range(k, m + 1)]
-        tables.append(t)
     runs = best_chain(tables, skip=True)
     taken = np.zeros(m + 1, bool)
     for b, e in runs:
@@ -81,7 +78,7 @@ def align(expected: list[str], words: list[str]) -> list[tuple[int, int]]:
             continue
         low = runs[i - 1][1] if i else 0
         high = next((b2 for b2, e2 in runs[i + 1 :] if e2 > b2), m)
-        tries = [(alike(expected[i], s, s + k), -s, -k) for s in range(low, high) for k in range(1, sizes[i] + 2) if s + k <= high and not taken[s : s + k].any()]
+        tries = [(float(tables[i][k, s + k]), -s, -k) for s in range(low, high) for k in range(1, sizes[i] + 2) if s + k <= high and not taken[s : s + k].any()]
         if tries:
             score, s, k = max(tries)
             if score >= (RECOVER_ONE if sizes[i] <= 1 else RECOVER_MORE):
@@ -107,12 +104,11 @@ def align_forms(forms: DataFrame, expected: Column, text: Column, keys: list[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for values, words, shown in zip(*(batch[c].to_pylist() for c in ("_values", "_words", "_shown"))):
-                some = [(k, v) for k, v in zip(keys, values) if v]
-                spans = align([v for _, v in some], words)
-                out.append([{"field": k, "begin": b, "end": e, "found": " ".join(shown[b:e])} for (k, _), (b, e) in zip(some, spans)])
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array(out, kind)], names=[*columns, "spans"])
+            for part in (batch.slice(i, AT_ONCE) for i in range(0, batch.num_rows, AT_ONCE)):
+                some = [[(k, v) for k, v in zip(keys, values) if v] for values in part["_values"].to_pylist()]
+                spans = align_all([([v for _, v in fields], words) for fields, words in zip(some, part["_words"].to_pylist())])
+                out = [[(k, b, e, " ".join(shown[b:e])) for (k, _), (b, e) in zip(*both)] for *both, shown in zip(some, spans, part["_shown"].to_pylist())]
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in columns), pa.array(out, kind)], names=[*columns, "spans"])
 
     span = T.StructType([T.StructField("field", T.StringType()), T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("found", T.StringType())])
     return rows.mapInArrow(run, T.StructType([*forms.schema.fields, T.StructField("spans", T.ArrayType(span))]))

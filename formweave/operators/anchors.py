@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from formweave.functions.text import total_amount
 
 # States and card types that are looked for, and the questions in the order of their answers.
-STATES = "AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY DC NA".split()
+STATES = [
+    "AL", "AK", "AZ", "AR", "CA", "CO", "CT", "DE", "FL", "GA", "HI", "ID", "IL", "IN", "IA", "KS", "KY", "LA",
+    "ME", "MD", "MA", "MI", "MN", "MS", "MO", "MT", "NE", "NV", "NH", "NJ", "NM", "NY", "NC", "ND", "OH", "OK",
+    "OR", "PA", "RI", "SC", "SD", "TN", "TX", "UT", "VT", "VA", "WA", "WV", "WI", "WY", "DC", "NA",
+]
 CARDS = ["Cash-Credit Card", "American Express", "MasterCard", "Visa", "Diners Club", "Credit Card"]
 QUESTIONS = ["q1_alcohol", "q2_medication", "q3a_hypertension", "q3b_diabetes", "q3c_cardiovascular", "q3d_genitourinary", "q4_hiv", "q5_other_insurance", "q6_involved_pursue", "q7_glasses"]
 # Shapes of the anchors.
@@ -16,6 +20,10 @@ EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}"
 POLICY, CARD_NO = "P-[A-Za-z0-9]{10,}", "C-[0-9]{10,}"
 DATE, ZIP, PHONE = "[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}", r"\b[0-9]{5}(?:-[0-9]{4})?\b", r"[(]?[0-9]{3}[)]?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}"
 LONG_CODE = r"\b[A-Za-z0-9]{10,}\b"
+RECORD, INVOICE = r"(?i:L[-_\s]?[I1][@\s]?[0-9]{4,6})", "21-[0-9]{4,6}"
+CUSTOMER, FILE_NO = r"\b[A-Za-z0-9]{5,10}\b", r"\b[A-Za-z0-9]{6,16}\b"
+WORD, MEASURE = "(?i:N[.]A[.]|[A-Za-z]{2,})", r"\b[0-9]{2,3}\b"
+BLOOD, HOLDER = r"\b(?:AB|A|B|O)[+-]", r"(?i:N[.]A[.]|[A-Za-z?][A-Za-z0-9?.\s]{2,40})"
 
 
 def first(c: Column, pattern: str, group: int = 0) -> Column:
@@ -36,6 +44,11 @@ def after(c: Column, found: Column) -> Column:
     return F.when(found == "", F.lit("")).otherwise(F.substring(c, F.instr(c, found) + F.length(found), F.length(c)))
 
 
+def past(c: Column, pattern: str) -> Column:
+    """The text after the first match of a pattern; all of it if there is none."""
+    return F.regexp_replace(c, f"(?s)^.*?(?:{pattern})", "")
+
+
 def without(c: Column, found: Column) -> Column:
     """c with the first place of `found` made a space."""
     return F.when(found == "", c).otherwise(F.concat(before(c, found), F.lit(" "), after(c, found)))
@@ -66,12 +79,12 @@ def anchored(forms: DataFrame, text: str = "text") -> DataFrame:
     middle = before(after(t, F.col("ph_email")), F.col("policy_no"))
     agent = before(after(t, F.col("policy_no")), F.col("_yes"))
     pay = F.element_at(F.split(before(t, F.col("card_no")), r"(?i:\b(?:Yes|No)\b)"), -1)
-    df = df.withColumns({"_head": head, "_middle": middle, "_agent": agent, "_pay": pay, "_last": after(t, F.col("card_no"))})
-    # name and address follow the date; numbers before it are none of theirs
-    day = first(F.col("_head"), DATE)
-    df = df.withColumn("_block", F.when(day == "", F.col("_head")).otherwise(after(F.col("_head"), day)))
+    df = df.withColumns({"_head": head, "_middle": F.trim(middle), "_agent": agent, "_pay": pay, "_last": after(t, F.col("card_no"))})
+    # after both numbers and the date come two codes, then the holder's name and address
+    df = df.withColumn("_after", past(past(past(F.col("_head"), RECORD), f"{RECORD}|{INVOICE}"), DATE))
+    df = df.withColumns({"customer_id": first(F.col("_after"), CUSTOMER), "_file": past(F.col("_after"), CUSTOMER)})
+    df = df.withColumns({"file_no": first(F.col("_file"), FILE_NO), "_block": F.trim(past(F.col("_file"), FILE_NO))})
     h, m, a, p, z = (F.col(c) for c in ("_head", "_middle", "_agent", "_pay", "_last"))
-    b = F.col("_block")
     ids = F.regexp_extract_all(t, F.lit(r"(?i)L[-_\s]?[I1][@\s]?([0-9]{4,6})"), F.lit(1))
     number = lambda i: F.coalesce(F.concat(F.lit("L_I@"), F.try_element_at(ids, F.lit(i))), F.lit(""))
     second = lambda c, pattern, n: F.coalesce(F.try_element_at(every(c, pattern), F.lit(n)), F.lit(""))
@@ -81,20 +94,13 @@ def anchored(forms: DataFrame, text: str = "text") -> DataFrame:
         "record_no": number(1),
         "invoice_no": F.when(number(2) != "", number(2)).otherwise(first(h, "L-Max@LifeIns_21-[0-9]{4,6}")),
         "date_of_purchase": first(h, DATE),
-        "ph_phone": first(b, PHONE),
-        "ph_zip": first(without(b, first(b, PHONE)), ZIP),
-        "ph_state": state(b),
         "ph_dob": first(m, DATE),
-        "nominee_zip": first(m, ZIP),
-        "nominee_state": state(m),
-        "blood_group": first(m, r"\b(?:AB|A|B|O)[+-]"),
+        "blood_group": first(m, BLOOD),
         "reference_no": first(a, LONG_CODE),
         "plan_name": F.when(first(a, r"(?i:\bPLAN\s+[A-Z]\b)") != "", F.upper(F.regexp_replace(first(a, r"(?i:\bPLAN\s+[A-Z]\b)"), r"\s+", " "))).otherwise(""),
         "plan_code": first(after(a, first(a, r"(?i:\bPLAN\s+[A-Z]\b)")), r"\b[A-Za-z0-9]{3,}\b"),
         "sum_of_insured": first(a, "[0-9][0-9,]*[$]"),
         "period_of_insurance": F.when(first(a, r"(?i:[0-9]+\s*Year)") != "", F.concat(F.regexp_extract(a, r"(?i)([0-9]+)\s*Year", 1), F.lit(" Year"))).otherwise(""),
-        "agent_state": state(F.col("_codes")),
-        "agent_zip": first(F.col("_codes"), ZIP),
         "payment_option": first(p, r"(?i:Cash[-\s]?Credit\s+Card|Credit\s+Card|Cheque|enRoute)"),
         "premium": money(1),
         "discount": money(2),
@@ -110,7 +116,56 @@ def anchored(forms: DataFrame, text: str = "text") -> DataFrame:
     fields |= {q: F.coalesce(F.try_element_at(said, F.lit(i + 1)), F.lit("")) for i, q in enumerate(QUESTIONS)}
     df = df.withColumns({k: F.trim(v) for k, v in fields.items()})
     df = df.withColumn("total_amount", total_amount(F.col("premium"), F.col("discount")))
-    return df.drop("_yes", "_head", "_middle", "_agent", "_pay", "_last", "_codes", "_block")
+    df = nominee(card_holder(split_holder(df, "_block", "ph_")))
+    # the agent's name and address are what the codes, zip and state leave
+    df = df.withColumn("_codes", without(without(F.col("_codes"), F.col("agent_code")), F.col("agent_licence_no")))
+    df = three_parts(df, "_codes", "agent_")
+    return df.drop("_yes", "_head", "_middle", "_agent", "_pay", "_last", "_codes", "_block", "_after", "_file")
+
+
+def three_parts(df: DataFrame, block: str, prefix: str) -> DataFrame:
+    """df with zip, state, name, address and city (under prefix) of a block: zip and state come out first."""
+    df = df.withColumn(f"{prefix}zip", first(F.col(block), ZIP))
+    df = df.withColumns({f"{prefix}state": state(F.col(block)), "_rest": without(F.col(block), F.col(f"{prefix}zip"))})
+    df = split_address(df.withColumn("_rest", without_word(F.col("_rest"), F.col(f"{prefix}state"))), "_rest", "_split")
+    return df.withColumns({f"{prefix}{c}": F.col(f"_split.{c}") for c in ("name", "address", "city")}).drop("_rest", "_split")
+
+
+def without_word(c: Column, word: Column) -> Column:
+    """c with the first place of a word that stands alone made a space; all of c if the word is empty."""
+    gone = F.regexp_replace(c, F.concat(F.lit(r"(?s)^(.*?)\b"), word, F.lit(r"\b")), F.lit("$1 "))
+    return F.when(word == "", c).otherwise(gone)
+
+
+def nominee(df: DataFrame) -> DataFrame:
+    """df (_middle) with education and the nominee's fields, which stand between it and the blood group."""
+    m = F.col("_middle")
+    df = df.withColumn("_edu", F.when(first(m, DATE) != "", after(m, first(m, DATE))).otherwise(m))
+    df = df.withColumns({"education": first(F.col("_edu"), WORD), "_nom": F.when(first(F.col("_edu"), WORD) != "", past(F.col("_edu"), WORD)).otherwise(F.col("_edu"))})
+    df = df.withColumn("_nom", F.trim(F.regexp_extract(F.col("_nom"), r"(?s)^(.*?)(?:\b(?:AB|A|B|O)[+-].*)?$", 1)))
+    n, z = F.col("_nom"), F.col("nominee_zip")
+    df = df.withColumns({"nominee_zip": first(n, ZIP), "nominee_state": state(n)})
+    zone = F.when(z != "", after(n, z)).otherwise(F.substring(n, -20, 20))
+    df = df.withColumn("relation_with_nominee", first(zone, "(?i:N[.]A[.]|[A-Za-z]+)"))
+    df = df.withColumn("_nom", without(without_word(without(n, z), F.col("nominee_state")), F.col("relation_with_nominee")))
+    df = df.withColumn("_sizes", every(F.col("_nom"), MEASURE))
+    s, k = F.col("_sizes"), F.size("_sizes")
+    at = lambda i: F.coalesce(F.try_element_at(s, F.lit(i)), F.lit(""))
+    df = df.withColumns({
+        "chest": F.when(k >= 3, at(-3)).otherwise(""), "height": F.when(k >= 3, at(-2)).when(k == 2, at(1)).otherwise(""), "weight": F.when(k >= 3, at(-1)).when(k == 2, at(2)).otherwise(""),
+    })
+    rest = F.col("_nom")
+    for c in ("chest", "height", "weight"):
+        df = df.withColumn("_nom", without(rest, F.col(c)))
+    df = split_address(df, "_nom", "_split")
+    return df.withColumns({f"nominee_{c}": F.col(f"_split.{c}") for c in ("name", "address", "city")}).drop("_edu", "_nom", "_sizes", "_split")
+
+
+def card_holder(df: DataFrame) -> DataFrame:
+    """df (_last) with the name after the expiry date, without a code that follows it."""
+    rest = past(F.col("_last"), "(?i:N[.]A[.]|[A-Za-z0-9./]{3,8})")
+    found = F.trim(first(rest, HOLDER))
+    return df.withColumn("card_holder_name", F.trim(F.regexp_replace(found, r"\s+[A-Za-z0-9]{10,}$", "")))
 
 
 # What ends a street, marks a unit, and ends the name of a city in two words.
@@ -118,7 +173,7 @@ STREET_END = r"(?i:\b(?:street|road|avenue|boulevard|drive|lane|court|place|plaz
 UNIT = r"(?i:(?:\b(?:apt|suite|ste|unit|room|rm|floor|fl|lot)\b[.]?|#)\s*\w+)"
 NOT_ANY = r"(?i:\bnot\s+applicable\b|\bn[.]a[.]|\bna\b)"
 BOX = r"(?i:\b(?:p[.]?\s*o[.]?\s*)?box(?:\s+\w+)?\b)"
-CITY_END = "city county valley beach park springs falls grove lake hills heights village island creek harbor rapids".split()
+CITY_END = ["city", "county", "valley", "beach", "park", "springs", "falls", "grove", "lake", "hills", "heights", "village", "island", "creek", "harbor", "rapids"]
 
 
 LEADING = "^[.,?\\s]+"
@@ -170,12 +225,12 @@ def split_address(df: DataFrame, block: str, name: str = "split") -> DataFrame:
     return df.withColumn(name, split).drop("_b", "_w", "_number", "_none", "_box", "_unit", "_street", "_mark", "_pre", "_house", "_lead", "_tail", "_again")
 
 
-def split_holder(df: DataFrame, block: str) -> DataFrame:
+def split_holder(df: DataFrame, block: str, prefix: str = "") -> DataFrame:
     """df with name, address, city, state, zip, phone: phone, then zip, then the first known state come out first."""
+    phone, zip_, code = (F.col(f"{prefix}{c}") for c in ("phone", "zip", "state"))
     df = df.withColumn("_rest", F.coalesce(block, F.lit("")))
-    df = df.withColumn("phone", first(F.col("_rest"), PHONE)).withColumn("_rest", without(F.col("_rest"), F.col("phone")))
-    df = df.withColumn("zip", first(F.col("_rest"), ZIP)).withColumn("_rest", without(F.col("_rest"), F.col("zip")))
-    df = df.withColumn("state", state(F.col("_rest")))
-    gone = F.regexp_replace(F.col("_rest"), F.concat(F.lit(r"^(.*?)\b"), F.col("state"), F.lit(r"\b")), F.lit("$1 "))
-    df = split_address(df.withColumn("_rest", F.when(F.col("state") == "", F.col("_rest")).otherwise(gone)), "_rest", "_split")
-    return df.withColumns({c: F.col(f"_split.{c}") for c in ("name", "address", "city")}).drop("_rest", "_split")
+    df = df.withColumn(f"{prefix}phone", first(F.col("_rest"), PHONE)).withColumn("_rest", without(F.col("_rest"), phone))
+    df = df.withColumn(f"{prefix}zip", first(F.col("_rest"), ZIP)).withColumn("_rest", without(F.col("_rest"), zip_))
+    df = df.withColumn(f"{prefix}state", state(F.col("_rest")))
+    df = split_address(df.withColumn("_rest", without_word(F.col("_rest"), code)), "_rest", "_split")
+    return df.withColumns({f"{prefix}{c}": F.col(f"_split.{c}") for c in ("name", "address", "city")}).drop("_rest", "_split")

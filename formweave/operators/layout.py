@@ -136,6 +136,11 @@ def union_box(boxes: Column) -> Column:
     return F.when(F.size(boxes) > 0, F.struct(side(F.array_min, "x0"), side(F.array_min, "y0"), side(F.array_max, "x1"), side(F.array_max, "y1")))
 
 
+def page_union(boxes: DataFrame) -> DataFrame:
+    """page, x0, y0, x1, y1: the smallest box around all boxes (page, x, y, w, h) of each page, by partial aggregates."""
+    return boxes.groupBy("page").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max(F.col("x") + F.col("w")).alias("x1"), F.max(F.col("y") + F.col("h")).alias("y1"))
+
+
 def bounding_box(points: Column) -> Column:
     """Corners and centre of an array of struct(x, y)."""
     xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])

@@ -33,18 +33,23 @@ def map_headers(headers: DataFrame, names: DataFrame) -> DataFrame:
 
 def lookup(records: DataFrame, wanted: DataFrame, pos: str = "pos") -> DataFrame:
     """For each `wanted` key the record it names: an exact number first, else the first in store order that holds the
-    key or has the same digits. Both tiers are joins on short lists of keys, found is null where nothing fits.
+    key or has the same digits; found is null where nothing fits.
 
-    The exact tier and that of equal digits are hash joins; only keys that these leave open, and that hold other
-    than digits, are compared with all records.
+    All tiers are hash joins: on the number, on its digits, and for keys inside numbers on all substrings of the
+    numbers that have the length of a key.
     """
     keys = wanted.select("key").distinct().withColumns({"k": F.lower(F.trim("key"))}).withColumn("d", digits(F.col("k")))
     store = records.select(F.lower(F.coalesce("record_no", F.lit(""))).alias("r"), F.col("record_no").alias("found"), F.col(pos).alias("p")).withColumn("rd", digits(F.col("r")))
     first = lambda df, tier: df.groupBy("key").agg(F.min_by("found", "p").alias("found"), F.min("p").alias("p")).withColumn("tier", F.lit(tier))
     exact = first(keys.join(store, F.col("k") == F.col("r")), 1)
-    open_ = keys.join(exact.select("key"), "key", "left_anti")
+    open_ = keys.join(exact.select("key"), "key", "left_anti").where("k <> ''")
     same = open_.where("d <> ''").join(store, F.col("d") == F.col("rd"))
-    within = open_.where("k <> ''").join(store, F.contains("r", "k"))
+    lengths = open_.agg(F.collect_set(F.length("k")).alias("ns"))  # one row, of as many values as keys have lengths
+    parts = store.join(F.broadcast(lengths)).select("found", "p", "r", F.explode("ns").alias("n")).where("n <= length(r)")
+    parts = parts.withColumn("part", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("r") - F.col("n") + 1), lambda i: F.substring(F.col("r"), i, F.col("n"))))))
+    # the first record of each substring is all that can be found
+    parts = parts.groupBy("part").agg(F.min_by("found", "p").alias("found"), F.min("p").alias("p"))
+    within = open_.join(parts, F.col("k") == F.col("part"))
     loose = first(same.select("key", "found", "p").union(within.select("key", "found", "p")), 2)
     return wanted.join(exact.unionByName(loose), "key", "left")
 
@@ -73,11 +78,23 @@ def upsert(records: DataFrame, changes: DataFrame, pos: str = "pos") -> DataFram
 
 
 def store_status(snapshots: DataFrame) -> DataFrame:
-    """snapshots (name) as one row: active file, whether it was scraped, number, last time, names from the newest on."""
+    """snapshots (name) as one row: active file, whether it was scraped, number, last time, kinds and the oldest name.
+
+    The names themselves, from the newest on, are snapshot_history().
+    """
     time = F.try_to_timestamp(F.regexp_extract("name", r"^scraped_([0-9]{8}_[0-9]{6})\.json$", 1), F.lit("yyyyMMdd_HHmmss"))
     scraped = snapshots.where("name like 'scraped\\_%.json'")
-    names = F.sort_array(F.collect_list("name"), asc=False)
-    return scraped.agg(F.max("name").alias("active"), (F.count("*") > 0).alias("is_scraped"), F.count("*").alias("n"), F.max(time).alias("last"), names.alias("history"))
+    return scraped.agg(F.max("name").alias("active"), (F.count("*") > 0).alias("is_scraped"), F.count("*").alias("n"), F.max(time).alias("last"), F.countDistinct("name").alias("kinds"), F.min("name").alias("oldest"))
+
+
+def snapshot_history(snapshots: DataFrame) -> DataFrame:
+    """Names of scraped snapshots from the newest on, sorted across tasks."""
+    return snapshots.where("name like 'scraped\\_%.json'").select("name").orderBy(F.desc("name"))
+
+
+def by_mapping(results: DataFrame, mapped: bool, matched: str = "matched") -> DataFrame:
+    """The forms that a record was found for, or the others."""
+    return results.where(F.coalesce(F.col(matched), F.lit(False)) == mapped)
 
 
 def extra_columns(raw: DataFrame, column: str = "raw", pos: str = "pos", known: list[str] | None = None) -> DataFrame:

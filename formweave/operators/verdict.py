@@ -59,6 +59,15 @@ def form_summary(results: DataFrame, form: str = "form_id") -> DataFrame:
     return of.withColumns({"overall_score": score, "verdict": F.when(F.col("mismatched") == 0, "PASS").otherwise("FAIL")})
 
 
+def recomputed(results: DataFrame, form: str = "form_id") -> DataFrame:
+    """The summary after results were edited: only matches and mismatches count, missed fields do not."""
+    count = lambda s: F.sum((F.col("status") == s).cast("int")).cast("long")
+    of = results.groupBy(form).agg(count("match").alias("matched"), count("mismatch").alias("mismatched"))
+    of = of.withColumn("checked", F.col("matched") + F.col("mismatched"))
+    score = F.when(F.col("checked") > 0, F.bround(100.0 * F.col("matched") / F.col("checked"), 1)).otherwise(0.0)
+    return of.withColumns({"overall_score": score, "verdict": F.when(F.col("mismatched") == 0, "PASS").otherwise("FAIL")})
+
+
 def filled(results: DataFrame, keep_status: bool = False) -> DataFrame:
     """Optional fallback, off by default in every query: found values that are empty become the expected ones.
 

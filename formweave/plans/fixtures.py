@@ -21,7 +21,9 @@ FROM ({RECORDS}) r
 """
 SCAN_TEXT = "f_record_no || ' ' || f_ph_name || ' ' || f_ph_state || ' ' || f_premium || ' ' || f_discount"
 KEYS = ["record_no", "ph_name", "ph_state", "premium", "discount"]
+#: The same rows twice: in SQL of both engines, and as Spark reads the tables only once.
 FIELDS = " UNION ALL ".join(f"SELECT form_id, {i} AS pos, '{i + 2}' AS serial, '{k}' AS field, {k} AS expected, f_{k} AS found FROM ({SCANS}) s{i}" for i, k in enumerate(KEYS))
+FIELDS_ONCE = f"SELECT form_id, stack({len(KEYS)}, {', '.join(f"{i}, '{i + 2}', '{k}', {k}, f_{k}" for i, k in enumerate(KEYS))}) AS (pos, serial, field, expected, found) FROM ({SCANS}) s"
 
 PARTS = """
 SELECT conv_id AS folder, turn AS pos, CASE WHEN turn % 2 = 0 THEN 0.25 ELSE 0.75 END AS col,

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from formweave.catalog import ALIASES, field_catalog, header_names
-from formweave.functions import canon, scoring, text
+from formweave.catalog import ALIASES, ON_FORM, field_catalog, header_names
+from formweave.functions import canon, registered, scoring, text
 from formweave.functions.similarity import with_differences, with_ratio
-from formweave.operators import alignment, anchors, layout, matching, records, rows, stitch, verdict
-from formweave.plans.fixtures import BOXES, FIELDS, KEYS, PARTS, RECORDS, SCAN_TEXT, SCANS, derived
+from formweave.operators import alignment, anchors, forms, layout, matching, records, rows, stitch, verdict
+from formweave.plans.fixtures import BOXES, FIELDS, FIELDS_ONCE, KEYS, PARTS, RECORDS, SCAN_TEXT, SCANS, derived
 from formweave.sources import html
 from formweave.sources.files import file_key
 
@@ -68,7 +68,7 @@ RESULTS = f"SELECT form_id, pos, serial, field, expected, found, {STATUS} AS sta
 
 
 def statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = derived(spark, sf_dir, FIELDS)
+    fields = derived(spark, sf_dir, FIELDS_ONCE)
     return fields.withColumn("status", verdict.field_status(F.col("expected"), F.col("found"), F.lit(True)))
 
 
@@ -223,7 +223,7 @@ SELECT max(name) AS active, true AS is_scraped, count(*) AS n,
 def snapshot_status(spark, sf_dir):
     n = derived(spark, sf_dir, "SELECT 'scraped_' || date_format(ts, 'yyyyMMdd_HHmmss') || CASE WHEN event_id % 50 = 0 THEN 'x' ELSE '' END || '.json' AS name FROM events")
     of = records.store_status(n)
-    return of.select("active", "is_scraped", "n", F.date_format("last", "yyyy-MM-dd HH:mm:ss").alias("last"), F.size(F.array_distinct("history")).cast("long").alias("kinds"), F.element_at("history", -1).alias("oldest"))
+    return of.select("active", "is_scraped", "n", F.date_format("last", "yyyy-MM-dd HH:mm:ss").alias("last"), "kinds", "oldest")
 
 
 HEADED = f"SELECT form_id AS id, f_record_no || ' ' || replace(f_record_no, 'I@', ' ') || chr(10) || CASE WHEN form_id % 3 = 0 THEN f_record_no || ' ' || discount ELSE ph_name END || chr(10) || record_no AS text FROM ({SCANS}) s"
@@ -398,27 +398,100 @@ def segment_forms(spark, sf_dir):
     return out.select("form_id", "overflow", *(canon.canonical(k, F.col("values")[k]).alias(k) for k in keys))
 
 
+VALIDATED = f"""
+SELECT form_id % 64 AS folder, form_id * 2 AS pos, 0.25D AS col, 'img' || CAST(form_id * 2 AS STRING) AS image,
+  record_no || chr(10) || record_no || chr(10) || ph_name || ' ' || ph_state || CASE WHEN form_id % 2 = 0 THEN '' ELSE ' ' || CASE WHEN form_id % 5 = 0 THEN '9' ELSE '' END || premium || ' ' || discount || ' TR12AN34SA56CT' END AS text FROM ({RECORDS}) r
+UNION ALL SELECT form_id % 64, form_id * 2 + 1, 0.25D, 'img' || CAST(form_id * 2 + 1 AS STRING), CASE WHEN form_id % 5 = 0 THEN '9' ELSE '' END || premium || ' ' || discount || ' TR12AN34SA56CT' FROM ({RECORDS}) r WHERE form_id % 2 = 0
+UNION ALL SELECT 7, -1 - s_suppkey, 0.5D, 'none', 'L_I@' || CAST(10000 + s_suppkey AS STRING) || ' no such record TR12AN34SA56CT' FROM supplier"""
+PRINTED = len(ON_FORM) + 1
+
+
+@query(f"""
+SELECT CAST(form_id % 64 AS VARCHAR) || ':' || CAST(form_id * 2 AS VARCHAR) AS form_id, 'img' || CASE WHEN form_id % 2 = 0 THEN form_id * 2 + 1 ELSE form_id * 2 END AS image, CAST(CASE WHEN form_id % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS parts, record_no, true AS matched, false AS image_mismatch,
+  CAST({PRINTED} AS BIGINT) AS checked, CAST(CASE WHEN form_id % 5 = 0 THEN {PRINTED} - 2 ELSE {PRINTED} END AS BIGINT) AS matched_fields, CAST(CASE WHEN form_id % 5 = 0 THEN 2 ELSE 0 END AS BIGINT) AS mismatched,
+  CASE WHEN form_id % 5 = 0 THEN round_even(100.0 * ({PRINTED} - 2) / {PRINTED}, 1) ELSE 100.0 END AS overall_score, CASE WHEN form_id % 5 = 0 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM ({RECORDS}) r
+UNION ALL SELECT '7:' || (-1 - s_suppkey), 'none', 1, NULL, false, NULL, NULL, NULL, NULL, NULL, NULL FROM supplier""")
+def validate_forms(spark, sf_dir):
+    """Parts of forms joined, matched with their records, aligned in all located fields and judged, end to end."""
+    found, _ = forms.validate(derived(spark, sf_dir, VALIDATED), derived(spark, sf_dir, RECORDS))
+    return found.drop("folder")
+
+
+@query(f"""
+WITH v AS (SELECT *, CASE WHEN form_id % 5 = 0 THEN '9' ELSE '' END || premium AS got FROM ({RECORDS}) r), f AS (SELECT CAST(form_id % 64 AS VARCHAR) || ':' || CAST(form_id * 2 AS VARCHAR) AS form_id, unnest([
+  {{'field': 'record_no', 'expected': record_no, 'found': record_no, 'status': 'match'}}, {{'field': 'ph_name', 'expected': ph_name, 'found': ph_name, 'status': 'match'}}, {{'field': 'ph_state', 'expected': ph_state, 'found': ph_state, 'status': 'match'}},
+  {{'field': 'premium', 'expected': premium, 'found': got, 'status': CASE WHEN got = premium THEN 'match' ELSE 'mismatch' END}}, {{'field': 'discount', 'expected': discount, 'found': discount, 'status': 'match'}},
+  {{'field': 'total_amount', 'expected': {total_('premium', 'discount')}, 'found': {total_('got', 'discount')}, 'status': CASE WHEN got = premium THEN 'match' ELSE 'mismatch' END}}]) AS x FROM v)
+SELECT form_id, x.field, x.expected, x.found, x.status FROM f""")
+def validate_fields(spark, sf_dir):
+    _, results = forms.validate(derived(spark, sf_dir, VALIDATED), derived(spark, sf_dir, RECORDS))
+    return results.where("field in ('record_no', 'ph_name', 'ph_state', 'premium', 'discount', 'total_amount')").select("form_id", "field", "expected", "found", "status")
+
+
+@query("""SELECT '0:' || s_suppkey AS form_id, 'complete' AS state, CAST(60000 + s_suppkey AS VARCHAR) AS "ID", 'L_I@' || CAST(60000 + s_suppkey AS VARCHAR) AS record_no, 'O+' AS blood_group, 'P-892915425498' AS policy_no, CAST(100 + s_suppkey % 800 AS VARCHAR) || '$' AS premium, '10$' AS discount,
+  CAST(90 + s_suppkey % 800 AS VARCHAR) || '$' AS total_amount, 'C-8698231518' AS card_no, '' AS submit_date FROM supplier""")
+def extract_rows(spark, sf_dir):
+    """Texts of forms stitched, segmented, made canonical and laid out as output rows."""
+    parts = derived(spark, sf_dir, f"SELECT 0 AS folder, form_id AS pos, 0.5D AS col, text FROM ({FORM}) f")
+    out = forms.extract(parts, {"card_type": {"VISA"}, "agent_name": {"ACME COMPANY"}})
+    return out.select("form_id", "state", "ID", "record_no", "blood_group", "policy_no", "premium", "discount", "total_amount", "card_no", "submit_date")
+
+
+@query(f"""SELECT form_id, matched, mismatched, matched + mismatched AS checked, CASE WHEN matched + mismatched > 0 THEN round_even(100.0 * matched / (matched + mismatched), 1) ELSE 0.0 END AS overall_score, CASE WHEN mismatched = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict
+FROM (SELECT form_id, count(*) FILTER (status = 'match') AS matched, count(*) FILTER (status = 'mismatch') AS mismatched FROM ({RESULTS}) r GROUP BY form_id) t""")
+def edited_recompute(spark, sf_dir):
+    return verdict.recomputed(statuses(spark, sf_dir))
+
+
+@query("SELECT form_id, matched FROM (SELECT doc_id AS form_id, quality > 0 AS matched FROM labels) l WHERE NOT matched")
+def unmapped_filter(spark, sf_dir):
+    return records.by_mapping(derived(spark, sf_dir, "SELECT doc_id AS form_id, quality > 0 AS matched FROM labels"), mapped=False)
+
+
+@query(f"SELECT p_partkey, strip_accents(p_name || 'é') AS plain, {key_("p_type || ' é-L'")} AS key, CAST(100.0 AS DOUBLE) AS same FROM part")
+def sql_functions(spark, sf_dir):
+    registered.register(spark)
+    return derived(spark, sf_dir, "SELECT p_partkey, strip_accents(p_name || 'é') AS plain, compare_key(p_type || ' é-L') AS key, indel_ratio(p_name, p_name) AS same FROM part")
+
+
+CELL_PARTS = f"SELECT folder, pos, split(text, ' ') AS cells FROM ({PARTS}) p"
+
+
+@query(ORACLE_SQL["stitch_fifo"].replace("md5(a.text || coalesce(' ' || b.text, '')) AS text", "len(string_split(a.text || coalesce(' ' || b.text, ''), ' ')) AS cells").replace("md5(text)", "len(string_split(text, ' '))"))
+def cell_stitch(spark, sf_dir):
+    out = forms.stitch_cells(derived(spark, sf_dir, CELL_PARTS))
+    return out.withColumn("cells", F.size("cells").cast("long"))
+
+
 EMAIL_, PHONE_, ZIP_ = anchors.EMAIL, "[(]?[0-9]{3}[)]?[-.\\s]?[0-9]{3}[-.\\s]?[0-9]{4}", "\\b[0-9]{5}(?:-[0-9]{4})?\\b"
 
 
+def past_(x: str, pattern: str) -> str:
+    return f"regexp_replace({x}, '(?s)^.*?(?:{pattern})', '')"
+
+
 @query(f"""
-WITH e AS (SELECT doc_id, text, coalesce(list_filter(regexp_extract_all(text, '{EMAIL_}'), lambda x: NOT contains(x, '@LifeIns'))[1], '') AS ph_email FROM documents),
-h AS (SELECT *, CASE WHEN ph_email = '' THEN text ELSE split_part(text, ph_email, 1) END AS h FROM e), d AS (SELECT *, regexp_extract(h, '[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}') AS day FROM h), k AS (SELECT *, CASE WHEN day = '' THEN h ELSE substr(h, instr(h, day) + length(day)) END AS k FROM d),
+WITH e AS (SELECT doc_id, text, coalesce(list_filter(regexp_extract_all(text, '{EMAIL_}'), lambda x: NOT contains(x, '@LifeIns'))[1], '') AS ph_email FROM (SELECT doc_id, regexp_replace(text, '[^\x00-\x7F]', '', 'g') AS text FROM documents) a),
+h AS (SELECT *, CASE WHEN ph_email = '' THEN text ELSE split_part(text, ph_email, 1) END AS h FROM e), d AS (SELECT *, regexp_extract(h, '[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}') AS day FROM h),
+c AS (SELECT *, {past_(past_(past_('h', anchors.RECORD), anchors.RECORD + '|' + anchors.INVOICE), anchors.DATE)} AS c FROM d),
+k AS (SELECT *, regexp_extract(c, '{anchors.CUSTOMER}') AS customer_id, {past_('c', anchors.CUSTOMER)} AS f, trim({past_(past_('c', anchors.CUSTOMER), anchors.FILE_NO)}) AS k FROM c),
 p AS (SELECT *, regexp_extract(k, '{PHONE_}') AS phone FROM k),
-z AS (SELECT *, CASE WHEN phone = '' THEN k ELSE split_part(k, phone, 1) || ' ' || substr(k, instr(k, phone) + length(phone)) END AS hz FROM p)
-SELECT doc_id, ph_email, trim(phone) AS ph_phone, trim(regexp_extract(hz, '{ZIP_}')) AS ph_zip, day AS date_of_purchase,
-  coalesce(list_filter(string_split_regex(k, '[^\\p{{L}}\\p{{N}}_]+'), lambda x: list_contains([{', '.join(f"'{s}'" for s in anchors.STATES)}], x))[1], '') AS ph_state, regexp_extract(text, 'P-[A-Za-z0-9]{{10,}}') AS policy_no FROM z""")
+z AS (SELECT *, CASE WHEN phone = '' THEN k ELSE split_part(k, phone, 1) || ' ' || substr(k, instr(k, phone) + length(phone)) END AS hz FROM p), y AS (SELECT *, regexp_extract(hz, '{ZIP_}') AS zip FROM z)
+SELECT doc_id, ph_email, customer_id, regexp_extract(f, '{anchors.FILE_NO}') AS file_no, trim(phone) AS ph_phone, zip AS ph_zip, day AS date_of_purchase,
+  coalesce(list_filter(string_split_regex(CASE WHEN zip = '' THEN hz ELSE split_part(hz, zip, 1) || ' ' || substr(hz, instr(hz, zip) + length(zip)) END, '[^\\p{{L}}\\p{{N}}_]+'), lambda x: list_contains([{', '.join(f"'{s}'" for s in anchors.STATES)}], x))[1], '') AS ph_state, regexp_extract(text, 'P-[A-Za-z0-9]{{10,}}') AS policy_no FROM y""")
 def anchor_extract(spark, sf_dir):
-    docs = derived(spark, sf_dir, "SELECT doc_id, text FROM documents")
-    return anchors.anchored(docs).select("doc_id", "ph_email", "ph_phone", "ph_zip", "date_of_purchase", "ph_state", "policy_no")
+    docs = derived(spark, sf_dir, "SELECT doc_id, text FROM documents").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", ""))
+    return anchors.anchored(docs).select("doc_id", "ph_email", "customer_id", "file_no", "ph_phone", "ph_zip", "date_of_purchase", "ph_state", "policy_no")
 
 
 @query("""SELECT s_suppkey AS form_id, 'L_I@' || CAST(60000 + s_suppkey AS VARCHAR) AS record_no, '1/2/2020' AS date_of_purchase, 'a.lee@mail.test' AS ph_email, '(503) 555-0100' AS ph_phone, '97301' AS ph_zip, '3/4/1970' AS ph_dob, 'OR' AS nominee_state, 'O+' AS blood_group,
   'P-892915425498' AS policy_no, 'AB34CD56EF78GH' AS reference_no, 'ZX12CV34BN56MM' AS agent_code, 'QW12ER34TY56UU' AS agent_licence_no, 'PLAN B' AS plan_name, 'PB1234' AS plan_code, '500$' AS sum_of_insured, '3 Year' AS period_of_insurance, 'No' AS q1_alcohol, 'Yes' AS q7_glasses,
-  'Credit Card' AS payment_option, CAST(100 + s_suppkey % 800 AS VARCHAR) || '$' AS premium, '10$' AS discount, CAST(90 + s_suppkey % 800 AS VARCHAR) || '$' AS total_amount, 'Visa' AS card_type, 'TR12AN34SA56CT' AS transaction_id FROM supplier""")
+  'Credit Card' AS payment_option, CAST(100 + s_suppkey % 800 AS VARCHAR) || '$' AS premium, '10$' AS discount, CAST(90 + s_suppkey % 800 AS VARCHAR) || '$' AS total_amount, 'Visa' AS card_type, 'TR12AN34SA56CT' AS transaction_id,
+  'AB12X' AS customer_id, '12AB34CD' AS file_no, 'Ann Lee' AS ph_name, '12 Oak St.' AS ph_address, 'Salem' AS ph_city, 'N.A.' AS education, 'Bob Lee' AS nominee_name, '7 Elm Rd.' AS nominee_address, 'Salem' AS nominee_city, '97302' AS nominee_zip, 'N.A.' AS relation_with_nominee,
+  '90' AS chest, '170' AS height, '150' AS weight, 'Acme Company' AS agent_name, '5 Main St.' AS agent_address, 'Reno' AS agent_city, 'NV' AS agent_state, '89501' AS agent_zip, 'Ann Lee' AS card_holder_name FROM supplier""")
 def anchor_extract_forms(spark, sf_dir):
     out = anchors.anchored(derived(spark, sf_dir, FORM))
-    return out.select("form_id", "record_no", "date_of_purchase", "ph_email", "ph_phone", "ph_zip", "ph_dob", "nominee_state", "blood_group", "policy_no", "reference_no", "agent_code", "agent_licence_no", "plan_name", "plan_code", "sum_of_insured", "period_of_insurance", "q1_alcohol", "q7_glasses", "payment_option", "premium", "discount", "total_amount", "card_type", "transaction_id")
+    return out.select("form_id", "record_no", "date_of_purchase", "ph_email", "ph_phone", "ph_zip", "ph_dob", "nominee_state", "blood_group", "policy_no", "reference_no", "agent_code", "agent_licence_no", "plan_name", "plan_code", "sum_of_insured", "period_of_insurance", "q1_alcohol", "q7_glasses", "payment_option", "premium", "discount", "total_amount", "card_type", "transaction_id", "customer_id", "file_no", "ph_name", "ph_address", "ph_city", "education", "nominee_name", "nominee_address", "nominee_city", "nominee_zip", "relation_with_nominee", "chest", "height", "weight", "agent_name", "agent_address", "agent_city", "agent_state", "agent_zip", "card_holder_name")
 
 
 @query()
@@ -450,7 +523,7 @@ def filled_for_export(spark, sf_dir):
 @query()
 def field_details(spark, sf_dir):
     """Field results with scores, and the characters that differ (tested against plain implementations)."""
-    fields = derived(spark, sf_dir, FIELDS).withColumn("on_form", F.lit(True))
+    fields = derived(spark, sf_dir, FIELDS_ONCE).withColumn("on_form", F.lit(True))
     out = with_differences(verdict.field_results(fields), "expected", "found")
     return out.select("form_id", "field", "status", "score", "found", F.size("segments").alias("runs"))
 
@@ -505,8 +578,7 @@ def box_candidates(spark, sf_dir):
 
 @query(f"SELECT page, min(x) AS x0, min(y) AS y0, max(x + w) AS x1, max(y + h) AS y1 FROM ({NUMBERED}) b GROUP BY page")
 def box_union(spark, sf_dir):
-    b = derived(spark, sf_dir, NUMBERED).groupBy("page").agg(F.collect_list(F.struct(F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("w")).alias("x1"), (F.col("y") + F.col("h")).alias("y1"))).alias("boxes"))
-    return b.select("page", layout.union_box(F.col("boxes")).alias("u")).select("page", "u.*")
+    return layout.page_union(derived(spark, sf_dir, NUMBERED))
 
 
 @query()
@@ -614,7 +686,7 @@ def row_sort(spark, sf_dir):
 
 @query(f"SELECT form_id, field, contains({collapse_('t')}, {collapse_('expected')}) AS present FROM (SELECT f.form_id, field, expected, {SCAN_TEXT} AS t FROM ({FIELDS}) f JOIN ({SCANS}) s ON f.form_id = s.form_id) x")
 def value_presence(spark, sf_dir):
-    both = derived(spark, sf_dir, f"SELECT f.form_id, field, expected, {SCAN_TEXT} AS t FROM ({FIELDS}) f JOIN ({SCANS}) s ON f.form_id = s.form_id")
+    both = derived(spark, sf_dir, f"SELECT form_id, t, stack({len(KEYS)}, {', '.join(f"'{k}', {k}" for k in KEYS)}) AS (field, expected) FROM (SELECT *, {SCAN_TEXT} AS t FROM ({SCANS}) s) x")
     return both.select("form_id", "field", F.contains(text.collapse(F.col("t")), text.collapse(F.col("expected"))).alias("present"))
 
 

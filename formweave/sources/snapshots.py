@@ -43,3 +43,25 @@ def read_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     table = spark.read.option("partitionOverwriteMode", "static").schema("pos long, raw map<string,string>, snapshot_ts string").parquet(f"{folder}/snapshots")
     newest = table.agg(F.max("snapshot_ts")).first()[0]
     return table.where(F.col("snapshot_ts") == newest).drop("snapshot_ts")
+
+
+def ingest(spark: SparkSession, path: str, folder: str, stamp: str) -> str:
+    """Takes an uploaded file of records (.json, or .xlsx with a header row) as a new snapshot; others are refused.
+
+    A file that holds no list of records, or an empty one, is refused too. Old .xls files are named by the same
+    gate, but cannot be read.
+    """
+    name = path.lower()
+    if name.endswith(".json"):
+        records = read_records(spark, path)
+    elif name.endswith((".xlsx", ".xls")):
+        from .xlsx import read_records as read_sheet
+
+        sheet = read_sheet(spark, path)
+        keys = [c for c in sheet.columns if c not in ("sheet", "pos")]
+        records = sheet.select(F.col("pos").cast("long").alias("pos"), F.map_from_arrays(F.array(*map(F.lit, keys)), F.array(*(F.col(k) for k in keys))).alias("raw"))
+    else:
+        raise ValueError("only .json or .xlsx files are accepted")
+    if records.isEmpty():
+        raise ValueError("the file holds no list of records, or an empty one")
+    return write_snapshot(records.select("pos", "raw"), folder, stamp)
