@@ -8,74 +8,85 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from .common import keep, load, longs
 
-SHARD_ROWS = 8192
-QUERY_ROWS = 256
-#: Terms whose first postings give the first threshold.
+#: Vectors of a shard, and queries that go through its postings in one task.
+SHARD_ROWS, QUERY_ROWS = 8192, 4096
+#: Terms whose first postings give a query's first threshold.
 SEED_TERMS = 8
 STEP = 8
+#: Components beyond this (in whole numbers) are held at it, so that products and their sums stay within 64 bits.
+MOST = 1 << 28
 
 
 def integer_vectors(rows: DataFrame, column: str, scale: float) -> DataFrame:
-    """vec_id and v (64-bit integers as binary): floor(scale * x) of each component; rows that cannot take part go."""
+    """vec_id, v (integers of 16 or 32 bits as binary) and size: floor(scale * x) of each component; rows that cannot take part go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch["x"]
-            ids, out = [], []
+            ids, out, size = [], [], []
             for i, v in zip(batch["vec_id"].to_pylist(), lists):
                 x = v.values
                 if x is None or x.null_count:
                     continue
                 x = np.floor(scale * np.asarray(x.cast(pa.float64())))
                 if np.isfinite(x).all():
+                    x = np.clip(x, -MOST, MOST)
                     ids.append(i)
-                    out.append(x.astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["vec_id", "v"])
+                    out.append(x.astype("<i2" if np.abs(x).max(initial=0) < 1 << 15 else "<i4").tobytes())
+                    size.append(len(x))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary()), pa.array(size, pa.int32())], names=["vec_id", "v", "size"])
 
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("x")).where("vec_id is not null").mapInArrow(run, "vec_id long, v binary")
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("x")).where("vec_id is not null").mapInArrow(run, "vec_id long, v binary, size int")
+
+
+def unpacked(v: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(v, "<i2" if len(v) == 2 * size else "<i4").astype(np.int64)
 
 
 class Shard:
-    """Postings of some vectors: in each dimension all rows with a component other than zero, strongest first."""
+    """Postings of some vectors: for each dimension and sign the rows with such a component, strongest first."""
 
-    def __init__(self, ids: np.ndarray, vectors: list[bytes]):
+    def __init__(self, ids: np.ndarray, vectors: list[np.ndarray]):
         self.ids = ids
-        width = max((len(v) // 8 for v in vectors), default=0)
+        width = max((len(v) for v in vectors), default=0)
         self.columns = np.zeros((width, len(ids)), np.int64)  # shorter vectors have no posting in the rest
         for i, v in enumerate(vectors):
-            self.columns[: len(v) // 8, i] = np.frombuffer(v, "<i8")
-        self.order = np.argsort(-self.columns, axis=1, kind="stable")
+            self.columns[: len(v), i] = v
+        order = np.argsort(-self.columns, axis=1, kind="stable")
         self.high, self.low = self.columns.max(axis=1, initial=0), self.columns.min(axis=1, initial=0)
+        above, below = (self.columns > 0).sum(axis=1), (self.columns < 0).sum(axis=1)
+        #: By sign of the query's component: the rows that it adds something to, those that it adds most to first.
+        self.postings = {1: [o[:n] for o, n in zip(order, above)], -1: [o[::-1][:n] for o, n in zip(order, below)]}
 
-    def search(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows but those whose id is `own`, best first."""
+    def search(self, own: int, query: np.ndarray, k: int, known: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best rows but those whose id is `own`, best first; rows below `known`, a score that
+        k other rows reach, may be left out."""
         query = query[: len(self.columns)]
-        bound = np.maximum(0, np.maximum(query * self.high[: len(query)], query * self.low[: len(query)]))
+        gain = np.maximum(query * self.high[: len(query)], query * self.low[: len(query)])
+        bound = np.maximum(0, gain)
         terms = np.argsort(-bound, kind="stable")
         rest = np.append(np.cumsum(bound[terms][::-1])[::-1], 0)  # most that terms i, i + 1, ... can add
         floor = np.minimum(0, np.minimum(query * self.high[: len(query)], query * self.low[: len(query)]))
         least = np.append(np.cumsum(floor[terms][::-1])[::-1], 0)
+        posting = lambda t: self.postings[1 if query[t] > 0 else -1][t] if query[t] else self.ids[:0]
         valid = self.ids != own
-        heads = [self.order[t, : 2 * k] if query[t] > 0 else self.order[t, -2 * k :] for t in terms[:SEED_TERMS]]
-        seed = np.unique(np.concatenate(heads)) if heads else np.zeros(0, np.int64)
+        threshold = known
+        seed = np.unique(np.concatenate([posting(t)[: 2 * k] for t in terms[:SEED_TERMS]])) if len(terms) else np.zeros(0, np.int64)
         seed = seed[valid[seed]]
-        threshold = None
         if len(seed) >= k:
-            scores = query @ self.columns[: len(query), seed]
-            threshold = int(np.partition(scores, -k)[-k])
+            own_best = int(np.partition(query @ self.columns[: len(query), seed], -k)[-k])
+            threshold = own_best if threshold is None else max(threshold, own_best)
         if threshold is None or threshold <= 0:
-            rows = np.flatnonzero(valid)  # a row without any posting can be among the best
-            essential = 0
+            rows, essential = np.flatnonzero(valid), 0  # a row without any posting can be among the best
         else:
             essential = int(np.argmax(rest < threshold))  # the terms from here on cannot reach it by themselves
             found = np.zeros(len(valid), bool)
             for t in terms[:essential]:
-                found |= self.columns[t] > 0 if query[t] > 0 else self.columns[t] < 0
+                found[posting(t)] = True
                 if found.all():
                     break
             rows = np.flatnonzero(found & valid)
@@ -84,9 +95,9 @@ class Shard:
             for t in terms[i : i + STEP]:
                 score += query[t] * self.columns[t, rows]
             done = min(i + STEP, len(terms))
-            if threshold is not None and done >= essential and len(rows) > k:
-                sure = score + least[done]
-                threshold = max(threshold, int(np.partition(sure, -k)[-k]))
+            if threshold is not None and done >= essential and len(rows):
+                if len(rows) > k:
+                    threshold = max(threshold, int(np.partition(score + least[done], -k)[-k]))
                 alive = score + rest[done] >= threshold
                 rows, score = rows[alive], score[alive]
         best = np.lexsort((self.ids[rows], -score))[:k]
@@ -96,33 +107,45 @@ class Shard:
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, column: str = "embedding", scale: float = 1024.0, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """The k rows with the highest integer inner product for each query: query_id, rank, vec_id, score.
 
-    rows and queries have vec_id and `column`. Components become floor(scale * x); rows whose vector is null or
-    holds null or non-finite components, or whose vec_id is null, take no part. Rows with the query's vec_id are its
-    own and no candidates. Vectors of other lengths count as filled up with zeros. Ties go to the smaller vec_id.
-    Each shard of bounded size meets each block of queries of bounded size in one task, and the shards' best rows
-    are merged by a window that keeps k for each query and task before its shuffle.
+    rows and queries have vec_id and `column`. Components become floor(scale * x), at most MOST either way; rows
+    whose vector is null or holds null or non-finite components, or whose vec_id is null, take no part. Rows with
+    the query's vec_id are its own and no candidates. Vectors of other lengths count as filled up with zeros. Ties
+    go to the smaller vec_id; equal rows are rows like others.
+
+    A shard of bounded size gets its postings once for a block of thousands of queries. The first shard is searched
+    before all others, and the score of its k-th row is where every query begins in these. The shards' best rows are
+    merged by a window that keeps k for each query and task before its shuffle.
     """
     base = keep(integer_vectors(rows, column, scale), "vectors")
-    asked = keep(integer_vectors(queries, column, scale).distinct(), "queries")
+    asked = keep(integer_vectors(queries, column, scale).distinct().withColumn("q", F.xxhash64("v")), "queries")
     shards = max(1, -(-base.count() // shard_rows))
     blocks = max(1, -(-asked.count() // query_rows))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = base.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("block", every(blocks))
-    right = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", every(shards))
+    every = lambda first, n: F.explode(F.sequence(F.lit(first), F.lit(n - 1)))
+    left = base.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("block", every(0, blocks))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
 
     def search(shard: pa.Table, block: pa.Table) -> pa.Table:
-        index = Shard(longs(shard, "vec_id"), shard["v"].to_pylist()) if shard.num_rows and block.num_rows else None
         out: list[tuple] = []
-        for q, v in zip(block["vec_id"].to_pylist(), block["v"].to_pylist()) if index else []:
-            ids, scores = index.search(q, np.frombuffer(v, "<i8"), k)
-            out += zip([q] * len(ids), [v] * len(ids), ids.tolist(), scores.tolist())
-        names = ["query_id", "v", "vec_id", "score"]
-        types = [pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-        return pa.Table.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
-
-    schema = T.StructType([T.StructField(n, T.BinaryType() if n == "v" else T.LongType()) for n in ("query_id", "v", "vec_id", "score")])
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(search, schema)
-    found = found.withColumn("q", F.xxhash64("v"))
+        if shard.num_rows and block.num_rows:
+            index = Shard(longs(shard, "vec_id"), [unpacked(v, n) for v, n in zip(shard["v"].to_pylist(), shard["size"].to_pylist())])
+            for q, h, v, n, known in zip(*(block[c].to_pylist() for c in ("vec_id", "q", "v", "size", "known"))):
+                ids, scores = index.search(q, unpacked(v, n), k, known)
+                out += zip([q] * len(ids), [h] * len(ids), ids.tolist(), scores.tolist())
+        return pa.Table.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], names=["query_id", "q", "vec_id", "score"])
+
+    def found(shard_rows_: DataFrame, asked_: DataFrame) -> DataFrame:
+        return shard_rows_.groupBy("shard", "block").cogroup(asked_.groupBy("shard", "block")).applyInArrow(search, "query_id long, q long, vec_id long, score long")
+
+    first = keep(found(left.where("shard = 0"), asked.withColumns({"shard": F.lit(0), "known": F.lit(None).cast("long")})), "first")
+    if shards == 1:
+        return ranked(first, k)
+    reached = first.groupBy("query_id", "q").agg(F.when(F.count("*") >= k, F.min("score")).alias("known")).withColumnsRenamed({"query_id": "_id", "q": "_q"})
+    begun = asked.join(reached, (F.col("vec_id") == F.col("_id")) & (F.col("q") == F.col("_q")), "left").drop("_id", "_q")
+    others = found(left.where("shard > 0"), begun.withColumn("shard", every(1, shards)))
+    return ranked(first.unionByName(others), k)
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
