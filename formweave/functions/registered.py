@@ -24,18 +24,18 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else similarity.ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("array<struct<text:string,diff:boolean>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("diff", T.BooleanType())])))
 def char_diff(expected: pd.Series, found: pd.Series) -> pd.Series:
     return pd.Series([similarity.differences(x or "", y or "") for x, y in zip(expected, found)])
 
 
-@F.pandas_udf("array<struct<begin:int,end:int>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())])))
 def align_form(expected: pd.Series, words: pd.Series) -> pd.Series:
     forms = [([x for x in e if x] if e is not None else [], list(w) if w is not None else []) for e, w in zip(expected, words)]
     return pd.Series([[{"begin": b, "end": e} for b, e in runs] for runs in align_all(forms)])
 
 
-@F.pandas_udf("map<string,string>")
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
 def segment_form(words: pd.Series) -> pd.Series:
     most, out = sum(f[5] + 1 for f in LOCATED), []
     for w in words:

@@ -366,13 +366,32 @@ def stitch_fifo(spark, sf_dir):
     return out.withColumn("text", F.md5(F.col("text").cast("binary")))
 
 
-@query()
+def queued_(parts: str) -> str:
+    """SQL for folder, pos, text, kind and head (the pos of the partial that a continuation joins): a queue by recursion."""
+    return f"""
+k AS ({kinds_(parts)}), every AS (SELECT p.folder, p.pos, p.text, coalesce(p.col, 0.5) AS col, coalesce(k.kind, 'blank') AS kind FROM ({parts}) p LEFT JOIN k ON p.folder = k.folder AND p.pos = k.pos),
+f AS (SELECT folder, list({{'pos': pos, 'col': col, 'kind': kind}} ORDER BY pos) AS l FROM every GROUP BY folder),
+q AS (SELECT folder, l, 0 AS i, l[1:0] AS open, CAST(NULL AS BIGINT) AS head FROM f
+  UNION ALL SELECT folder, l, i + 1, CASE WHEN l[i + 1].kind = 'partial' THEN list_append(open, l[i + 1]) WHEN l[i + 1].kind = 'continuation' AND len(open) > 0 THEN list_concat(open[1 : near - 1], open[near + 1 :]) ELSE open END,
+    CASE WHEN l[i + 1].kind = 'continuation' AND len(open) > 0 THEN open[near].pos END
+  FROM (SELECT *, list_min(list_transform(range(1, len(open) + 1), lambda n: {{'d': abs(open[n].col - l[i + 1].col), 'n': n}})).n AS near FROM q) x WHERE i < len(l)),
+joined AS (SELECT e.folder, e.pos, e.text, e.kind, q.head FROM q JOIN every e ON e.folder = q.folder AND e.pos = q.l[q.i].pos WHERE q.i > 0)"""
+
+
+BY_COLUMN = f"""
+WITH RECURSIVE {queued_(PARTS)}
+SELECT a.folder, a.pos, md5(coalesce(h.text || ' ', '') || a.text) AS text, CASE WHEN a.kind = 'complete' THEN 'complete' WHEN a.head IS NULL THEN 'orphan' ELSE 'joined' END AS state
+FROM joined a LEFT JOIN joined h ON a.folder = h.folder AND a.head = h.pos WHERE a.kind IN ('complete', 'continuation')
+UNION ALL SELECT folder, pos, md5(text), 'open' FROM joined p WHERE kind = 'partial' AND NOT EXISTS (SELECT 1 FROM joined c WHERE c.folder = p.folder AND c.head = p.pos)"""
+
+
+@query(BY_COLUMN)
 def stitch_by_column(spark, sf_dir):
-    """Greedy pairs by column, in order of arrival (tested against a queue in plain Python)."""
+    """Greedy pairs by column, in order of arrival."""
     return stitch.stitch_by_column(stitch.classify(derived(spark, sf_dir, PARTS))).withColumn("text", F.md5(F.col("text").cast("binary")))
 
 
-@query()
+@query(f"WITH RECURSIVE {queued_(PARTS)} SELECT folder, pos, coalesce(head, pos) AS group_pos FROM joined")
 def group_forms(spark, sf_dir):
     return stitch.group_members(derived(spark, sf_dir, PARTS))
 
@@ -494,7 +513,11 @@ def anchor_extract_forms(spark, sf_dir):
     return out.select("form_id", "record_no", "date_of_purchase", "ph_email", "ph_phone", "ph_zip", "ph_dob", "nominee_state", "blood_group", "policy_no", "reference_no", "agent_code", "agent_licence_no", "plan_name", "plan_code", "sum_of_insured", "period_of_insurance", "q1_alcohol", "q7_glasses", "payment_option", "premium", "discount", "total_amount", "card_type", "transaction_id", "customer_id", "file_no", "ph_name", "ph_address", "ph_city", "education", "nominee_name", "nominee_address", "nominee_city", "nominee_zip", "relation_with_nominee", "chest", "height", "weight", "agent_name", "agent_address", "agent_city", "agent_state", "agent_zip", "card_holder_name")
 
 
-@query()
+HOUSES = [("12 Oak St.", "Salem"), ("P.O. Box 77", "Reno"), ("N.A.", "Reno"), ("Salem", "Salem"), ("55 Mill", "Silver Springs"), ("9 Oak Suite 4", "Dover")]
+
+
+@query(f"""SELECT s_suppkey, 'Ann Lee' AS name, [{', '.join(f"'{a}'" for a, _ in HOUSES)}][s_suppkey % 6 + 1] AS address, [{', '.join(f"'{c}'" for _, c in HOUSES)}][s_suppkey % 6 + 1] AS city,
+  'OR' AS state, '97301' AS zip, '(503) 555-' || CAST(1000 + s_suppkey AS VARCHAR) AS phone FROM supplier""")
 def address_split(spark, sf_dir):
     """Holder blocks in several forms, split by the first rule that fits."""
     blocks = derived(spark, sf_dir, """SELECT s_suppkey, 'Ann Lee ' || CASE s_suppkey % 6 WHEN 0 THEN '12 Oak St. Salem' WHEN 1 THEN 'P.O. Box 77 Reno' WHEN 2 THEN 'N.A. Reno' WHEN 3 THEN 'Salem Salem' WHEN 4 THEN '55 Mill Silver Springs' ELSE '9 Oak Suite 4 Dover' END
@@ -581,17 +604,38 @@ def box_union(spark, sf_dir):
     return layout.page_union(derived(spark, sf_dir, NUMBERED))
 
 
-@query()
+def overlap_(a: str, b: str) -> str:
+    side = lambda p, n: f"greatest(0, least({a}.{p} + {a}.{n}, {b}.{p} + {b}.{n}) - greatest({a}.{p}, {b}.{p}))"
+    inter = f"({side('x', 'w')} * {side('y', 'h')})"
+    return f"(CASE WHEN {inter} = 0 THEN 0.0 ELSE CAST({inter} AS DOUBLE) / ({a}.w * {a}.h + {b}.w * {b}.h - {inter}) END)"
+
+
+@query(f"""
+WITH RECURSIVE a AS (SELECT page, list({{'box': box, 'x': x, 'y': y, 'w': w, 'h': h}} ORDER BY -w * h, box) AS l FROM ({NUMBERED}) b GROUP BY page),
+r AS (SELECT page, l, 0 AS i, l[1:0] AS kept FROM a UNION ALL
+  SELECT page, l, i + 1, CASE WHEN len(list_filter(kept, lambda k: {overlap_('k', 'l[i + 1]')} >= 0.3)) = 0 THEN list_append(kept, l[i + 1]) ELSE kept END FROM r WHERE i < len(l)),
+f AS (SELECT page, kept, unnest(range(len(kept))) AS n FROM r WHERE i = len(l))
+SELECT page, CAST(n AS INT) AS rank, kept[n + 1].box AS box FROM f""")
 def nms(spark, sf_dir):
     return layout.suppress(derived(spark, sf_dir, NUMBERED)).select("page", "rank", "box")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE a AS (SELECT page, list({{'box': box, 'x': x, 'y': y}} ORDER BY y, box, x) AS l FROM ({NUMBERED}) b GROUP BY page),
+r AS (SELECT page, l, 0 AS i, -1 AS row, CAST(NULL AS BIGINT) AS top FROM a UNION ALL
+  SELECT page, l, i + 1, CASE WHEN top IS NULL OR l[i + 1].y - top > 120 THEN row + 1 ELSE row END, CASE WHEN top IS NULL OR l[i + 1].y - top > 120 THEN l[i + 1].y ELSE top END FROM r WHERE i < len(l))
+SELECT page, l[i].box AS box, CAST(row AS INT) AS row, CAST(row_number() OVER (PARTITION BY page ORDER BY row, l[i].x, l[i].box) - 1 AS INT) AS place FROM r WHERE i > 0""")
 def reading_order(spark, sf_dir):
     return layout.reading_order(derived(spark, sf_dir, NUMBERED), 120).select("page", "box", "row", "place")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE w AS (SELECT page, 'w' || CAST(box AS VARCHAR) AS text, y + h / 2.0 AS cy, x + w / 2.0 AS cx, CAST(h AS DOUBLE) AS h FROM ({NUMBERED}) b),
+a AS (SELECT page, list({{'cy': CAST(cy AS DOUBLE), 'cx': CAST(cx AS DOUBLE), 'text': text}} ORDER BY cy, cx, text) AS l, 0.6 * median(h) AS gap FROM w GROUP BY page),
+r AS (SELECT page, l, gap, 0 AS i, -1 AS line, CAST(0 AS DOUBLE) AS s, 0 AS n FROM a UNION ALL
+  SELECT page, l, gap, i + 1, CASE WHEN n > 0 AND abs(l[i + 1].cy - s / n) <= gap THEN line ELSE line + 1 END, CASE WHEN n > 0 AND abs(l[i + 1].cy - s / n) <= gap THEN s + l[i + 1].cy ELSE l[i + 1].cy END,
+    CASE WHEN n > 0 AND abs(l[i + 1].cy - s / n) <= gap THEN n + 1 ELSE 1 END FROM r WHERE i < len(l))
+SELECT page, CAST(line AS INT) AS line, string_agg(l[i].text, ' ' ORDER BY l[i].cx, l[i].text) AS text FROM r WHERE i > 0 GROUP BY page, line""")
 def reading_lines(spark, sf_dir):
     words = derived(spark, sf_dir, f"SELECT page, 'w' || CAST(box AS STRING) AS text, y + h / 2.0D AS cy, x + w / 2.0D AS cx, CAST(h AS DOUBLE) AS h FROM ({NUMBERED}) b")
     return layout.reading_lines(words)
@@ -705,16 +749,15 @@ def catalog_counts(spark, sf_dir):
     return field_catalog(spark).agg(F.count("*").alias("n"), F.sum(F.col("on_form").cast("long")).alias("printed"))
 
 
-@query()
+@query(BY_COLUMN.replace("SELECT a.folder,", "SELECT CAST(a.folder AS VARCHAR) AS folder,").replace("SELECT folder, pos, md5(text), 'open'", "SELECT CAST(folder AS VARCHAR), pos, md5(text), 'open'"))
 def stream_carry(spark, sf_dir):
     """The stitching stream over files of turns, read back as a table (a test compares it with the batch)."""
-    import tempfile
     import uuid
 
+    from formweave.sources.sinks import shared_folder
     from formweave.streaming.carry import stitch_stream
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="formweave-")
-    base = f"{shared}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     parts = derived(spark, sf_dir, PARTS).select(F.col("folder").cast("string").alias("folder"), "pos", "text", F.col("col").cast("double").alias("col"))
     end = parts.groupBy("folder").agg((F.max("pos") + 1).alias("pos")).select("folder", "pos", F.lit(None).cast("string").alias("text"), F.lit(None).cast("double").alias("col"))
     # a batch has one file; two halves by turn, then the end marks
