@@ -5,11 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel handles at once; a longer text makes a piece of its own.
@@ -189,22 +191,20 @@ def ragged(firsts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def exact_rank(df: DataFrame, group: list[str], order: list[Column], salt: Column, amount: Column | None = None, name: str = "before", buckets: int = 512) -> DataFrame:
+def exact_rank(df: DataFrame, group: list[str], order: list[Column], salt: Column, amount: Column | None = None, name: str = "before", rows: int = 0) -> DataFrame:
     """Adds the sum of `amount` (1 each by default) over the rows of the same group that come earlier.
 
     Rows come in the order of (bucket, order), where a bucket is a hash of `salt`: a hot group is summed
-    in many tasks, and only one row for each group and bucket meets in one place.
+    in many tasks, and only one row for each group and bucket meets in one place. There are as many buckets as
+    `rows` needs (512 at least) for one of them to hold a million rows of a group that has them all.
     """
+    buckets = max(512, rows >> 20)
     amount = F.lit(1).cast("long") if amount is None else amount
     df = df.withColumn("_bucket", F.pmod(F.xxhash64(salt), F.lit(buckets)).cast("int")).withColumn("_amount", amount)
-    from pyspark.sql import Window as W
-
     sums = df.groupBy(*group, "_bucket").agg(F.sum("_amount").alias("_sum"))
     sums = sums.withColumn("_base", F.sum("_sum").over(W.partitionBy(*group).orderBy("_bucket")) - F.col("_sum")).drop("_sum")
     inside = W.partitionBy(*group, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     df = df.withColumn("_upto", F.sum("_amount").over(inside))
     same = [df[c].eqNullSafe(sums[c]) for c in (*group, "_bucket")]
-    from functools import reduce
-
     out = df.join(sums, reduce(lambda a, b: a & b, same))
     return out.select(*(df[c] for c in df.columns if c[0] != "_"), (F.col("_base") + F.col("_upto") - F.col("_amount")).alias(name))

@@ -101,9 +101,9 @@ def add(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndar
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFILE_SIZE) -> DataFrame:
     """docs with lang_pred string and score double (0 to 1: one less the out-of-place distance over its largest).
 
-    An n-gram that a profile lacks is `size` places out. Equal distances: the language first by code point. Texts
+    N-grams of a text are ranked by frequency, equal ones by code. An n-gram that a profile lacks is `size` places out. Equal distances: the language first by code point. Texts
     that are null or have no letter, and all texts where nothing was learned, are `und` with score 0. Columns of
-    these two names are replaced; text is the only input.
+    these two names are replaced; text is the only input, taken whole however long. Repeated rows get equal results.
     """
     langs = sorted(profiles)
     known = np.unique(np.concatenate([profiles[k] for k in langs])) if langs else np.zeros(0, np.uint64)

@@ -122,7 +122,8 @@ def mix_plan(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share:
     """
     rows = keep(sized(documents), "sizes")
     spark = rows.sparkSession
-    totals = {r.source: r.n for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()}
+    of = rows.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("docs")).collect()
+    totals = {r.source: r.n for r in of}
     order = sorted((s for s in totals if s is not None)) + [None] * (None in totals)
     goal = targets(totals, weights, share, most)
     blocks = np.array([-(-totals[s] // block_words) for s in order], np.int64)
@@ -148,7 +149,7 @@ def mix_plan(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share:
     slots = planned.mapInArrow(slots_of, "shard long, slot long, sid long, pass_no long, block long")
     named = spark.createDataFrame([(i, s, totals[s], float(goal[s])) for i, s in enumerate(order)], "sid long, name string, source_size long, target double")
     placed = rows.join(named, rows["source"].eqNullSafe(named["name"])).drop("name")
-    placed = exact_rank(placed, ["sid"], [F.col("doc_id"), F.col("digest")], F.struct("doc_id", "digest"), F.col("size"))
+    placed = exact_rank(placed, ["sid"], [F.col("doc_id"), F.col("digest")], F.struct("doc_id", "digest"), F.col("size"), rows=sum(r.docs for r in of))
     last = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("before") / block_words), F.floor((F.col("before") + F.col("size") - 1) / block_words)))
     segments = placed.withColumn("block", F.explode_outer(last))
     start = F.greatest(F.col("block") * block_words - F.col("before"), F.lit(0))

@@ -263,7 +263,7 @@ def pack(pieces_: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(offset)], names=[*batch.schema.names[:-1], "sequence_id", "offset"])
 
     key = [F.col(c) for c in ("doc_id", "piece", "ids_crc32")]
-    ranked = exact_rank(pieces_, ["length"], key, F.struct(*key), name="rank")
+    ranked = exact_rank(pieces_, ["length"], key, F.struct(*key), name="rank", rows=sum(histogram.values()))
     return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 

@@ -57,19 +57,22 @@ def minimisers(data: bytes, offsets: np.ndarray, k: int, w: int):
     return starts, ends, first, h, text, window, place, runs[place]
 
 
-def sampled_positions(docs: DataFrame, k: int, w: int) -> DataFrame:
-    """m (hash of k words), doc_id, digest, pos (number of the first of them) at each minimiser of each text."""
+def sampled_positions(docs: DataFrame, k: int, w: int, spelled: bool = False) -> DataFrame:
+    """m (hash of k words, or these words themselves), doc_id, digest, pos (number of the first of them) at each
+    minimiser of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            _, _, first, _, text, _, place, m = minimisers(*tidy(*text_bytes(batch)), k, w)
+            data, offsets = tidy(*text_bytes(batch))
+            starts, ends, first, _, text, _, place, m = minimisers(data, offsets, k, w)
             new = np.ones(len(place), bool)
             new[1:] = place[1:] != place[:-1]
             text, place, m = text[new], place[new], m[new]
             of = pa.array(text)
-            yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), batch["doc_id"].take(of), batch["digest"].take(of), pa.array((place - first[text]).astype(np.int32))], names=["m", *KEY, "pos"])
+            own = pa.array([data[s:e] for s, e in zip(starts[place].tolist(), ends[place + k - 1].tolist())], pa.binary()) if spelled else pa.array(m.view(np.int64))
+            yield pa.RecordBatch.from_arrays([own, batch["doc_id"].take(of), batch["digest"].take(of), pa.array((place - first[text]).astype(np.int32))], names=["m", *KEY, "pos"])
 
-    return known(docs).mapInArrow(run, "m long, doc_id long, digest long, pos int")
+    return known(docs).mapInArrow(run, f"m {'binary' if spelled else 'long'}, doc_id long, digest long, pos int")
 
 
 def sharing(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -16,6 +16,8 @@ from .components import connected_components, forest, in_groups
 
 #: Nodes of classes whose doc_ids are all null lie above this; they name no component.
 NO_ID = (1 << 63) - (1 << 45)
+#: Fingerprints that share a key with one by chance, and tasks that the rows of a frequent fingerprint are dealt to.
+CHANCE, SALTS = 8, 8
 
 
 def shingle_hashes(data: bytes, offsets: np.ndarray, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,24 +100,35 @@ def close_pairs(distance: int):
     return compare
 
 
-def near_groups(prints: DataFrame, distance: int = 4, blocks: int = 6) -> DataFrame:
+def enough_blocks(count: int, distance: int) -> int:
+    """Blocks so that a fingerprint shares a key with few others by chance: more of them make longer keys, for more rows."""
+    blocks = distance + 2
+    while count / 2 ** (64 * (blocks - distance) / blocks) > CHANCE and blocks < 16:
+        blocks += 1
+    return blocks
+
+
+def near_groups(prints: DataFrame, distance: int = 4, blocks: int | None = None) -> DataFrame:
     """prints (doc_id, fp and more) with component_id, the smallest doc_id that links reach, and the group's number.
 
     Fingerprints within `distance` bits agree on at least blocks - distance of the blocks, so that each choice
-    of that many blocks is a join key that together find every link. More blocks make longer keys, for more
-    rows. Equal fingerprints are one node. Rows whose doc_id is null get a component but never name one.
+    of that many blocks is a join key that together find every link. Their number follows from that of different
+    fingerprints. Equal fingerprints are one node; a frequent one meets its rows in several tasks. Rows whose doc_id
+    is null get a component but never name one.
     """
+    classes = keep(prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID) + F.pmod(F.xxhash64("fp"), F.lit(1 << 44))).alias("node")), "classes")
+    blocks = blocks or enough_blocks(classes.count(), distance)
     if blocks <= distance:
         raise ValueError("blocks must exceed distance")
-    classes = keep(prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID) + F.pmod(F.xxhash64("fp"), F.lit(1 << 44))).alias("node")), "classes")
     keyed = classes.select("fp", "node", F.explode(F.array(*block_keys(F.col("fp"), blocks, blocks - distance))).alias("x")).select("x.t", "x.key", "fp", "node")
     links = in_groups(keyed, ["t", "key"], close_pairs(distance), "a long, b long")
     found = connected_components(links).withColumnRenamed("node", "n")
-    named = classes.join(found, F.col("node") == F.col("n"), "left").select("fp", F.coalesce("component", "node").alias("group"))
-    return prints.join(named, "fp").withColumn("component_id", F.when(F.col("group") < NO_ID, F.col("group"))).select(*prints.columns, "component_id", "group")
+    named = classes.join(found, F.col("node") == F.col("n"), "left").select("fp", F.coalesce("component", "node").alias("group"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    rows = prints.withColumn("_salt", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(SALTS)).cast("int"))
+    return rows.join(named, ["fp", "_salt"]).withColumn("component_id", F.when(F.col("group") < NO_ID, F.col("group"))).select(*prints.columns, "component_id", "group")
 
 
-def one_of_each(docs: DataFrame, size: int = 4, seed: int = 42, distance: int = 4, blocks: int = 6) -> DataFrame:
+def one_of_each(docs: DataFrame, size: int = 4, seed: int = 42, distance: int = 4, blocks: int | None = None) -> DataFrame:
     """docs with one row of each group of near-duplicates: that with the smallest doc_id (null ids last).
 
     All columns of docs come back as they are, whatever their names.
@@ -140,7 +153,7 @@ def first_of_groups(docs: DataFrame, boxed: DataFrame, grouped: DataFrame) -> Da
     return restored(kept.withColumn("_n", F.row_number().over(order)).where("_n = 1"), docs.columns, "doc_id", "text")
 
 
-def simhash_near_dedup(docs: DataFrame, size: int = 4, seed: int = 42, distance: int = 4, blocks: int = 6) -> DataFrame:
+def simhash_near_dedup(docs: DataFrame, size: int = 4, seed: int = 42, distance: int = 4, blocks: int | None = None) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
     prints = keep(fingerprints(docs, size, seed), "fingerprints")
     return near_groups(prints, distance, blocks).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

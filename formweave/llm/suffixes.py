@@ -13,7 +13,7 @@ from .repeats import KEY, covered, distinct_segments, repeated_segments, sampled
 
 #: Least words of a repeated passage, and words that retained suffixes are sorted by.
 LEAST_WORDS = 50
-SORT_WORDS = 18
+SORT_WORDS = 8
 
 
 def repeated_passages(docs: DataFrame, least: int = LEAST_WORDS, k: int = SORT_WORDS) -> DataFrame:
@@ -22,13 +22,15 @@ def repeated_passages(docs: DataFrame, least: int = LEAST_WORDS, k: int = SORT_W
 
     A passage is a longest run of words all covered by stretches of `least` words whose words also stand elsewhere,
     in the same text or another; copies is the largest number of places of one of its parts. Every stretch of
-    `least` words holds a retained suffix with k words to go, so matching neighbours among these find each of them;
-    from there matches are extended left and right, segment by segment, as far as both texts agree. Null texts have
+    `least` words holds a retained suffix with k words to go, so matching neighbours among these, sorted by these
+    words, find each of them. From there a match is extended left and right: a segment is all stretches around one
+    retained suffix; equal segments agree in all of them, the others are compared stretch by stretch. Null texts have
     no words; repeated rows repeat each other; null ids are ids like others.
     """
     docs = docs.select("doc_id", "text")
     w = least - k + 1
-    suffixes = keep(sampled_positions(docs, k, w), "places")
+    suffixes = keep(sampled_positions(docs, k, w, spelled=True), "places")
+    # sorted by their words; a suffix goes on if one of its neighbours begins with the same k words
     found = keep(segments(docs, sharing(suffixes, ["m"], [*KEY, "pos"]).select(*KEY, "pos"), k, w), "segments")
     discard(suffixes)
     flags = repeated_segments(keep(distinct_segments(found), "distinct")).withColumnsRenamed({"m": "_m", "s": "_s"})
