@@ -145,3 +145,20 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     found = identify(docs.select("doc_id", "text"), learned_from(docs))
     return found.select("doc_id", in_fold(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score")
+
+
+SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, text, coalesce(CAST(doc_id AS VARCHAR), '') AS k FROM documents),
+c AS (SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(k) + 1), lambda i: CAST(ord(substr(k, i, 1)) AS BIGINT))),
+  lambda x, b: list_reduce(list_prepend(xor(x, b), range(8)), lambda y, i: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)), 4294967295) % 5 = 0 AS held_out FROM d),
+t AS (SELECT *, ' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}]+', ' ', 'g')) || ' ' AS x FROM c),
+n AS (SELECT r, unnest(range(1, length(x) + 1)) AS i, x FROM t WHERE length(x) > 2),
+g AS (SELECT r, unnest([CASE WHEN substr(x, i, 1) <> ' ' THEN substr(x, i, 1) END, CASE WHEN i < length(x) THEN substr(x, i, 2) END, CASE WHEN i + 1 < length(x) AND substr(x, i + 1, 1) <> ' ' THEN substr(x, i, 3) END]) AS g FROM n),
+m AS (SELECT r, g, count(*) AS n FROM g WHERE g IS NOT NULL GROUP BY r, g),
+p AS (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY n DESC, g) - 1 AS place FROM (SELECT lang, g, sum(n) AS n FROM m JOIN c USING (r) WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, g)),
+q AS (SELECT lang, g, place FROM p WHERE place < 300), l AS (SELECT DISTINCT lang FROM q),
+o AS (SELECT r, g, row_number() OVER (PARTITION BY r ORDER BY n DESC, g) - 1 AS place FROM m),
+s AS (SELECT o.r, l.lang, sum(CASE WHEN q.place IS NULL THEN 300 ELSE abs(q.place - o.place) END) AS away, count(*) AS n FROM o CROSS JOIN l LEFT JOIN q ON q.lang = l.lang AND q.g = o.g WHERE o.place < 300 GROUP BY o.r, l.lang),
+b AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY away, lang) AS i FROM s)
+SELECT c.doc_id, c.held_out, coalesce(b.lang, 'und') AS lang_pred, CASE WHEN b.lang IS NULL THEN 0.0 ELSE 1 - CAST(b.away AS DOUBLE) / (300 * b.n) END AS score FROM c LEFT JOIN b ON c.r = b.r AND b.i = 1
+"""

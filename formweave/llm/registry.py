@@ -5,6 +5,7 @@ from __future__ import annotations
 from .collisions import op6_embedding_near_dedup
 from .debruijn import SQL as DEBRUIJN_SQL
 from .debruijn import op2_debruijn_dedup
+from .langid import SQL as LANGID_SQL
 from .langid import op9_language_id
 from .lm import op8_lm_scores
 from .maxscore import SQL as MAXSCORE_SQL
@@ -32,4 +33,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_maxscore_topk": MAXSCORE_SQL,
     "op2_debruijn_dedup": DEBRUIJN_SQL,
     "op7_suffix_array_dedup": SUFFIXES_SQL,
+    "op9_language_id": LANGID_SQL,
 }
