@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import discard, keep
 
 #: Rows of a group that one task compares; larger groups are split into pairs of such parts.
 PART_ROWS = 1024
@@ -18,7 +18,7 @@ PART_ROWS = 1024
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (a long, b long); component: the smallest node reachable.
 
-    Each round keeps one table of edges in the shared folder. Neighbours are never collected: a step is an
+    Each round keeps one table of edges in the shared folder and deletes the one before. Neighbours are never collected: a step is an
     aggregation with a map-side combine and a join whose skewed partitions Spark may split.
     """
 
@@ -39,7 +39,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # small star: each smaller neighbour of u, and u, move to the smallest of them
         joined = large.join(least, F.col("a") == F.col("u"))
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        now = keep(small.where("a <> b").distinct(), "edges")
+        last, now = now, keep(small.where("a <> b").distinct(), "edges")
+        discard(last, large)
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots).groupBy("node").agg(F.min("component").alias("component"))
 
