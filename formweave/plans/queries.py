@@ -10,7 +10,7 @@ from pyspark.sql.window import Window as W
 
 from formweave.catalog import ALIASES, ON_FORM, field_catalog, header_names
 from formweave.functions import canon, registered, scoring, text
-from formweave.functions.similarity import with_differences, with_ratio
+from formweave.functions.similarity import with_ratio
 from formweave.operators import alignment, anchors, forms, layout, matching, records, rows, stitch, verdict
 from formweave.plans.fixtures import BOXES, FIELDS, FIELDS_ONCE, KEYS, PARTS, RECORDS, SCAN_TEXT, SCANS, derived
 from formweave.sources import html
@@ -311,11 +311,20 @@ def canonicalize_values(spark, sf_dir):
     return v.select("p_partkey", *(canon.canonical(k, F.col(c)).alias(c) for c, k in of.items()))
 
 
-@query()
+CHOSEN = "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Credlt Card' WHEN 1 THEN 'mastercrd' WHEN 2 THEN 'PLAN-' || substr(upper(p_name), 1, 1) ELSE p_name END AS value FROM part"
+CHOICE_KEYS = ("payment_option", "card_type", "plan_name")
+OPTIONS = ", ".join(f"('{k}', {i}, '{o}')" for k in CHOICE_KEYS for i, o in enumerate(canon.CHOICES[k]))
+
+
+@query(f"""
+WITH RECURSIVE v AS ({CHOSEN}), o AS (SELECT * FROM (VALUES {OPTIONS}) AS t(key, i, option)), p AS (SELECT DISTINCT upper(value) AS a, upper(option) AS b FROM (SELECT DISTINCT value FROM v) d, o), {lcs_('p')},
+r AS (SELECT value, key, option, 100.0 * 2 * n / (length(a) + length(b)) AS r, row_number() OVER (PARTITION BY value, key ORDER BY 100.0 * 2 * n / (length(a) + length(b)) DESC, i) AS k FROM (SELECT DISTINCT value FROM v) d, o JOIN lcs ON a = upper(value) AND b = upper(option)),
+c AS (SELECT value, key, CASE WHEN r >= 78 THEN option ELSE value END AS c FROM r WHERE k = 1)
+SELECT p_partkey, {', '.join(f"max(CASE WHEN key = '{k}' THEN c END) AS {k}" for k in CHOICE_KEYS)} FROM v JOIN c USING (value) GROUP BY p_partkey""")
 def canonicalize_choices(spark, sf_dir):
-    """Noisy values of small enumerations (tested against a plain search for the best)."""
-    v = derived(spark, sf_dir, "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Credlt Card' WHEN 1 THEN 'mastercrd' WHEN 2 THEN 'PLAN-' || substr(upper(p_name), 1, 1) ELSE p_name END AS value FROM part")
-    return v.select("p_partkey", *(canon.canonical(k, F.col("value")).alias(k) for k in ("payment_option", "card_type", "plan_name")))
+    """Noisy values of small enumerations."""
+    v = derived(spark, sf_dir, CHOSEN)
+    return v.select("p_partkey", *(canon.canonical(k, F.col("value")).alias(k) for k in CHOICE_KEYS))
 
 
 VALUES = """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '555-12' WHEN c_custkey % 3 = 1 THEN '' ELSE '(555) 123-4567' END AS ph_phone, CASE WHEN c_custkey % 4 = 0 THEN '123' ELSE '12345' END AS ph_zip,
@@ -467,10 +476,10 @@ def unmapped_filter(spark, sf_dir):
     return records.by_mapping(derived(spark, sf_dir, "SELECT doc_id AS form_id, quality > 0 AS matched FROM labels"), mapped=False)
 
 
-@query(f"SELECT p_partkey, strip_accents(p_name || 'é') AS plain, {key_("p_type || ' é-L'")} AS key, CAST(100.0 AS DOUBLE) AS same FROM part")
+@query(f"SELECT p_partkey, strip_accents(p_name || 'é') AS plain, {key_("p_type || ' é-L'")} AS key, CAST(100.0 AS DOUBLE) AS same, 2 AS runs, 1 AS alike FROM part")
 def sql_functions(spark, sf_dir):
     registered.register(spark)
-    return derived(spark, sf_dir, "SELECT p_partkey, strip_accents(p_name || 'é') AS plain, compare_key(p_type || ' é-L') AS key, indel_ratio(p_name, p_name) AS same FROM part")
+    return derived(spark, sf_dir, "SELECT p_partkey, strip_accents(p_name || 'é') AS plain, compare_key(p_type || ' é-L') AS key, indel_ratio(p_name, p_name) AS same, size(char_diff(p_name, p_name || 'x')) AS runs, size(align_form(array(upper(p_name)), split(upper(p_name), ' '))) AS alike FROM part")
 
 
 CELL_PARTS = f"SELECT folder, pos, split(text, ' ') AS cells FROM ({PARTS}) p"
@@ -543,12 +552,15 @@ def filled_for_export(spark, sf_dir):
     return out.groupBy("field", "status").agg(F.count("*").alias("n"), F.sum((F.col("found") == "").cast("long")).alias("empty"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE f AS (SELECT *, {key_('expected')} AS a, {key_('found')} AS b FROM ({RESULTS}) r), p AS (SELECT DISTINCT a, b FROM f WHERE status = 'mismatch'), {lcs_('p')}
+SELECT form_id, field, status, CASE WHEN {collapse_('expected')} = '' OR status = 'match' THEN 100.0 WHEN status = 'ocr_missed' THEN 0.0 ELSE round_even(100.0 * 2 * n / (length(f.a) + length(f.b)), 1) END AS score,
+  CASE WHEN {collapse_('expected')} = '' OR status = 'ocr_missed' THEN '' WHEN status = 'match' THEN expected ELSE found END AS found
+FROM f LEFT JOIN lcs ON f.a = lcs.a AND f.b = lcs.b""")
 def field_details(spark, sf_dir):
-    """Field results with scores, and the characters that differ (tested against plain implementations)."""
+    """Field results with scores and what is shown."""
     fields = derived(spark, sf_dir, FIELDS_ONCE).withColumn("on_form", F.lit(True))
-    out = with_differences(verdict.field_results(fields), "expected", "found")
-    return out.select("form_id", "field", "status", "score", "found", F.size("segments").alias("runs"))
+    return verdict.field_results(fields).select("form_id", "field", "status", "score", "found")
 
 
 @query(f"""
