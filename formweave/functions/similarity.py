@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -104,8 +105,13 @@ def with_ratio(df: DataFrame, left: str, right: str, name: str = "ratio") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [None if a is None or b is None else ratio(a, b) for a, b in zip(batch[left].to_pylist(), batch[right].to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[*batch.schema.names, name])
+            same = pc.equal(batch[left], batch[right])  # null where either is
+            some = np.flatnonzero(np.asarray(pc.fill_null(pc.invert(same), False)))  # only what differs is compared
+            values = np.full(batch.num_rows, 100.0)
+            pairs = zip(batch[left].take(pa.array(some)).to_pylist(), batch[right].take(pa.array(some)).to_pylist())
+            values[some] = [ratio(a, b) for a, b in pairs]
+            column = pa.array(values, mask=np.asarray(same.is_null()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, name])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())]))
 
