@@ -28,7 +28,7 @@ WORDS = 3
 PRINT = [f"f{i}" for i in range(WORDS)]
 #: Groups of up to so many texts with a block in common are compared whole at once; in larger ones each with the first
 #: and with the next NEXT at first, and with what those links have not joined afterwards.
-SMALL, NEXT = 32, 1
+SMALL, NEXT = 64, 2
 #: Texts that share a block with a text by chance.
 CHANCE = 8
 #: Bits of the filter that holds which texts are wanted.
