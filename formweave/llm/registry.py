@@ -14,6 +14,8 @@ from .mixing import op4_mixing
 from .packing import op5_best_fit_packing
 from .pii import op3_pii_pseudonyms
 from .simhash import op10_simhash_near_dedup
+from .spelling import SQL as SPELLING_SQL
+from .spelling import op11_spelling_variants
 from .suffixes import SQL as SUFFIXES_SQL
 from .suffixes import op7_suffix_array_dedup
 
@@ -28,10 +30,12 @@ QUERIES = {
     "op8_lm_scores": op8_lm_scores,
     "op9_language_id": op9_language_id,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_maxscore_topk": MAXSCORE_SQL,
     "op2_debruijn_dedup": DEBRUIJN_SQL,
     "op7_suffix_array_dedup": SUFFIXES_SQL,
     "op9_language_id": LANGID_SQL,
+    "op11_spelling_variants": SPELLING_SQL,
 }
