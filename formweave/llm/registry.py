@@ -18,6 +18,7 @@ from .spelling import SQL as SPELLING_SQL
 from .spelling import op11_spelling_variants
 from .suffixes import SQL as SUFFIXES_SQL
 from .suffixes import op7_suffix_array_dedup
+from .windows import op13_window_packing
 
 QUERIES = {
     "op1_maxscore_topk": op1_maxscore_topk,
@@ -31,6 +32,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_spelling_variants": op11_spelling_variants,
+    "op13_window_packing": op13_window_packing,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_maxscore_topk": MAXSCORE_SQL,
