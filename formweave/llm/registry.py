@@ -12,6 +12,8 @@ from .maxscore import SQL as MAXSCORE_SQL
 from .maxscore import op1_maxscore_topk
 from .mixing import op4_mixing
 from .packing import op5_best_fit_packing
+from .phrases import SQL as PHRASES_SQL
+from .phrases import op12_phrase_collocations
 from .pii import op3_pii_pseudonyms
 from .simhash import op10_simhash_near_dedup
 from .spelling import SQL as SPELLING_SQL
@@ -32,6 +34,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_phrase_collocations": op12_phrase_collocations,
     "op13_window_packing": op13_window_packing,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -40,4 +43,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_suffix_array_dedup": SUFFIXES_SQL,
     "op9_language_id": LANGID_SQL,
     "op11_spelling_variants": SPELLING_SQL,
+    "op12_phrase_collocations": PHRASES_SQL,
 }
