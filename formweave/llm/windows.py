@@ -18,8 +18,9 @@ CAPACITY = 2048
 END_ID = 1
 #: What a cut costs, in ids of padding: between documents nothing, at the end of a sentence, and elsewhere.
 SENTENCE, INSIDE = 8, 128
-#: Stretches of more ids without the end of a sentence may be cut before any word; those without words anywhere.
-LONG = 64
+#: Stretches of more ids without the end of a sentence may be cut before any word, those without words anywhere. In a
+#: shorter one a cut costs more than moving it to the end would, but where a window gets a power of two by it.
+LONG = INSIDE
 #: Bytes of text for which the windows are sought at once.
 CHUNK = 1 << 20
 STOPS, CLOSERS, BLANKS = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (b".!?", b"\"')]", b" \t\n\x0b\x0c\r"))
