@@ -8,45 +8,69 @@ from pyspark.sql import functions as F
 from formweave.catalog import FIELDS, KEYS, ON_FORM
 from formweave.functions.canon import canonical
 from formweave.functions.similarity import with_ratio
-from formweave.functions.text import compare_key, total_amount
+from formweave.functions.text import compare_key, tokens, total_amount
 from formweave.operators.alignment import LOCATED, align_forms, segment_forms
+from formweave.operators.layout import union_box
 from formweave.operators.matching import match_by_number
 from formweave.operators.rows import wide_rows
 from formweave.operators.stitch import classify, group_members, stitch_by_column, stitch_in_order
 from formweave.operators.verdict import field_results, form_summary, total_check, wrong_image
+from formweave.sources.sinks import kept
 
 TOTAL = "total_amount"
 
 
+BOXES = "array<struct<x0:double,y0:double,x1:double,y1:double>>"
+
+
 def merged_forms(parts: DataFrame) -> DataFrame:
     """parts (folder, pos, text, col, image) as forms: form_id, folder, group_pos, parts, image of the last part, text.
 
-    A form's parts are those that stitching by column puts together, in order; there are few of them.
+    A form's parts are those that stitching by column puts together, in order; there are few of them. `members` has
+    image, box (number of the crop, if parts have one) and first word of each; `boxes` those of all words, one part's
+    after the other's, if parts have boxes.
     """
-    groups = group_members(parts.select("folder", "pos", "text", "col"))
-    rows = parts.select("folder", F.col("pos").cast("long").alias("pos"), "image", "text").join(groups, ["folder", "pos"])
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("text", F.lit("")).alias("text")))), lambda p: p["text"])
-    forms = rows.groupBy("folder", "group_pos").agg(F.array_join(texts, " ").alias("text"), F.max_by("image", "pos").alias("image"), F.count("*").alias("parts"))
-    return forms.withColumn("form_id", F.concat_ws(":", F.col("folder").cast("string"), F.col("group_pos").cast("string")))
+    groups = group_members(parts.select("folder", "pos", "text", "col")).select(F.struct("folder", "pos").alias("_at"), "group_pos")
+    has = lambda c, kind: F.col(c).cast(kind) if c in parts.columns else F.lit(None).cast(kind)
+    rows = parts.select("folder", F.struct("folder", F.col("pos").cast("long").alias("pos")).alias("_at"), "image", "text", has("box", "long").alias("box"), has("boxes", BOXES).alias("boxes")).join(groups, "_at")
+    part = F.struct(F.col("_at.pos").alias("pos"), F.coalesce("text", F.lit("")).alias("text"), "image", "box", F.coalesce("boxes", F.array().cast(BOXES)).alias("boxes"))
+    forms = rows.groupBy("folder", "group_pos").agg(F.array_sort(F.collect_list(part)).alias("p"))
+    words = F.transform("p", lambda x: F.size(tokens(x["text"])))
+    before = lambda i: F.aggregate(F.slice(words, 1, i), F.lit(0), lambda a, n: a + n)
+    last = F.element_at("p", -1)
+    return forms.select(
+        "folder", "group_pos", F.array_join(F.transform("p", lambda x: x["text"]), " ").alias("text"), last["image"].alias("image"), F.size("p").cast("long").alias("parts"),
+        F.transform("p", lambda x, i: F.struct(x["image"].alias("image"), x["box"].alias("box"), before(i).alias("first"))).alias("members"),
+        F.flatten(F.transform("p", lambda x: x["boxes"])).alias("boxes"),
+        F.concat_ws(":", F.col("folder").cast("string"), F.col("group_pos").cast("string")).alias("form_id"),
+    )
 
 
 def compared(forms: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """forms (form_id, text, record_no and a column for each known field) as field rows with status, score and found.
 
     Every field that is printed on forms and has a value is located in the text by alignment, all of them in one
-    go; the total is checked against what premium and discount were found to be.
+    go; the total is checked against what premium and discount were found to be. If forms have boxes and members (as
+    merged_forms gives them), a value that was read wrongly has `box`, around the boxes of its words, and `part`, the
+    number of the member (from 0) where its first word stands.
     """
     keys = [k for k in keys or KEYS if k in forms.columns]
     located = [k for k in keys if k in ON_FORM]
-    spans = align_forms(forms.select("form_id", "text", *keys), F.array(*(F.col(k) for k in located)), F.col("text"), located)
-    found = F.map_from_entries(F.transform("spans", lambda s: F.struct(s["field"], s["found"])))
-    rows = spans.withColumn("_found", found)
+    where = [c for c in ("boxes", "members") if c in forms.columns]
+    spans = align_forms(forms.select("form_id", "text", *where, *keys), F.array(*(F.col(k) for k in located)), F.col("text"), located)
+    none = F.lit(None).cast("struct<x0:double,y0:double,x1:double,y1:double>")
+    around = lambda s: union_box(F.slice("boxes", s["begin"] + 1, F.greatest(F.lit(0), s["end"] - s["begin"]))) if where else none
+    owner = lambda s: F.size(F.filter("members", lambda m: m["first"] <= s["begin"])) - 1 if where else F.lit(None).cast("int")
+    found = F.map_from_entries(F.transform("spans", lambda s: F.struct(s["field"], F.struct(s["found"].alias("found"), around(s).alias("box"), owner(s).alias("part")))))
+    rows = spans.withColumn("_found", found).drop("spans", *where)
     value = lambda k: F.col(k).cast("string") if k in keys else F.lit(None).cast("string")
     each = [
-        F.struct(F.lit(i).alias("pos"), F.lit(f[1]).alias("serial"), F.lit(f[0]).alias("field"), F.lit(f[2]).alias("label"), F.lit(f[3]).alias("on_form"), value(f[0]).alias("expected"), F.col("_found")[f[0]].alias("found"))
+        F.struct(F.lit(i).alias("pos"), F.lit(f[1]).alias("serial"), F.lit(f[0]).alias("field"), F.lit(f[2]).alias("label"), F.lit(f[3]).alias("on_form"), value(f[0]).alias("expected"), *(F.col("_found")[f[0]][c].alias(c) for c in ("found", "box", "part")))
         for i, f in enumerate(FIELDS) if f[0] != TOTAL
     ]
     fields = field_results(rows.select("form_id", F.explode(F.array(*each)).alias("x")).select("form_id", "x.*"))
+    wrong = (F.col("status") == "mismatch") & F.col("box").isNotNull()
+    fields = fields.withColumns({"part": F.when(wrong, F.col("part")), "box": F.when(wrong, F.col("box"))})
     of = lambda k: F.max(F.when(F.col("field") == k, F.col("found")))
     amounts = fields.groupBy("form_id").agg(of("premium").alias("_premium"), of("discount").alias("_discount"))
     p, d, t = value("premium"), value("discount"), value(TOTAL)
@@ -57,28 +81,33 @@ def compared(forms: DataFrame, keys: list[str] | None = None) -> DataFrame:
     totals = totals.withColumns({"found": got, "status": total_check(F.col("_p"), F.col("_d"), F.col("_t"), F.col("_premium"), F.col("_discount"))})
     totals = with_ratio(totals.withColumns({"_a": compare_key(F.col("expected")), "_b": compare_key(F.col("found"))}), "_a", "_b", "_r")
     shown = F.when(F.col("status") == "match", F.col("expected")).otherwise(F.col("found"))
-    totals = totals.select("form_id", F.lit(at).alias("pos"), F.lit(FIELDS[at][1]).alias("serial"), F.lit(TOTAL).alias("field"), F.lit(FIELDS[at][2]).alias("label"), F.lit(True).alias("on_form"), "expected", shown.alias("found"), "status", F.bround("_r", 1).alias("score"))
+    totals = totals.select("form_id", F.lit(at).alias("pos"), F.lit(FIELDS[at][1]).alias("serial"), F.lit(TOTAL).alias("field"), F.lit(FIELDS[at][2]).alias("label"), F.lit(True).alias("on_form"), "expected", shown.alias("found"), "status", F.bround("_r", 1).alias("score"), none.alias("box"), F.lit(None).cast("int").alias("part"))
     return fields.select(*totals.columns).unionByName(totals)
 
 
 def validate(parts: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """parts (folder, pos, text, col, image) validated against records (record_no, pos and any known fields).
+    """parts (folder, pos, text, col, image; box and boxes if known) validated against records (record_no, pos and any
+    known fields).
 
     Gives forms (form_id, folder, image, parts, record_no, matched, checked, matched_fields, mismatched,
-    overall_score, verdict, image_mismatch) and field rows. Parts of one form are joined and matched with the record
-    whose number stands in their header; it is filed under the image of its last part. Forms without a record have
-    matched false and no verdict.
+    overall_score, verdict, image_mismatch, sources) and field rows. Parts of one form are joined and matched with the
+    record whose number stands in their header; it is filed under the image of its last part. Forms without a record
+    have matched false and no verdict. sources has image and box of each part, and the fields read wrongly on it with
+    the box around their words. Field rows are written once to the shared folder, as both results come from them.
     """
     forms = merged_forms(parts)
     named = match_by_number(forms.select(F.col("form_id").alias("id"), "text"), records).select(F.col("id").alias("form_id"), "record_no")
     fields = [c for c in records.columns if c in KEYS and c != "record_no"]
     first = records.groupBy("record_no").agg(*(F.min_by(c, "pos").alias(c) for c in fields))
     known = forms.join(named, "form_id").join(first, "record_no", "left").withColumn("matched", F.col("record_no").isNotNull())
-    results = compared(known.where("matched"))
+    results = kept(compared(known.where("matched")), "fields")
     summary = form_summary(results).withColumnRenamed("matched", "matched_fields")
+    boxed = results.where("box is not null").groupBy("form_id").agg(F.array_sort(F.collect_list(F.struct("pos", "part", "field", "box"))).alias("wrong"))
     mismatch = F.when(F.col("matched"), wrong_image(F.col("record_no"), F.col("text"))).alias("image_mismatch")
-    out = known.select("form_id", "folder", "image", "parts", "record_no", "matched", mismatch).join(summary, "form_id", "left")
-    return out, results
+    out = known.select("form_id", "folder", "image", "parts", "record_no", "matched", mismatch, "members").join(summary, "form_id", "left").join(boxed, "form_id", "left")
+    on = lambda i: F.transform(F.filter(F.coalesce("wrong", F.array().cast(boxed.schema["wrong"].dataType)), lambda w: w["part"] == i), lambda w: F.struct(w["field"].alias("field"), w["box"].alias("box")))
+    sources = F.transform("members", lambda m, i: F.struct(m["image"].alias("image"), m["box"].alias("box"), on(i).alias("fields")))
+    return out.withColumn("sources", sources).drop("members", "wrong"), results
 
 
 def extract(parts: DataFrame, listed: dict[str, set[str]] | None = None) -> DataFrame:
@@ -99,6 +128,15 @@ def extract_rows(stitched: DataFrame, listed: dict[str, set[str]] | None = None)
     return forms.select("form_id", "folder", "pos", "state").join(rows, "form_id")
 
 
+def extract_cell_rows(stitched: DataFrame, listed: dict[str, set[str]] | None = None) -> DataFrame:
+    """Rows of the output sheet from cells of whole forms (folder, pos, cells, state): fields take whole cells."""
+    forms = stitched.withColumn("form_id", F.concat_ws(":", F.col("folder").cast("string"), F.col("pos").cast("string"))).withColumn("text", F.array_join("cells", " "))
+    found = segment_forms(forms.select("form_id", "text", "cells"), "cells", listed, cells=True)
+    cells = [F.struct(F.lit(f[0]).alias("field"), canonical(f[0], F.col("values")[f[0]]).alias("value")) for f in LOCATED]
+    rows = wide_rows(found.select("form_id", "text", F.explode(F.array(*cells)).alias("x")).select("form_id", "text", "x.*"))
+    return forms.select("form_id", "folder", "pos", "state").join(rows, "form_id")
+
+
 def stitch_cells(parts: DataFrame) -> DataFrame:
     """parts (folder, pos, cells: array of cell texts) joined first in, first out: folder, pos, cells, state.
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from formweave.catalog import KEYS, LABEL, ON_FORM
 from formweave.functions.text import html_escape, natural_key, no_quotes, record_id, remarks, total_amount
+from formweave.operators.ordered import numbered
 
 OUTPUT = [k for k in KEYS if k != "form_no"]
 WIDEST, NAME_LENGTH = 42, 31
@@ -36,10 +37,20 @@ def labelled(rows: DataFrame) -> DataFrame:
     return rows.select("ID", *(F.col(k).alias(LABEL[k]) for k in OUTPUT))
 
 
-def sort_rows(rows: DataFrame, pos: str, name: str = "ID") -> DataFrame:
+def row_order(pos: str, name: str = "ID") -> list[str | Column]:
     """Numeric IDs by value first, others after them; otherwise as they came."""
     number = F.col(name).rlike("^[0-9]+$")
-    return rows.orderBy(F.when(number, 0).otherwise(1), F.when(number, F.col(name).cast("decimal(38,0)")), pos)
+    return [F.when(number, 0).otherwise(1), F.when(number, F.col(name).cast("decimal(38,0)")), F.col(pos)]
+
+
+def sort_rows(rows: DataFrame, pos: str, name: str = "ID") -> DataFrame:
+    """rows in the order of row_order()."""
+    return rows.orderBy(*row_order(pos, name))
+
+
+def numbered_rows(rows: DataFrame, pos: str, name: str = "ID") -> DataFrame:
+    """rows with `place` in that order, from 1: ranges are numbered by themselves, after the counts of those before."""
+    return numbered(rows, row_order(pos, name))
 
 
 def sheet_widths(rows: DataFrame, columns: list[str]) -> DataFrame:

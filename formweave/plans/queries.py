@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from formweave.operators import alignment, anchors, forms, layout, matching, rec
 from formweave.plans.fixtures import BOXES, FIELDS, FIELDS_ONCE, KEYS, PARTS, RECORDS, SCAN_TEXT, SCANS, derived
 from formweave.sources import html
 from formweave.sources.files import file_key
+from formweave.sources.sinks import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -442,7 +444,7 @@ UNION ALL SELECT '7:' || (-1 - s_suppkey), 'none', 1, NULL, false, NULL, NULL, N
 def validate_forms(spark, sf_dir):
     """Parts of forms joined, matched with their records, aligned in all located fields and judged, end to end."""
     found, _ = forms.validate(derived(spark, sf_dir, VALIDATED), derived(spark, sf_dir, RECORDS))
-    return found.drop("folder")
+    return found.drop("folder", "sources")
 
 
 @query(f"""
@@ -456,6 +458,30 @@ def validate_fields(spark, sf_dir):
     return results.where("field in ('record_no', 'ph_name', 'ph_state', 'premium', 'discount', 'total_amount')").select("form_id", "field", "expected", "found", "status")
 
 
+# Names of three words, of which one may be read wrongly; word boxes by their number within a part.
+BOXED = f"""
+SELECT form_id, pos, record_no, 'Ann ' || ph_name || ' Lee' AS ph_name, ph_state, premium, discount, CASE WHEN form_id % 3 = 0 THEN 'Ann ' || ph_name || 'x Lee' ELSE 'Ann ' || ph_name || ' Lee' END AS read_name,
+  CASE WHEN form_id % 5 = 0 THEN '9' ELSE '' END || premium AS read_premium FROM ({RECORDS}) r"""
+BOXED_PARTS = f"""
+SELECT folder, pos, col, image, box, text, transform(sequence(0, size(filter(split(text, '\\\\s+'), w -> w <> '')) - 1), i -> named_struct('x0', 10.0D * i, 'y0', 3.0D * i + box, 'x1', 10.0D * i + 8, 'y1', 3.0D * i + 5 + box)) AS boxes FROM (
+  SELECT form_id % 64 AS folder, form_id * 2 AS pos, 0.25D AS col, 'img' || CAST(form_id * 2 AS STRING) AS image, form_id % 4 AS box,
+    record_no || chr(10) || record_no || chr(10) || read_name || ' ' || ph_state || CASE WHEN form_id % 2 = 0 THEN '' ELSE ' ' || read_premium || ' ' || discount || ' TR12AN34SA56CT' END AS text FROM ({BOXED}) b
+  UNION ALL SELECT form_id % 64, form_id * 2 + 1, 0.25D, 'img' || CAST(form_id * 2 + 1 AS STRING), form_id % 4, read_premium || ' ' || discount || ' TR12AN34SA56CT' FROM ({BOXED}) b WHERE form_id % 2 = 0) p"""
+
+
+@query(f"""
+WITH b AS (SELECT *, CAST(form_id % 64 AS VARCHAR) || ':' || CAST(form_id * 2 AS VARCHAR) AS form, len({words_('ph_state')}) AS n, CAST(form_id % 4 AS DOUBLE) AS y FROM ({BOXED}) b),
+p AS (SELECT form, form_id, y, n, 0 AS part, 'img' || form_id * 2 AS image, read_name <> ph_name AS name, form_id % 2 = 1 AND read_premium <> premium AS premium, 5 + n AS place FROM b
+  UNION ALL SELECT form, form_id, y, n, 1, 'img' || (form_id * 2 + 1), false, read_premium <> premium, 0 FROM b WHERE form_id % 2 = 0),
+f AS (SELECT form, part, image, form_id % 4 AS box, y, unnest(list_filter([CASE WHEN name THEN {{'field': 'ph_name', 'a': 2, 'b': 4}} END, CASE WHEN premium THEN {{'field': 'premium', 'a': place, 'b': place}} END, CASE WHEN NOT name AND NOT premium THEN {{'field': NULL, 'a': NULL, 'b': NULL}} END], lambda x: x IS NOT NULL)) AS x FROM p)
+SELECT form AS form_id, CAST(part AS INT) AS part, image, CAST(box AS BIGINT) AS box, x.field AS field, CAST(10 * x.a AS DOUBLE) AS x0, 3 * x.a + y AS y0, CAST(10 * x.b + 8 AS DOUBLE) AS x1, 3 * x.b + 5 + y AS y1 FROM f""")
+def validate_boxes(spark, sf_dir):
+    """Parts of validated forms with the boxes around what was read wrongly on them."""
+    found, _ = forms.validate(derived(spark, sf_dir, BOXED_PARTS), derived(spark, sf_dir, BOXED))
+    out = found.select("form_id", F.posexplode("sources").alias("part", "s")).select("form_id", "part", "s.image", "s.box", F.explode_outer("s.fields").alias("f"))
+    return out.select("form_id", "part", "image", "box", "f.field", *(F.col("f.box")[c].alias(c) for c in ("x0", "y0", "x1", "y1")))
+
+
 @query("""SELECT '0:' || s_suppkey AS form_id, 'complete' AS state, CAST(60000 + s_suppkey AS VARCHAR) AS "ID", 'L_I@' || CAST(60000 + s_suppkey AS VARCHAR) AS record_no, 'O+' AS blood_group, 'P-892915425498' AS policy_no, CAST(100 + s_suppkey % 800 AS VARCHAR) || '$' AS premium, '10$' AS discount,
   CAST(90 + s_suppkey % 800 AS VARCHAR) || '$' AS total_amount, 'C-8698231518' AS card_no, '' AS submit_date FROM supplier""")
 def extract_rows(spark, sf_dir):
@@ -734,10 +760,7 @@ IDS = "SELECT p_partkey AS pos, CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_p
 
 @query(f"""SELECT pos, "ID", row_number() OVER (ORDER BY CASE WHEN regexp_matches("ID", '^[0-9]+$') THEN 0 ELSE 1 END, CASE WHEN regexp_matches("ID", '^[0-9]+$') THEN CAST("ID" AS BIGINT) END NULLS FIRST, pos) AS place FROM ({IDS}) i""")
 def row_sort(spark, sf_dir):
-    ordered = rows.sort_rows(derived(spark, sf_dir, IDS), "pos")
-    number = F.col("ID").rlike("^[0-9]+$")
-    w = W.orderBy(F.when(number, 0).otherwise(1), F.when(number, F.col("ID").cast("decimal(38,0)")), "pos")
-    return ordered.select("pos", "ID", F.row_number().over(w).cast("long").alias("place"))
+    return rows.numbered_rows(derived(spark, sf_dir, IDS), "pos")
 
 
 @query(f"SELECT form_id, field, contains({collapse_('t')}, {collapse_('expected')}) AS present FROM (SELECT f.form_id, field, expected, {SCAN_TEXT} AS t FROM ({FIELDS}) f JOIN ({SCANS}) s ON f.form_id = s.form_id) x")
@@ -761,22 +784,53 @@ def catalog_counts(spark, sf_dir):
     return field_catalog(spark).agg(F.count("*").alias("n"), F.sum(F.col("on_form").cast("long")).alias("printed"))
 
 
-@query(BY_COLUMN.replace("SELECT a.folder,", "SELECT CAST(a.folder AS VARCHAR) AS folder,").replace("SELECT folder, pos, md5(text), 'open'", "SELECT CAST(folder AS VARCHAR), pos, md5(text), 'open'"))
+STREAMED = BY_COLUMN.replace("SELECT a.folder,", "SELECT CAST(a.folder AS VARCHAR) AS folder,").replace("SELECT folder, pos, md5(text), 'open'", "SELECT CAST(folder AS VARCHAR), pos, md5(text), 'open'")
+
+
+def turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Parts of forms, and an end mark for each folder."""
+    parts = derived(spark, sf_dir, PARTS).select(F.col("folder").cast("string").alias("folder"), "pos", "text", F.col("col").cast("double").alias("col"))
+    return parts, parts.groupBy("folder").agg((F.max("pos") + 1).alias("pos")).select("folder", "pos", F.lit(None).cast("string").alias("text"), F.lit(None).cast("double").alias("col"))
+
+
+def stitched_stream(spark: SparkSession, base: str, batches: list[DataFrame], carry: DataFrame | None = None) -> DataFrame:
+    """The stitching stream over files of batches that come one after the other (a folder's rows of one in one file)."""
+    from formweave.streaming.carry import stitch_stream
+
+    for rows_ in batches:
+        rows_.repartition("folder").write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
+    run = stitch_stream(stream, carry).writeStream.format("parquet").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/out")
+    run.awaitTermination()
+    return spark.read.schema("folder string, pos long, text string, state string").parquet(f"{base}/out")
+
+
+@query(STREAMED)
 def stream_carry(spark, sf_dir):
     """The stitching stream over files of turns, read back as a table (a test compares it with the batch)."""
-    import uuid
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    parts, end = turns(spark, sf_dir)
+    out = stitched_stream(spark, base, [parts.where("pos < 2"), parts.where("pos >= 2"), end])
+    return out.withColumn("text", F.md5(F.col("text").cast("binary")))
 
-    from formweave.sources.sinks import shared_folder
-    from formweave.streaming.carry import stitch_stream
+
+@query(f"SELECT folder, text, state FROM ({STREAMED}) s")
+def carry_handover(spark, sf_dir):
+    """Two streams: the first stops with halves open, the second begins with them. Together they are the one stream."""
+    from formweave.streaming.carry import left_open
 
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    parts = derived(spark, sf_dir, PARTS).select(F.col("folder").cast("string").alias("folder"), "pos", "text", F.col("col").cast("double").alias("col"))
-    end = parts.groupBy("folder").agg((F.max("pos") + 1).alias("pos")).select("folder", "pos", F.lit(None).cast("string").alias("text"), F.lit(None).cast("double").alias("col"))
-    # a batch has one file; two halves by turn, then the end marks
-    for cut in ("pos < 2", "pos >= 2"):
-        parts.where(cut).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    end.coalesce(1).write.mode("append").parquet(f"{base}/in")
-    stream = spark.readStream.schema(parts.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    run = stitch_stream(stream).writeStream.format("parquet").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/out")
-    run.awaitTermination()
-    return spark.read.parquet(f"{base}/out").withColumn("text", F.md5(F.col("text").cast("binary")))
+    parts, end = turns(spark, sf_dir)
+    first = stitched_stream(spark, f"{base}/1", [parts.where("pos < 1"), parts.where("pos between 1 and 2")])
+    second = stitched_stream(spark, f"{base}/2", [parts.where("pos > 2"), end], left_open(spark, f"{base}/1/state"))
+    return first.unionByName(second).select("folder", F.md5(F.col("text").cast("binary")).alias("text"), "state")
+
+
+@query(f"SELECT folder, text, state FROM ({BY_COLUMN}) s")
+def batch_handover(spark, sf_dir):
+    """Two batches of turns: the second begins with the halves that the first leaves open."""
+    parts = derived(spark, sf_dir, PARTS)
+    early, late = parts.where("pos <= 2"), parts.where("pos > 2")
+    first = stitch.stitch_by_column(stitch.classify(early)).where("state <> 'open'")
+    second = stitch.stitch_by_column(stitch.classify(stitch.with_carry(late, stitch.open_halves(early))))
+    return first.unionByName(second).select("folder", F.md5(F.col("text").cast("binary")).alias("text"), "state")

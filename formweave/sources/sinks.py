@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +26,10 @@ def shared_folder(spark: SparkSession) -> str:
     if path is None and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return path or tempfile.mkdtemp(prefix="formweave-")
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: computed once, with a short lineage that survives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
