@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-SUPPRESS, FILLED = 0.3, 0.2
+from formweave.operators.ordered import in_blocks, running
+from formweave.sources.sinks import kept
+
+SUPPRESS, FILLED, INKED = 0.3, 0.2, 0.02
 #: Side of the squares in which overlapping boxes are looked for.
 SQUARE = 256
 
@@ -18,19 +26,45 @@ def iou(a: Column, b: Column) -> Column:
     return F.when(inter == 0, 0.0).otherwise(inter / (a["w"] * a["h"] + b["w"] * b["h"] - inter).cast("double"))
 
 
+def _met(boxes: DataFrame) -> DataFrame:
+    """page, a, b, a_, b_: boxes a < b of one page that share a square, in the first square that both cover."""
+    cells = lambda p, s: F.sequence(F.floor(F.col(p) / SQUARE).cast("int"), F.floor((F.col(p) + F.col(s)) / SQUARE).cast("int"))
+    spread = boxes.withColumn("cx", F.explode(cells("x", "w"))).withColumn("cy", F.explode(cells("y", "h")))
+    one = lambda n: spread.select("page", "cx", "cy", F.col("box").alias(n), F.struct("x", "y", "w", "h").alias(f"{n}_"))
+    pairs = one("a").join(one("b"), ["page", "cx", "cy"]).where("a < b")
+    first = lambda p: F.floor(F.greatest(F.col(f"a_.{p}"), F.col(f"b_.{p}")) / SQUARE)
+    return pairs.where((F.col("cx") == first("x")) & (F.col("cy") == first("y"))).select("page", "a", "b", "a_", "b_")
+
+
 def overlapping_pairs(boxes: DataFrame, least: float = 0.0) -> DataFrame:
     """Pairs a < b of boxes (page, box, x, y, w, h) of one page with an overlap above `least`: page, a, b, iou.
 
     Boxes meet by the squares that they cover, so that a crowded page is many join keys; a pair counts in the
     first square that both cover.
     """
-    cells = lambda p, s: F.sequence(F.floor(F.col(p) / SQUARE).cast("int"), F.floor((F.col(p) + F.col(s)) / SQUARE).cast("int"))
-    spread = boxes.withColumn("cx", F.explode(cells("x", "w"))).withColumn("cy", F.explode(cells("y", "h")))
-    one = lambda n: spread.select("page", "cx", "cy", F.col("box").alias(n), F.struct("x", "y", "w", "h").alias(f"{n}_"))
-    pairs = one("a").join(one("b"), ["page", "cx", "cy"]).where("a < b")
-    first = lambda p: F.floor(F.greatest(F.col(f"a_.{p}"), F.col(f"b_.{p}")) / SQUARE)
-    pairs = pairs.where((F.col("cx") == first("x")) & (F.col("cy") == first("y")))
-    return pairs.select("page", "a", "b", iou(F.col("a_"), F.col("b_")).alias("iou")).where(F.col("iou") > least)
+    return _met(boxes).select("page", "a", "b", iou(F.col("a_"), F.col("b_")).alias("iou")).where(F.col("iou") > least)
+
+
+def taken_in_order(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """nodes (page, box, ...) that stay when they are taken one by one and none may stand in a pair with one taken
+    before. pairs: page, first, then, where `first` comes earlier.
+
+    In rounds over what is undecided: those that nothing undecided precedes are taken, what they are paired with goes,
+    and so do its pairs. That is the same choice as one by one, made at once wherever nodes do not wait for each other;
+    there are as many rounds as the longest chain of boxes that wait (a few, unless boxes are stacked like stairs).
+    Only pairs are looked at, so boxes that touch nothing cost nothing.
+    """
+    edges, gone = kept(pairs.select("page", "first", "then"), "pairs"), []
+    while not edges.isEmpty():
+        free = edges.select("page", "first").distinct().join(edges.select("page", F.col("then").alias("first")), ["page", "first"], "left_anti")
+        gone.append(kept(edges.join(free, ["page", "first"], "left_semi").select("page", F.col("then").alias("box")).distinct(), "gone"))
+        left = edges
+        for end in ("first", "then"):
+            left = left.join(gone[-1].withColumnRenamed("box", end), ["page", end], "left_anti")
+        edges = kept(left.select("page", "first", "then"), "pairs")
+    for g in gone:
+        nodes = nodes.join(g, ["page", "box"], "left_anti")
+    return nodes
 
 
 def candidates(boxes: DataFrame, width: Column, height: Column) -> DataFrame:
@@ -43,48 +77,57 @@ def _box(*names: str) -> Column:
 
 
 def suppress(boxes: DataFrame, threshold: float = SUPPRESS) -> DataFrame:
-    """The boxes of each page that stay when larger ones come first and none may overlap a kept one by the threshold.
-
-    A fold over the page's boxes (a page has few) inside an expression; equal areas go by box number.
+    """The boxes of each page that stay when larger ones come first and none may overlap a kept one by the threshold:
+    page, rank, box, x, y, w, h. Equal areas go by box number. No page is gathered anywhere."""
+    area = lambda c: F.col(f"{c}.w").cast("long") * F.col(f"{c}.h")
+    pairs = _met(boxes).where(iou(F.col("a_"), F.col("b_")) >= threshold)
+    later = area("b_") > area("a_")
+    pairs = pairs.select("page", F.when(later, F.col("b")).otherwise(F.col("a")).alias("first"), F.when(later, F.col("a")).otherwise(F.col("b")).alias("then"))
+    stay = taken_in_order(boxes.select("page", "box", "x", "y", "w", "h"), pairs).withColumn("_size", -F.col("w").cast("long") * F.col("h"))
+    order = ["_size", "box"]
+    ranked = running(in_blocks(stay, ["page"], order, "stay"), order, F.lit(1), "_n")
+    return ranked.select("page", (F.col("_n") - 1).cast("int").alias("rank"), "box", "x", "y", "w", "h")
+
+
+def _banded(rows: DataFrame, by: str, gap: str, mean: bool, name: str) -> DataFrame:
+    """rows (page, ..., sorted by `by` within their page already) with the number of the band that each belongs to.
+
+    A band goes on while `by` is at most `gap` above its first value or, with mean, away from the mean of its values so
+    far. Rows are streamed in order; a task holds three numbers for the page it is at, whatever the page's size.
     """
-    order = F.sort_array(F.collect_list(F.struct((-F.col("w") * F.col("h")).alias("o"), "box", "x", "y", "w", "h")))
-    of = boxes.groupBy("page").agg(order.alias("all"))
-    none = F.filter("all", lambda _: F.lit(False))
-    kept = F.aggregate("all", none, lambda acc, b: F.when(F.forall(acc, lambda k: iou(k, b) < threshold), F.concat(acc, F.array(b))).otherwise(acc))
-    return of.select("page", F.posexplode(kept).alias("rank", "k")).select("page", "rank", "k.box", "k.x", "k.y", "k.w", "k.h")
+    columns = rows.columns
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, band, total, n, begun = None, -1, 0.0, 0, False
+        for batch in batches:
+            out = []
+            for p, v, g in zip(*(batch[c].to_pylist() for c in ("page", by, gap))):
+                if not begun or p != page:
+                    page, band, n, begun = p, -1, 0, True
+                if n and (abs(v - total / n) if mean else v - total) <= g:
+                    total, n = (total + v, n + 1) if mean else (total, n)
+                else:
+                    band, total, n = band + 1, v, 1
+                out.append(band)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], names=[*columns, name])
 
-def reading_order(boxes: DataFrame, tolerance: int) -> DataFrame:
-    """boxes with row and place: a box joins the row whose first box is at most `tolerance` above it, rows run left
-    to right."""
-    of = boxes.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("y", "box", "x"))).alias("all"))
-    start = F.struct(F.lit(-1).alias("row"), F.lit(None).cast("long").alias("top"), F.filter(F.transform("all", lambda b: F.struct(F.lit(0).alias("row"), b["x"].alias("x"), b["box"].alias("box"))), lambda _: F.lit(False)).alias("out"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.IntegerType())]))
 
-    def step(acc: Column, b: Column) -> Column:
-        new = acc["top"].isNull() | (b["y"] - acc["top"] > tolerance)
-        row = F.when(new, acc["row"] + 1).otherwise(acc["row"])
-        return F.struct(row.alias("row"), F.when(new, b["y"].cast("long")).otherwise(acc["top"]).alias("top"), F.concat(acc["out"], F.array(F.struct(row.alias("row"), b["x"].alias("x"), b["box"].alias("box")))).alias("out"))
 
-    done = of.select("page", F.posexplode(F.sort_array(F.aggregate("all", start, step)["out"])).alias("place", "b"))
-    return boxes.join(done.select("page", "place", "b.row", "b.box"), ["page", "box"])
+def reading_order(boxes: DataFrame, tolerance: int) -> DataFrame:
+    """boxes with row and place: a box joins the row whose first box is at most `tolerance` above it, rows run left
+    to right. Pages are sorted and streamed, so one may have any number of boxes."""
+    sorted_ = boxes.withColumn("_gap", F.lit(tolerance)).repartition("page").sortWithinPartitions("page", "y", "box", "x")
+    rows = _banded(sorted_, "y", "_gap", False, "row").drop("_gap")
+    return rows.withColumn("place", F.row_number().over(W.partitionBy("page").orderBy("row", "x", "box")) - 1)
 
 
 def reading_lines(words: DataFrame) -> DataFrame:
     """words (page, text, cy, cx, h) as lines (page, line, text): a word joins the line while its centre is within
-    0.6 median heights of the mean of that line so far; lines run left to right."""
-    of = words.groupBy("page").agg(
-        F.sort_array(F.collect_list(F.struct("cy", "cx", "text"))).alias("all"), (0.6 * F.coalesce(F.median("h"), F.lit(20.0))).alias("gap")
-    )
-    entry = lambda line, w: F.struct(line.alias("line"), w["cx"].alias("cx"), w["text"].alias("text"))
-    empty = F.filter(F.transform("all", lambda w: entry(F.lit(0), w)), lambda _: F.lit(False))
-    start = F.struct(F.lit(-1).alias("line"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), empty.alias("out"))
-
-    def step(acc: Column, w: Column) -> Column:
-        same = (acc["n"] > 0) & (F.abs(w["cy"] - acc["sum"] / acc["n"]) <= F.col("gap"))
-        line = F.when(same, acc["line"]).otherwise(acc["line"] + 1)
-        return F.struct(line.alias("line"), F.when(same, acc["sum"] + w["cy"]).otherwise(w["cy"]).cast("double").alias("sum"), F.when(same, acc["n"] + 1).otherwise(1).alias("n"), F.concat(acc["out"], F.array(entry(line, w))).alias("out"))
-
-    rows = of.select("page", F.explode(F.aggregate("all", start, step)["out"]).alias("w")).select("page", "w.*")
+    0.6 median heights of the mean of that line so far; lines run left to right. Pages are streamed, lines gathered."""
+    gap = words.groupBy("page").agg((0.6 * F.coalesce(F.median("h"), F.lit(20.0))).alias("_gap"))
+    sorted_ = words.select("page", "text", F.col("cy").cast("double").alias("cy"), "cx").join(gap, "page").repartition("page").sortWithinPartitions("page", "cy", "cx", "text")
+    rows = _banded(sorted_, "cy", "_gap", True, "line")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cx", "text"))), lambda w: w["text"]), " ")
     return rows.groupBy("page", "line").agg(text.alias("text"))
 
@@ -103,11 +146,81 @@ def pitch(centres: DataFrame) -> DataFrame:
     return step.groupBy("page").agg(F.median("d").cast("int").alias("pitch"))
 
 
-def grid_cells(boxes: DataFrame, pages: DataFrame) -> DataFrame:
-    """Cells that a two-column sheet (pages: page, height) should also have: page, x, y, w, h, clipped to the page.
+def covered(ink: np.ndarray, areas: np.ndarray, width: int, height: int) -> np.ndarray:
+    """The share of each area that ink covers; both are rows of x, y, w, h, clipped to the page.
+
+    The page is cut at all edges, so there are no more lines than pixels. The ink is drawn by the differences at its
+    corners and summed into an area table, which gives any of the areas from four places.
+    """
+    x, y, w, h = (np.concatenate((ink[:, c], areas[:, c])) for c in range(4))
+    x0, x1, y0, y1 = np.clip(x, 0, width), np.clip(x + w, 0, width), np.clip(y, 0, height), np.clip(y + h, 0, height)
+    xs, ys, n = np.unique(np.concatenate(([0, width], x0, x1))), np.unique(np.concatenate(([0, height], y0, y1))), len(ink)
+    a, b, c, d = np.searchsorted(xs, x0), np.searchsorted(xs, x1), np.searchsorted(ys, y0), np.searchsorted(ys, y1)
+    edges = np.zeros((len(ys), len(xs)), np.int64)
+    for i, j, sign in ((c, a, 1), (c, b, -1), (d, a, -1), (d, b, 1)):
+        np.add.at(edges, (i[:n], j[:n]), sign)
+    drawn = edges.cumsum(axis=0).cumsum(axis=1)[:-1, :-1] > 0
+    table = np.zeros(edges.shape, np.int64)
+    table[1:, 1:] = (drawn * np.outer(np.diff(ys), np.diff(xs))).cumsum(axis=0).cumsum(axis=1)
+    a, b, c, d = a[n:], b[n:], c[n:], d[n:]
+    return (table[d, b] - table[c, b] - table[d, a] + table[c, a]) / np.maximum(1, (x1 - x0) * (y1 - y0))[n:]
+
+
+def ink_shares(areas: DataFrame, ink: DataFrame, pages: DataFrame) -> DataFrame:
+    """areas (page, box, x, y, w, h) with `ink`: the share of the area, clipped to its page, that boxes of ink
+    (page, x, y, w, h) cover together. pages: page, width, height.
+
+    Pages are streamed in order; a task holds the ink and areas of one, and a table with a place for each of its pixels
+    at most. An area of nothing and one on a page that is not listed have no ink.
+    """
+    box = lambda df, kind, number: df.select("page", F.lit(kind).alias("kind"), number.cast("long").alias("box"), *(F.col(c).cast("long").alias(c) for c in ("x", "y", "w", "h")))
+    size = pages.select("page", F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("width").alias("w"), F.col("height").alias("h"))
+    rows = box(size, 0, F.lit(0)).unionByName(box(ink, 1, F.lit(0))).unionByName(box(areas, 2, F.col("box")))
+    page_type, box_type = rows.schema["page"].dataType.simpleString(), areas.schema["box"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []  # the page and its rows: kind, box, x, y, w, h
+        kind_of_page: pa.DataType = pa.int64()
+        out: list[tuple] = []
+
+        def ready() -> None:
+            r = np.concatenate(held)
+            wide, high = r[r[:, 0] == 0][:, 4:].max(axis=0, initial=0)
+            mine = r[r[:, 0] == 2]
+            if len(mine):
+                out.extend(zip([at] * len(mine), mine[:, 1].tolist(), covered(r[r[:, 0] == 1][:, 2:], mine[:, 2:], int(wide), int(high)).tolist()))
+
+        def batch_of() -> pa.RecordBatch:
+            some = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ([], [], []), (kind_of_page, pa.int64(), pa.float64()))], names=["page", "box", "ink"])
+            out.clear()
+            return some
+
+        for batch in batches:
+            kind_of_page, names = batch.schema.field("page").type, batch["page"].to_pylist()
+            r = np.stack([np.asarray(batch[c]).astype(np.int64) for c in ("kind", "box", "x", "y", "w", "h")], axis=1)
+            cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                if held and names[i] != at:
+                    ready()
+                    held = []
+                at = names[i]
+                held.append(r[i:j])
+            yield batch_of()
+        if held:
+            ready()
+            yield batch_of()
+
+    shares = rows.repartition("page").sortWithinPartitions("page").mapInArrow(run, f"page {page_type}, box long, ink double")
+    return areas.join(shares.withColumn("box", F.col("box").cast(box_type)), ["page", "box"])
+
+
+def grid_cells(boxes: DataFrame, pages: DataFrame, ink: DataFrame | None = None, least_ink: float = INKED) -> DataFrame:
+    """Cells that a two-column sheet (pages: page, height; width with ink) should also have: page, x, y, w, h, clipped
+    to the page.
 
     Columns and rows are clusters of the boxes; rows go on above and below by their pitch while enough of a cell
-    shows; cells that overlap a box by more than FILLED go. Whether a cell has ink is left to what reads the pixels.
+    shows. Cells that overlap a box by more than FILLED go, and with ink (page, x, y, w, h of what is printed) those of
+    which it covers no more than `least_ink`. The others are taken row by row, unless they overlap one taken before.
     """
     size = boxes.groupBy("page").agg(F.median("w").cast("int").alias("mw"), F.median("h").cast("int").alias("mh"))
     at = boxes.join(size, "page")
@@ -124,10 +237,19 @@ def grid_cells(boxes: DataFrame, pages: DataFrame) -> DataFrame:
     every = F.concat("ys", F.filter(F.concat(up, down), lambda y: seen(y) >= F.col("least")))
     cells = of.select("page", "mw", "mh", "height", F.explode(F.array_distinct(every)).alias("ry")).join(columns, "page")
     y0 = F.greatest(F.lit(0), F.col("ry"))
-    cells = cells.select("page", F.col("cx").alias("x"), y0.alias("y"), F.col("mw").alias("w"), (F.least(F.col("height"), F.col("ry") + F.col("mh")) - y0).alias("h"))
-    theirs = boxes.groupBy("page").agg(F.collect_list(_box("x", "y", "w", "h")).alias("boxes"))
-    me = _box("x", "y", "w", "h")
-    return cells.join(theirs, "page").where(~F.exists("boxes", lambda b: iou(me, b) > FILLED)).drop("boxes")
+    cells = cells.withColumn("box", F.row_number().over(W.partitionBy("page").orderBy("ry", "cx")))
+    cells = kept(cells.select("page", "box", F.col("cx").alias("x"), y0.alias("y"), F.col("mw").alias("w"), (F.least(F.col("height"), F.col("ry") + F.col("mh")) - y0).alias("h")), "cells")
+    # Boxes get numbers below those of cells, so that one join of squares finds who overlaps whom.
+    both = cells.unionByName(boxes.select("page", (-1 - F.col("box")).alias("box"), "x", "y", "w", "h"))
+    pairs = kept(_met(both).where("b > 0").where(iou(F.col("a_"), F.col("b_")) > FILLED).select("page", "a", "b"), "overlaps")
+    free = cells.join(pairs.where("a < 0").select("page", F.col("b").alias("box")), ["page", "box"], "left_anti")
+    if ink is not None:
+        free = ink_shares(free, ink, pages).where(F.col("ink") > least_ink).drop("ink")
+    free = kept(free, "free")
+    among = pairs.where("a > 0").select("page", F.col("a").alias("first"), F.col("b").alias("then"))
+    for end in ("first", "then"):
+        among = among.join(free.select("page", F.col("box").alias(end)), ["page", end], "left_semi")
+    return taken_in_order(free, among).drop("box")
 
 
 def union_box(boxes: Column) -> Column:

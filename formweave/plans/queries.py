@@ -679,10 +679,43 @@ def reading_lines(spark, sf_dir):
     return layout.reading_lines(words)
 
 
-@query()
+#: What is printed on a page: words of a line each, which do not overlap.
+INK = f"SELECT page, CAST(box % 8 * 120 AS INT) AS x, CAST(floor(box / 8) * 100 + page % 13 * 60 AS INT) AS y, CAST(40 + (x + y) % 70 AS INT) AS w, CAST(20 + h % 60 AS INT) AS h FROM ({NUMBERED}) n"
+
+
+def groups_(v: str, gap: str) -> str:
+    """Clusters of box places: page, c, with gap as a part of the page's median."""
+    return f"""SELECT page, CAST(floor(median(v)) AS BIGINT) AS c FROM (SELECT page, v, sum(new) OVER (PARTITION BY page ORDER BY v ROWS UNBOUNDED PRECEDING) AS k FROM (
+  SELECT b.page, {v} AS v, CASE WHEN {v} - lag({v}) OVER (PARTITION BY b.page ORDER BY {v}) >= 0.5 * {gap} THEN 1 ELSE 0 END AS new FROM b JOIN s ON b.page = s.page) x) y GROUP BY page, k"""
+
+
+@query(f"""
+WITH RECURSIVE b AS ({NUMBERED}), i AS ({INK}), s AS (SELECT page, CAST(floor(median(w)) AS BIGINT) AS mw, CAST(floor(median(h)) AS BIGINT) AS mh FROM b GROUP BY page), cx AS ({groups_('x', 'mw')}), ry AS ({groups_('y', 'mh')}),
+d AS (SELECT page, c - lag(c) OVER (PARTITION BY page ORDER BY c) AS d FROM ry), q AS (SELECT page, CAST(floor(median(d)) AS BIGINT) AS pitch FROM d GROUP BY page),
+o AS (SELECT s.page, mw, mh, CASE WHEN coalesce(pitch, 0) < 0.5 * mh THEN mh ELSE pitch END AS step, greatest(40, CAST(floor(0.3 * mh) AS BIGINT)) AS least_, top, low FROM s JOIN q ON s.page = q.page JOIN (SELECT page, min(c) AS top, max(c) AS low FROM ry GROUP BY page) t ON s.page = t.page),
+y AS (SELECT page, c AS y FROM ry UNION SELECT page, y FROM (SELECT page, mh, least_, unnest(list_concat(list_transform(range(1, 60), lambda n: top - n * step), list_transform(range(1, 60), lambda n: low + n * step))) AS y FROM o) z WHERE least(1400, y + mh) - greatest(0, y) >= least_),
+c AS (SELECT o.page, y.y AS ry, cx.c AS x, greatest(0, y.y) AS y, mw AS w, least(1400, y.y + mh) - greatest(0, y.y) AS h FROM o JOIN y ON o.page = y.page JOIN cx ON o.page = cx.page),
+f AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.page = c.page AND {overlap_('c', 'b')} > 0.2)
+  AND (SELECT coalesce(sum(greatest(0, least(c.x + c.w, i.x + i.w, 1000) - greatest(c.x, i.x)) * greatest(0, least(c.y + c.h, i.y + i.h) - greatest(c.y, i.y))), 0) FROM i WHERE i.page = c.page) > 0.02 * (least(1000, c.x + c.w) - c.x) * c.h),
+a AS (SELECT page, list({{'x': x, 'y': y, 'w': w, 'h': h}} ORDER BY ry, x) AS l FROM f GROUP BY page),
+r AS (SELECT page, l, 0 AS i, l[1:0] AS kept FROM a UNION ALL SELECT page, l, i + 1, CASE WHEN len(list_filter(kept, lambda k: {overlap_('k', 'l[i + 1]')} > 0.2)) = 0 THEN list_append(kept, l[i + 1]) ELSE kept END FROM r WHERE i < len(l)),
+g AS (SELECT page, unnest(kept) AS k FROM r WHERE i = len(l))
+SELECT page, CAST(k.x AS INT) AS x, CAST(k.y AS INT) AS y, CAST(k.w AS INT) AS w, CAST(k.h AS INT) AS h FROM g""")
 def grid_cells(spark, sf_dir):
+    """Cells that sheets should also have, where something is printed."""
+    boxes = derived(spark, sf_dir, NUMBERED)
+    return layout.grid_cells(boxes, boxes.select("page").distinct().withColumns({"width": F.lit(1000), "height": F.lit(1400)}), derived(spark, sf_dir, INK))
+
+
+@query(f"""
+WITH b AS ({NUMBERED}), i AS ({INK})
+SELECT b.page, b.box, round(CAST(coalesce(sum(greatest(0, least(b.x + b.w, i.x + i.w, 1000) - greatest(b.x, i.x)) * greatest(0, least(b.y + b.h, i.y + i.h, 1400) - greatest(b.y, i.y))), 0) AS DOUBLE) / greatest(1, max((least(1000, b.x + b.w) - b.x) * (least(1400, b.y + b.h) - b.y))), 9) AS ink
+FROM b LEFT JOIN i ON b.page = i.page GROUP BY b.page, b.box""")
+def ink_shares(spark, sf_dir):
+    """How much of each box is printed on."""
     boxes = derived(spark, sf_dir, NUMBERED)
-    return layout.grid_cells(boxes, boxes.select("page").distinct().withColumn("height", F.lit(1400)))
+    pages = boxes.select("page").distinct().withColumns({"width": F.lit(1000), "height": F.lit(1400)})
+    return layout.ink_shares(boxes, derived(spark, sf_dir, INK), pages).select("page", "box", F.round("ink", 9).alias("ink"))
 
 
 LINES = f"SELECT page, box AS line, x AS x0, y + h + CAST(box % 3 AS INT) * 10 AS y0, x + w AS x1 FROM ({NUMBERED}) b WHERE box % 2 = 0"
