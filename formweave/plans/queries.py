@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql.window import Window as W
 from formweave.catalog import ALIASES, ON_FORM, field_catalog, header_names
 from formweave.functions import canon, registered, scoring, text
 from formweave.functions.similarity import with_ratio
-from formweave.operators import alignment, anchors, forms, layout, matching, records, rows, stitch, verdict
+from formweave.operators import alignment, anchors, forms, layout, matching, records, rows, search, stitch, verdict
 from formweave.plans.fixtures import BOXES, FIELDS, FIELDS_ONCE, KEYS, PARTS, RECORDS, SCAN_TEXT, SCANS, derived
 from formweave.sources import html
 from formweave.sources.files import file_key
@@ -163,6 +164,19 @@ def record_search_top60(spark, sf_dir):
     return found.select("record_no", "ph_name", "form_no", F.row_number().over(W.orderBy("pos")).cast("long").alias("place"))
 
 
+TYPED = ["Customer#00000001", "l_i@6000", "9", "#0", "f12", "no such text", "  00 f7"]
+
+
+@query(" UNION ALL ".join(f"""SELECT '{t}' AS typed, * FROM (SELECT record_no, ph_name, form_no, row_number() OVER (ORDER BY pos) AS place FROM ({RECORDS}) r
+WHERE contains(lower(record_no || ' ' || ph_name || ' ' || form_no), '{t.strip().lower()}') ORDER BY pos LIMIT 60) s{i}""" for i, t in enumerate(TYPED)))
+def record_search_index(spark, sf_dir):
+    """Several searches over one index of the store."""
+    path = f"{shared_folder(spark)}/search-{uuid.uuid4().hex}"
+    search.write_index(derived(spark, sf_dir, RECORDS), path)
+    found = [search.search_index(spark, path, t).withColumn("place", F.row_number().over(W.orderBy("pos")).cast("long")).select(F.lit(t).alias("typed"), "record_no", "ph_name", "form_no", "place") for t in TYPED]
+    return reduce(DataFrame.unionAll, found)
+
+
 @query(f"SELECT record_no, form_no, ph_name FROM ({RECORDS}) r")
 def record_list(spark, sf_dir):
     return derived(spark, sf_dir, RECORDS).select("record_no", "form_no", "ph_name")
