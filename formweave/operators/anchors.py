@@ -168,61 +168,120 @@ def card_holder(df: DataFrame) -> DataFrame:
     return df.withColumn("card_holder_name", F.trim(F.regexp_replace(found, r"\s+[A-Za-z0-9]{10,}$", "")))
 
 
-# What ends a street, marks a unit, and ends the name of a city in two words.
-STREET_END = r"(?i:\b(?:street|road|avenue|boulevard|drive|lane|court|place|plaza|highway|parkway|trail|broadway|st|rd|ave|blvd|dr|ln|way|ct|pl|hwy|pkwy|cir|circle|oval|loop)(?:[.]|\b))"
-UNIT = r"(?i:(?:\b(?:apt|suite|ste|unit|room|rm|floor|fl|lot)\b[.]?|#)\s*\w+)"
-NOT_ANY = r"(?i:\bnot\s+applicable\b|\bn[.]a[.]|\bna\b)"
-BOX = r"(?i:\b(?:p[.]?\s*o[.]?\s*)?box(?:\s+\w+)?\b)"
-CITY_END = ["city", "county", "valley", "beach", "park", "springs", "falls", "grove", "lake", "hills", "heights", "village", "island", "creek", "harbor", "rapids"]
-
-
+# Words of addresses, as plain lists in their usual order.
+STREETS = [
+    "avenue of the americas", "street dr", "st dr", "street", "road", "avenue", "boulevard", "drive", "lane", "court", "place", "plaza", "highway", "parkway", "trail", "broadway",
+    "st", "rd", "ave", "blvd", "dr", "ln", "way", "ct", "pl", "pi", "hwy", "pkwy", "cir", "circle", "oval", "loop", "pte", "vis", "vista",
+]
+AFTER_BROADWAY = ["st", "street", "rd", "road", "ave", "avenue", "blvd", "boulevard", "dr", "drive", "ln", "lane", "way", "ct", "court", "pl", "place", "pi", "plaza", "hwy", "highway", "pkwy", "parkway", "trail"]
+DIRECTIONS_AFTER = ["south", "north", "east", "west", "s", "n", "e", "w", "nw", "ne", "sw", "se"]
+DIRECTIONS_BEFORE = [*DIRECTIONS_AFTER, "northeast", "northwest", "southeast", "southwest"]
+DIRECTED_CITIES = [
+    "south bend", "south haven", "south lake tahoe", "north bend", "north brunswick", "north hollywood", "north bergen", "north haven", "north highlands", "north metro", "north fort myers",
+    "west berlin", "west covina", "west hollywood", "west palm beach", "west trenton", "east hartford", "east orange", "east berlin", "east stroudsburg",
+]
+NUMBERS = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"]
+ORDINALS = ["first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth", "tenth"]
+UNITS = ["apt", "suite", "ste", "unit", "room", "rm", "lbl", "floor", "fl", "ph", "lot"]
+UNITS_BY_NUMBER = ["floor", "fl", "ste", "apt", "suite"]
+LONG_CITIES = ["el dorado hills", "new york city", "salt lake city"]
+CITY_END = [
+    "city", "county", "country", "valley", "beach", "park", "springs", "falls", "grove", "lake", "hills", "angeles", "diego", "francisco", "jose", "antonio", "bernardino", "mateo", "rafael", "barbara",
+    "clara", "ana", "monica", "rosa", "spring", "cynwyd", "rouge", "trenton", "orange", "berlin", "covina", "worth", "lauderdale", "myers", "wayne", "green", "arrow", "pass", "breeze", "plains",
+    "land", "york", "rapids", "moines", "vista", "mesa", "paso", "prairie", "vegas", "gatos", "alto", "pines", "linda", "heigh", "chase", "creek", "orchard", "twp", "aire", "river", "harbor", "sound",
+    "allen", "station", "heights", "village", "island",
+]
+NOT_ANY = r"\bnot\s+applicable\b|\bn[.]a[.](?!\w)|\bna\b"
+BOX = r"\b(?:p[.]?\s*o[.]?\s*)?box(?:\s+\w+)?\b"
+
+
+def one_of(words: list[str]) -> str:
+    return "(?:" + "|".join(w.replace(" ", r"\s+") for w in words) + ")"
+
+
+STREET_END = rf"\b{one_of(STREETS)}(?:[.]|\b)"
+UNIT = rf"(?:\b{one_of(UNITS)}\b[.]?|#)\s*\w+"
+GAP = r"(?:[,\s?]+)?"
+#: What may follow a street's end and still belong to the address, each once and in this order.
+DIRECTION, HOUSE_NUMBER = rf"(?:{GAP}\b{one_of(DIRECTIONS_AFTER)}\b)?", rf"(?:{GAP}\b\d+\b)?"
+STOREY = rf"(?:{GAP}\b(?:{one_of(ORDINALS)}|{one_of(NUMBERS)}|\d+(?:st|nd|rd|th)?)\s+{one_of(UNITS_BY_NUMBER)}\b)?"
+ROOM = rf"(?:{GAP}{UNIT})?"
 LEADING = "^[.,?\\s]+"
 NUMBERED = "([^ ]*[0-9].*)$"
 
 
+def around(c: Column, pattern: str, group: int) -> Column:
+    """What stands before (1), in (2) or after (3) the first match of a pattern, in any case; empty without one."""
+    return F.regexp_extract(c, f"(?siU)^(.*?)({pattern})(.*)$", group)
+
+
 def split_address(df: DataFrame, block: str, name: str = "split") -> DataFrame:
     """df with struct(name, address, city) of a block of these three: the first rule that fits counts.
 
-    In order: a mark for none, a box number, the end of a street after the first number, a unit, a repeated last
-    word, the first number (cities of two words by their second), and at last the final two words. Steps are columns
-    of their own, so that none is worked out twice.
+    In order: a mark for none; a box number; the end of a street behind the first number, with a direction, a number, a
+    storey and a unit that follow; a unit; a repeated phrase at the end; a last word that stood before; the first number
+    (cities of two and three words by their last); and the final two words. Steps are columns of their own, so that none
+    is worked out twice. A null or blank block has three empty parts.
     """
-    b, words, number, mark, pre = (F.col(c) for c in ("_b", "_w", "_number", "_mark", "_pre"))
+    b, words, none = F.col("_b"), F.col("_w"), F.lit("")
     plain = lambda w: F.lower(F.regexp_replace(w, "[,.]+$", ""))
     part = lambda *three: F.struct(*(F.trim(x).alias(n) for n, x in zip(("name", "address", "city"), three)))
-    none = F.lit("")
-    df = df.withColumn("_b", F.trim(F.regexp_replace(F.coalesce(block, none), r"\s+", " ")))
-    df = df.withColumn("_w", F.filter(F.split(b, " "), lambda w: w != ""))
-    df = df.withColumns({"_number": F.regexp_extract(b, "^(?:[^ 0-9]+ )*" + NUMBERED, 1), "_none": first(b, NOT_ANY), "_box": first(b, BOX), "_unit": first(b, UNIT)})
-    df = df.withColumn("_street", first(F.when(number != "", number).otherwise(b), STREET_END))
-    df = df.withColumn("_mark", F.when(F.col("_box") != "", F.col("_box")).otherwise(F.col("_unit")))
-    df = df.withColumn("_pre", F.regexp_replace(before(b, mark), " $", ""))
+    split_at = lambda c: F.filter(F.split(F.trim(c), " "), lambda w: w != "")
+    text = lambda xs, at, size: F.array_join(F.slice(xs, F.greatest(at, F.lit(1)), F.greatest(size, F.lit(0))), " ")
+    df = df.withColumn("_b", F.trim(F.regexp_replace(F.coalesce(block, none), r"(?U)\s+", " ")))
+    df = df.withColumns({"_w": split_at(b), "_digits": F.regexp_extract(b, "^[^0-9]*([0-9].*)$", 1), "_number": F.regexp_extract(b, "^(?:[^ 0-9]+ )*" + NUMBERED, 1)})
+    df = df.withColumn("_from", F.when(F.col("_digits") != "", F.col("_digits")).otherwise(b))
+    for n, column, pattern in (("_none", "_b", NOT_ANY), ("_box", "_b", BOX), ("_street", "_from", STREET_END), ("_unit", "_b", UNIT)):
+        df = df.withColumns({f"{n}{g}": around(F.col(column), pattern, g) for g in (1, 2, 3)})
+    col = lambda n, g: F.col(f"{n}{g}")
+
+    # A street: what comes after its end, step by step.
+    more = F.when(F.lower(col("_street", 2)) == "broadway", F.regexp_extract(col("_street", 3), f"(?iU)^{GAP}\\b(?:{one_of(AFTER_BROADWAY)}[.]|{one_of(AFTER_BROADWAY)})\\b", 0)).otherwise(none)
+    df = df.withColumn("_more", more).withColumn("_post", F.expr("substring(_street3, length(_more) + 1)"))
+    rest = HOUSE_NUMBER + STOREY + ROOM
+    directed = F.lower(F.trim(F.regexp_replace("_post", r"(?U)^\s+", ""))).rlike(f"^{one_of(DIRECTED_CITIES)}")
+    df = df.withColumn("_tail", F.when(directed, F.regexp_extract("_post", f"(?iU)^{rest}", 0)).otherwise(F.regexp_extract("_post", f"(?iU)^{DIRECTION}{rest}", 0)))
+    before_street = F.concat(F.expr("left(_b, length(_b) - length(_from))"), col("_street", 1))
+    df = df.withColumn("_pre", split_at(before_street)).withColumns({
+        "_end": F.concat(col("_street", 2), F.col("_more"), F.col("_tail")), "_city": F.regexp_replace(F.expr("substring(_post, length(_tail) + 1)"), LEADING, ""),
+        "_first": F.expr("coalesce(nullif(array_position(transform(_pre, w -> w rlike '[0-9]'), true), 0), 0)").cast("int"),
+    })
+    pre, n_pre = F.col("_pre"), F.size("_pre")
+    marked = (n_pre >= 2) & plain(F.try_element_at(pre, F.lit(-2))).isin([*DIRECTIONS_BEFORE, *NUMBERS])
+    at = F.when(F.col("_first") > 0, F.col("_first")).when(marked, n_pre - 1).otherwise(F.greatest(n_pre, F.lit(1)))
+    by_street = part(text(pre, F.lit(1), at - 1), F.concat_ws(" ", text(pre, at, n_pre - at + 1), F.col("_end")), F.col("_city"))
+
+    # A box or unit: it and what stands before it from the first word with a number on.
+    def by_mark(n: str, city: Column) -> Column:
+        house = F.regexp_extract(F.trim(col(n, 1)), "^(?:[^ 0-9]+ )*" + NUMBERED, 1)
+        lead = F.when(house == "", col(n, 1)).otherwise(F.expr(f"left(trim({n}1), length(trim({n}1)) - length(regexp_extract(trim({n}1), '^(?:[^ 0-9]+ )*{NUMBERED}', 1)))"))
+        return part(lead, F.concat_ws(" ", F.nullif(house, none), col(n, 2)), city)
+
+    n, clean = F.size(words), F.transform(words, plain)
+    df = df.withColumn("_clean", clean)
     df = df.withColumns({
-        "_house": F.regexp_extract(pre, NUMBERED, 1), "_lead": before(b, number), "_tail": F.filter(F.split(number, " "), lambda w: w != ""),
-        "_again": F.array_position(F.transform(words, plain), plain(F.try_element_at(words, F.lit(-1)))).cast("int"),
+        "_twice": F.expr("coalesce(try_element_at(filter(if(size(_w) < 2, array(), reverse(sequence(1, greatest(1, size(_w) div 2)))), l -> slice(_clean, size(_w) - 2 * l + 1, l) = slice(_clean, size(_w) - l + 1, l)), 1), 0)"),
+        "_again": F.array_position("_clean", F.try_element_at("_clean", F.lit(-1))).cast("int"), "_house": split_at(F.col("_number")),
     })
-    n, house, street, lead, tail, again = F.size(words), F.col("_house"), F.col("_street"), F.col("_lead"), F.col("_tail"), F.col("_again")
-    text = lambda xs, at, size: F.array_join(F.slice(xs, at, F.greatest(size, F.lit(0))), " ")
-    around = part(before(pre, house), F.concat_ws(" ", F.nullif(house, none), mark), F.regexp_replace(after(b, mark), LEADING, ""))
-    lone = part(before(b, street), street, F.regexp_replace(after(b, street), LEADING, ""))
-    by_street = part(lead, F.concat(before(number, street), street), F.regexp_replace(after(number, street), LEADING, ""))
-    last = F.try_element_at(words, F.lit(-1))
-    cut = F.when((F.size(tail) >= 3) & plain(last).isin(CITY_END), 2).otherwise(1)
-    by_number = part(lead, text(tail, F.lit(1), F.size(tail) - cut), text(tail, F.greatest(F.size(tail) - cut, F.lit(0)) + 1, cut))
+    twice, again, house, last = F.col("_twice"), F.col("_again"), F.col("_house"), F.try_element_at(words, F.lit(-1))
+    k = F.size(house)
+    cut = F.when((k >= 3) & F.regexp_replace(F.lower(text(house, k - 2, F.lit(3))), "[,.]+$", "").isin(LONG_CITIES), 3).when((k >= 3) & plain(last).isin(CITY_END), 2).otherwise(1)
+    by_number = part(F.expr("left(_b, length(_b) - length(_number))"), text(house, F.lit(1), k - cut), text(house, k - cut + 1, cut))
     split = (
         F.when(n == 0, part(none, none, none))
-        .when(F.col("_none") != "", part(before(b, F.col("_none")), F.col("_none"), after(b, F.col("_none"))))
-        .when(F.col("_box") != "", around)
-        .when((street != "") & (number != ""), by_street)
-        .when(street != "", lone)
-        .when(F.col("_unit") != "", around)
+        .when(col("_none", 2) != "", part(*(col("_none", g) for g in (1, 2, 3))))
+        .when(col("_box", 2) != "", by_mark("_box", col("_box", 3)))
+        .when(col("_street", 2) != "", by_street)
+        .when(col("_unit", 2) != "", by_mark("_unit", F.regexp_replace(col("_unit", 3), LEADING, "")))
+        .when(twice > 0, part(text(words, F.lit(1), n - 2 * twice), text(words, n - 2 * twice + 1, twice), text(words, n - twice + 1, twice)))
         .when((n >= 3) & (again < n), part(text(words, F.lit(1), again - 1), text(words, again, n - again), last))
-        .when(number != "", by_number)
+        .when(F.col("_number") != "", by_number)
         .when(n >= 3, part(text(words, F.lit(1), n - 2), F.try_element_at(words, F.lit(-2)), last))
-        .when(n == 2, part(F.get(words, 0), last, none))
+        .when(n == 2, part(F.get(words, F.lit(0)), last, none))
         .otherwise(part(b, none, none))
     )
-    return df.withColumn(name, split).drop("_b", "_w", "_number", "_none", "_box", "_unit", "_street", "_mark", "_pre", "_house", "_lead", "_tail", "_again")
+    steps = ["_b", "_w", "_digits", "_number", "_from", "_more", "_post", "_tail", "_pre", "_end", "_city", "_first", "_clean", "_twice", "_again", "_house", *(f"{x}{g}" for x in ("_none", "_box", "_street", "_unit") for g in (1, 2, 3))]
+    return df.withColumn(name, split).drop(*steps)
 
 
 def split_holder(df: DataFrame, block: str, prefix: str = "") -> DataFrame:

@@ -562,15 +562,20 @@ def anchor_extract_forms(spark, sf_dir):
     return out.select("form_id", "record_no", "date_of_purchase", "ph_email", "ph_phone", "ph_zip", "ph_dob", "nominee_state", "blood_group", "policy_no", "reference_no", "agent_code", "agent_licence_no", "plan_name", "plan_code", "sum_of_insured", "period_of_insurance", "q1_alcohol", "q7_glasses", "payment_option", "premium", "discount", "total_amount", "card_type", "transaction_id", "customer_id", "file_no", "ph_name", "ph_address", "ph_city", "education", "nominee_name", "nominee_address", "nominee_city", "nominee_zip", "relation_with_nominee", "chest", "height", "weight", "agent_name", "agent_address", "agent_city", "agent_state", "agent_zip", "card_holder_name")
 
 
-HOUSES = [("12 Oak St.", "Salem"), ("P.O. Box 77", "Reno"), ("N.A.", "Reno"), ("Salem", "Salem"), ("55 Mill", "Silver Springs"), ("9 Oak Suite 4", "Dover")]
+#: Shapes of addresses (# is a house number, ~ the name of a street) and cities that go with them.
+HOUSES = [
+    ("# ~ St.", "Salem"), ("P.O. Box 77", "Reno"), ("N.A.", "Reno"), ("Salem", "Salem"), ("# ~", "Silver Springs"), ("# ~ Suite 4", "Dover"), ("# ~ St. Apt 5", "Reno"), ("# ~ St NW Second Floor", "Reno"), ("# ~", "Los Angeles"), ("New York", "New York"),
+    ("# Avenue of the Americas", "New York"), ("# Broadway Ave", "Dover"), ("West ~ Road", "Salem"), ("Five ~ Lane", "Dover"), ("# ~ Rd", "South Bend"), ("# ~ Rd South", "Reno"), ("# Rural P.O. Box 9", "Reno"), ("# ~ #12", "Dover"), ("# ~", "Salt Lake City"), ("# ~ Dr 7 2nd fl Rm 3", "Mesa"),
+]
+ADDRESSES = f"""
+SELECT c_custkey, 'Ann ' || c_mktsegment AS name, replace(replace(element_at(array({', '.join(f"'{a}'" for a, _ in HOUSES)}), CAST(c_custkey % {len(HOUSES)} + 1 AS INT)), '# ', CAST(1 + c_custkey % 900 AS STRING) || ' '), '~', element_at(array('Oak', 'Elm', 'Boston', 'Mill Hill'), CAST(c_custkey % 4 + 1 AS INT))) AS address,
+  element_at(array({', '.join(f"'{c}'" for _, c in HOUSES)}), CAST(c_custkey % {len(HOUSES)} + 1 AS INT)) AS city, '(503) 555-' || CAST(1000 + c_custkey % 9000 AS STRING) AS phone FROM customer"""
 
 
-@query(f"""SELECT s_suppkey, 'Ann Lee' AS name, [{', '.join(f"'{a}'" for a, _ in HOUSES)}][s_suppkey % 6 + 1] AS address, [{', '.join(f"'{c}'" for _, c in HOUSES)}][s_suppkey % 6 + 1] AS city,
-  'OR' AS state, '97301' AS zip, '(503) 555-' || CAST(1000 + s_suppkey AS VARCHAR) AS phone FROM supplier""")
+@query(f"""SELECT c_custkey, name, address, city, 'OR' AS state, '97301' AS zip, phone FROM ({ADDRESSES.replace('element_at(array(', 'list_extract(list_value(')}) a""")
 def address_split(spark, sf_dir):
-    """Holder blocks in several forms, split by the first rule that fits."""
-    blocks = derived(spark, sf_dir, """SELECT s_suppkey, 'Ann Lee ' || CASE s_suppkey % 6 WHEN 0 THEN '12 Oak St. Salem' WHEN 1 THEN 'P.O. Box 77 Reno' WHEN 2 THEN 'N.A. Reno' WHEN 3 THEN 'Salem Salem' WHEN 4 THEN '55 Mill Silver Springs' ELSE '9 Oak Suite 4 Dover' END
-      || ' OR 97301 (503) 555-' || CAST(1000 + s_suppkey AS STRING) AS block FROM supplier""")
+    """Holder blocks of customers in many shapes, split by the first rule that fits."""
+    blocks = derived(spark, sf_dir, f"SELECT c_custkey, name || ' ' || address || ' ' || city || ' OR 97301 ' || phone AS block FROM ({ADDRESSES}) a")
     return anchors.split_holder(blocks, "block").drop("block")
 
 

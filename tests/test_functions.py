@@ -51,6 +51,11 @@ def test_addresses(spark):
     cases = {
         "Ann Lee 12 Oak St. Salem": ("Ann Lee", "12 Oak St.", "Salem"), "Ann Lee P.O. Box 77 Reno": ("Ann Lee", "P.O. Box 77", "Reno"), "Ann Lee N.A. Reno": ("Ann Lee", "N.A.", "Reno"),
         "Ann Lee 9 Elm Suite 4 Dover": ("Ann Lee", "9 Elm Suite 4", "Dover"), "Columbia x Columbia": ("", "Columbia x", "Columbia"), "Ann Lee 55 Mill Silver Springs": ("Ann Lee", "55 Mill", "Silver Springs"),
+        "Ann Lee 12 Oak St. Apt 5 Reno": ("Ann Lee", "12 Oak St. Apt 5", "Reno"), "Ann Lee 12 Oak St NW Second Floor Reno": ("Ann Lee", "12 Oak St NW Second Floor", "Reno"), "Ann Lee 45 Mill Los Angeles": ("Ann Lee", "45 Mill", "Los Angeles"),
+        "Ann New York New York": ("Ann", "New York", "New York"), "Columbia Columbia": ("", "Columbia", "Columbia"), "Ann 9 Boston st, Salem": ("Ann", "9 Boston st", "Salem"), "Ann 7 Broadway Ave. Dover": ("Ann", "7 Broadway Ave", "Dover"),
+        "Ann Lee West Oak Road Salem": ("Ann Lee", "West Oak Road", "Salem"), "Ann Lee Five Elm Lane Salem": ("Ann Lee", "Five Elm Lane", "Salem"), "Ann Lee Five Elm Lane #12 Salem": ("Ann Lee Five Elm Lane", "#12", "Salem"), "Oak Road": ("", "Oak Road", ""), "Road": ("", "Road", ""), "Ann 12 Oak Rd South Bend": ("Ann", "12 Oak Rd", "South Bend"),
+        "Ann 12 Oak Rd South Reno": ("Ann", "12 Oak Rd South", "Reno"), "Ann 5 Hill Rd 77 3rd fl Rm 2 Mesa": ("Ann", "5 Hill Rd 77 3rd fl Rm 2", "Mesa"), "Ann 8 Ridge Salt Lake City": ("Ann", "8 Ridge", "Salt Lake City"), "Ann 3 Park Box 9, Reno": ("Ann", "3 Park Box 9", ", Reno"),
+        "Ann Lee Unit 4 . Reno": ("Ann Lee", "Unit 4", "Reno"), "Ann not applicable": ("Ann", "not applicable", ""), "Ann Lee 12": ("Ann Lee", "", "12"), "6 Avenue of the Americas New York": ("", "6 Avenue of the Americas", "New York"),
         "Ann Lee Oak Reno": ("Ann Lee", "Oak", "Reno"), "Ann Lee": ("Ann", "Lee", ""), "Ann": ("Ann", "", ""), "": ("", "", ""),
     }
     df = spark.createDataFrame([(k,) for k in [*cases, None]], "b string")
