@@ -17,12 +17,18 @@ SHARD_ROWS, QUERY_ROWS = 8192, 4096
 #: Terms whose first postings give a query's first threshold.
 SEED_TERMS = 8
 STEP = 8
-#: Components beyond this (in whole numbers) are held at it, so that products and their sums stay within 64 bits.
-MOST = 1 << 28
+#: Vectors with more components, or with one of this size (as a whole number), have no postings but are scored one by one.
+WIDE, BIG = 4096, 1 << 31
+#: Components in the postings of a shard at most, and rows that are scored at once in whole numbers of any size.
+CELLS, AT_ONCE = 1 << 24, 256
+#: Sums are exact in 64 bits if no sum of their parts' sizes exceeds this.
+SAFE = float(1 << 62)
+MOST = (1 << 63) - 1
 
 
 def integer_vectors(rows: DataFrame, column: str, scale: float) -> DataFrame:
-    """vec_id, v (integers of 16 or 32 bits as binary) and size: floor(scale * x) of each component; rows that cannot take part go."""
+    """vec_id, v (integers of 16 or 32 bits, larger ones as whole doubles) and size: floor(scale * x) of each component;
+    rows that cannot take part go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -34,9 +40,9 @@ def integer_vectors(rows: DataFrame, column: str, scale: float) -> DataFrame:
                     continue
                 x = np.floor(scale * np.asarray(x.cast(pa.float64())))
                 if np.isfinite(x).all():
-                    x = np.clip(x, -MOST, MOST)
                     ids.append(i)
-                    out.append(x.astype("<i2" if np.abs(x).max(initial=0) < 1 << 15 else "<i4").tobytes())
+                    most = np.abs(x).max(initial=0)
+                    out.append(x.astype("<i2" if most < 1 << 15 else "<i4" if most < BIG else "<f8").tobytes())
                     size.append(len(x))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary()), pa.array(size, pa.int32())], names=["vec_id", "v", "size"])
 
@@ -44,16 +50,33 @@ def integer_vectors(rows: DataFrame, column: str, scale: float) -> DataFrame:
 
 
 def unpacked(v: bytes, size: int) -> np.ndarray:
+    """Integers of 64 bits, or Python's own where these do not do."""
+    if len(v) == 8 * size and size:
+        x = np.frombuffer(v, "<f8")
+        return x.astype(np.int64) if np.abs(x).max() < SAFE else np.array([int(c) for c in x], object)
     return np.frombuffer(v, "<i2" if len(v) == 2 * size else "<i4").astype(np.int64)
 
 
+def exact_product(a: np.ndarray, b: np.ndarray) -> int:
+    n = min(len(a), len(b))
+    a, b = a[:n], b[:n]
+    if np.abs(a.astype(float)) @ np.abs(b.astype(float)) < SAFE:
+        return int(a.astype(np.int64) @ b.astype(np.int64)) if n else 0
+    return sum(int(x) * int(y) for x, y in zip(a, b))
+
+
 class Shard:
-    """Postings of some vectors: for each dimension and sign the rows with such a component, strongest first."""
+    """Postings of some vectors: for each dimension and sign the rows with such a component, strongest first.
+
+    Very long vectors and those with very large components stand apart and are scored one by one.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: list[np.ndarray]):
-        self.ids = ids
+        regular = np.array([len(v) <= WIDE and (v.dtype != object and np.abs(v).max(initial=0) < BIG) for v in vectors], bool)
+        self.apart = [(i, v) for i, v, r in zip(ids.tolist(), vectors, regular) if not r]
+        self.ids, vectors = ids[regular], [v for v, r in zip(vectors, regular) if r]
         width = max((len(v) for v in vectors), default=0)
-        self.columns = np.zeros((width, len(ids)), np.int64)  # shorter vectors have no posting in the rest
+        self.columns = np.zeros((width, len(vectors)), np.int64)  # shorter vectors have no posting in the rest
         for i, v in enumerate(vectors):
             self.columns[: len(v), i] = v
         order = np.argsort(-self.columns, axis=1, kind="stable")
@@ -62,10 +85,31 @@ class Shard:
         #: By sign of the query's component: the rows that it adds something to, those that it adds most to first.
         self.postings = {1: [o[:n] for o, n in zip(order, above)], -1: [o[::-1][:n] for o, n in zip(order, below)]}
 
-    def search(self, own: int, query: np.ndarray, k: int, known: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, own: int, query: np.ndarray, k: int, known: int | None = None) -> tuple[list[int], list[int]]:
         """Ids and scores of the k best rows but those whose id is `own`, best first; rows below `known`, a score that
-        k other rows reach, may be left out."""
-        query = query[: len(self.columns)]
+        k other rows reach, may be left out. Scores that 64 bits cannot hold are given as the nearest that they can."""
+        used = query[: len(self.columns)]
+        most = np.maximum(np.abs(self.high), np.abs(self.low))[: len(used)].astype(float)
+        if query.dtype != object and np.abs(used.astype(float)) @ most < SAFE:
+            best = list(zip(*(x.tolist() for x in self.by_terms(own, used, k, known))))
+        else:
+            best = self.one_by_one(own, used, k)
+        best += [(i, exact_product(query, v)) for i, v in self.apart if i != own]
+        best = sorted(best, key=lambda x: (-x[1], x[0]))[:k]
+        return [i for i, _ in best], [max(-MOST, min(MOST, s)) for _, s in best]
+
+    def one_by_one(self, own: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """search() without terms, in whole numbers of any size, for the rows that have postings."""
+        best: list[tuple[int, int]] = []
+        query = np.array([int(x) for x in query], object)
+        for i in range(0, len(self.ids), AT_ONCE):
+            part = self.columns[: len(query), i : i + AT_ONCE].astype(object)
+            scores = query @ part if len(query) else [0] * part.shape[1]
+            best += [(j, s) for j, s in zip(self.ids[i : i + AT_ONCE].tolist(), scores) if j != own]
+            best = sorted(best, key=lambda x: (-x[1], x[0]))[:k]
+        return best
+
+    def by_terms(self, own: int, query: np.ndarray, k: int, known: int | None) -> tuple[np.ndarray, np.ndarray]:
         gain = np.maximum(query * self.high[: len(query)], query * self.low[: len(query)])
         bound = np.maximum(0, gain)
         terms = np.argsort(-bound, kind="stable")
@@ -107,10 +151,11 @@ class Shard:
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, column: str = "embedding", scale: float = 1024.0, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """The k rows with the highest integer inner product for each query: query_id, rank, vec_id, score.
 
-    rows and queries have vec_id and `column`. Components become floor(scale * x), at most MOST either way; rows
+    rows and queries have vec_id and `column`. Components become floor(scale * x), whatever their size; rows
     whose vector is null or holds null or non-finite components, or whose vec_id is null, take no part. Rows with
     the query's vec_id are its own and no candidates. Vectors of other lengths count as filled up with zeros. Ties
-    go to the smaller vec_id; equal rows are rows like others.
+    go to the smaller vec_id; equal rows are rows like others. Scores are exact; one beyond 64 bits is given as the
+    nearest long. An empty table gives no rows. A shard's postings have at most CELLS components, however long a vector is.
 
     A shard of bounded size gets its postings once for a block of thousands of queries. The first shard is searched
     before all others, and the score of its k-th row is where every query begins in these. The shards' best rows are
@@ -118,7 +163,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, column: str = "embed
     """
     base = keep(integer_vectors(rows, column, scale), "vectors")
     asked = keep(integer_vectors(queries, column, scale).distinct().withColumn("q", F.xxhash64("v")), "queries")
-    shards = max(1, -(-base.count() // shard_rows))
+    count, width = base.agg(F.count("*"), F.coalesce(F.max(F.least("size", F.lit(WIDE))), F.lit(0))).first()
+    shards = max(1, -(-count // min(shard_rows, CELLS // max(1, width))))
     blocks = max(1, -(-asked.count() // query_rows))
     every = lambda first, n: F.explode(F.sequence(F.lit(first), F.lit(n - 1)))
     left = base.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("block", every(0, blocks))
@@ -130,7 +176,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, column: str = "embed
             index = Shard(longs(shard, "vec_id"), [unpacked(v, n) for v, n in zip(shard["v"].to_pylist(), shard["size"].to_pylist())])
             for q, h, v, n, known in zip(*(block[c].to_pylist() for c in ("vec_id", "q", "v", "size", "known"))):
                 ids, scores = index.search(q, unpacked(v, n), k, known)
-                out += zip([q] * len(ids), [h] * len(ids), ids.tolist(), scores.tolist())
+                out += zip([q] * len(ids), [h] * len(ids), ids, scores)
         return pa.Table.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], names=["query_id", "q", "vec_id", "score"])
 
     def found(shard_rows_: DataFrame, asked_: DataFrame) -> DataFrame:

@@ -35,3 +35,16 @@ def test_fewer_rows_than_k_and_no_rows(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [-3.0])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, top_k(df, df.where("vec_id = 0")).collect())) == [(0, 1, 1, 2048 * 1024), (0, 2, 2, -3072 * 1024)]
     assert top_k(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_large_components_and_long_vectors(spark):
+    rng = random.Random(2)
+    rows = [(0, [300000.0, 1.0]), (1, [300000.0, 2.0]), (2, [299999.0, 2000.0]), (3, [-2.5e6, 5.0]), (4, [1e6, -1e6]), (5, [3e6, 0.25]), (6, [0.5]), (7, [rng.gauss(0, 1) for _ in range(5000)])]
+    rows += [(i, [rng.uniform(-1, 1) * 10.0 ** rng.randint(0, 6) for _ in range(6)]) for i in range(10, 60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for ids in ([0, 1, 2], [3, 5, 7], [6, 10, 20, 30]):
+        want = brute(rows, set(ids), 10)
+        assert all(abs(s) < 2**63 for *_, s in want)
+        assert sorted(map(tuple, top_k(df, df.where(f"vec_id in ({','.join(map(str, ids))})"), shard_rows=16).collect())) == want
+    far = spark.createDataFrame([(0, [1e300, 1.0]), (1, [-1e300, 1.0]), (2, [1e300, 1.0]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in top_k(far, far.where("vec_id = 0")).orderBy("rank").collect()] == [(0, 1, 2, 2**63 - 1), (0, 2, 3, 1024 * 1024), (0, 3, 1, 1 - 2**63)]
