@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from formweave.catalog import ALIASES, ON_FORM, field_catalog, header_names
+from formweave.catalog import FIELDS as CATALOG
 from formweave.functions import canon, registered, scoring, text
 from formweave.functions.similarity import with_ratio
 from formweave.operators import alignment, anchors, forms, layout, matching, records, rows, search, stitch, verdict
@@ -831,9 +832,13 @@ def html_report(spark, sf_dir):
     return rows.report_lines(results).select("form_id", F.md5(F.col("html").cast("binary")).alias("html"))
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (on_form) AS printed FROM (SELECT unnest(range(60)) AS i, i NOT IN (0, 51, 57, 58, 59) AS on_form) t")
+@query(f"""SELECT c.key, c.on_form, coalesce(x.read, 0) AS read, coalesce(x.blank, 0) AS blank FROM (VALUES {", ".join(f"('{f[0]}', {str(f[3]).lower()})" for f in CATALOG)}) c(key, on_form)
+LEFT JOIN (SELECT field, count(*) FILTER (found <> '') AS read, count(*) FILTER (found = '') AS blank FROM ({FIELDS}) f GROUP BY field) x ON c.key = x.field""")
 def catalog_counts(spark, sf_dir):
-    return field_catalog(spark).agg(F.count("*").alias("n"), F.sum(F.col("on_form").cast("long")).alias("printed"))
+    """How often each field of the catalog was read on scans, and how often it was blank there."""
+    count = lambda c: F.sum(c.cast("long"))
+    of = derived(spark, sf_dir, FIELDS_ONCE).groupBy(F.col("field").alias("key")).agg(count(F.col("found") != "").alias("read"), count(F.col("found") == "").alias("blank"))
+    return field_catalog(spark).join(of, "key", "left").select("key", "on_form", F.coalesce("read", F.lit(0).cast("long")).alias("read"), F.coalesce("blank", F.lit(0).cast("long")).alias("blank"))
 
 
 STREAMED = BY_COLUMN.replace("SELECT a.folder,", "SELECT CAST(a.folder AS VARCHAR) AS folder,").replace("SELECT folder, pos, md5(text), 'open'", "SELECT CAST(folder AS VARCHAR), pos, md5(text), 'open'")
