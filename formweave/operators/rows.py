@@ -99,6 +99,18 @@ def batch_totals(forms: DataFrame) -> DataFrame:
     return of.select("folder", "image", "forms", "matched", "passed", "level")
 
 
+UNMATCHED = "This form could not be matched to any record: its record number could not be read or is not known."
+
+
+def unmatched_report(forms: DataFrame, form: str = "form_id", message: str = UNMATCHED) -> DataFrame:
+    """form, html: the body of the report for forms (image, box, text) without a record: where it stands, why there is
+    no verdict, and the text that was read, if any. Boxes count from 0, forms of a report from 1; null is the first."""
+    safe = lambda c: html_escape(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    head = F.concat(F.lit("<h2>Form "), safe(form), F.lit("</h2><p>Image: "), safe("image"), F.lit(" | Form #"), (F.coalesce("box", F.lit(0)) + 1).cast("string"), F.lit("</p><p>NOT MAPPED</p><p>"), html_escape(F.lit(message)), F.lit("</p>"))
+    read = F.when(F.coalesce("text", F.lit("")) != "", F.concat(F.lit("<h3>Text read from the form</h3><pre>"), safe("text"), F.lit("</pre>"))).otherwise("")
+    return forms.select(form, F.concat(head, read).alias("html"))
+
+
 def report_lines(results: DataFrame, form: str = "form_id") -> DataFrame:
     """form, html: a table row for each field of each form, escaped, and a header with the counts."""
     cell = lambda c: F.concat(F.lit("<td>"), html_escape(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit("</td>"))

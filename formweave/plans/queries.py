@@ -832,6 +832,45 @@ def html_report(spark, sf_dir):
     return rows.report_lines(results).select("form_id", F.md5(F.col("html").cast("binary")).alias("html"))
 
 
+UNREAD = "SELECT s_suppkey AS folder, 1 AS pos, 0.5D AS col, 'p<' || CAST(s_suppkey AS STRING) || '>.png' AS image, s_suppkey % 3 AS box, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE 'L_I@' || CAST(10000 + s_suppkey AS STRING) || ' & ' || s_name || ' TR12AN34SA56CT' END AS text FROM supplier"
+
+
+@query(f"""SELECT folder || ':1' AS form_id, '<h2>Form ' || folder || ':1</h2><p>Image: ' || {ESC('image')} || ' | Form #' || (box + 1) || '</p><p>NOT MAPPED</p><p>' || '{rows.UNMATCHED}' || '</p>' ||
+  CASE WHEN text = '' THEN '' ELSE '<h3>Text read from the form</h3><pre>' || {ESC('text')} || '</pre>' END AS html FROM ({UNREAD.replace('0.5D', '0.5')}) u""")
+def html_unmatched(spark, sf_dir):
+    """Reports of forms whose number belongs to no record."""
+    whole = forms.merged_forms(derived(spark, sf_dir, UNREAD))
+    named = matching.match_by_number(whole.select(F.col("form_id").alias("id"), "text"), derived(spark, sf_dir, RECORDS)).where("record_no is null")
+    unread = whole.join(named.select(F.col("id").alias("form_id")), "form_id")
+    return rows.unmatched_report(unread.select("form_id", "image", F.element_at("members", -1)["box"].alias("box"), "text"))
+
+
+def filled_(where: str) -> str:
+    return f"CASE WHEN trim(found) = '' AND {where} THEN expected ELSE found END"
+
+
+@query(f"""SELECT form_id, field, {filled_('true')} AS shown, {filled_("status = 'mismatch' AND trim(expected) <> ''")} AS found, CASE WHEN trim(found) = '' AND status = 'mismatch' AND trim(expected) <> '' THEN 'match' ELSE status END AS status
+FROM (SELECT form_id, field, expected, found, CASE WHEN status = 'ocr_missed' AND form_id % 2 = 0 THEN 'mismatch' ELSE status END AS status FROM ({RESULTS}) r) r""")
+def filled_fields(spark, sf_dir):
+    """The optional fallback for values that were not read, in both of its forms (half of the missed ones count as wrong here)."""
+    results = statuses(spark, sf_dir).withColumn("status", F.when((F.col("status") == "ocr_missed") & (F.col("form_id") % 2 == 0), "mismatch").otherwise(F.col("status")))
+    shown = verdict.filled(results, keep_status=True).select("form_id", "field", F.col("found").alias("shown"))
+    return verdict.filled(results).select("form_id", "field", "found", "status").join(shown, ["form_id", "field"])
+
+
+@query(f"""SELECT page, box, CAST(x AS DOUBLE) AS x0, CAST(y AS DOUBLE) AS y0, CAST(x + w AS DOUBLE) AS x1, CAST(y + h AS DOUBLE) AS y1, x + w / 2.0 AS cx, y + h / 2.0 AS cy, x / 0.5 AS sx, (y + h) / 0.5 AS sy, round((x + w / 2.0) / 1000, 9) AS place,
+  greatest(0, x - 4) AS px0, greatest(0, y - 4) AS py0, least(1000, x + w + 4) AS px1, least(1400, y + h + 4) AS py1 FROM ({NUMBERED}) b""")
+def box_geometry(spark, sf_dir):
+    """Corners and centres of outlines, boxes at another scale, places on the page and padded crops."""
+    boxes = derived(spark, sf_dir, NUMBERED)
+    x, y, w, h = (F.col(c) for c in ("x", "y", "w", "h"))
+    corner = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
+    out = boxes.withColumn("b", layout.bounding_box(F.array(corner(x, y), corner(x + w, y), corner(x + w, y + h), corner(x, y + h))))
+    out = out.withColumns({"s": layout.rescaled(F.array("b"), F.lit(0.5))[0], "p": layout.clamped(x, y, w, h, F.lit(1000), F.lit(1400))})
+    crop = [F.col(f"p.{c}").cast("int").alias(f"p{c}") for c in ("x0", "y0", "x1", "y1")]
+    return out.select("page", "box", "b.x0", "b.y0", "b.x1", "b.y1", "b.cx", "b.cy", F.col("s.x0").alias("sx"), F.col("s.y1").alias("sy"), F.round(layout.column_place(x, w, F.lit(1000)), 9).alias("place"), *crop)
+
+
 @query(f"""SELECT c.key, c.on_form, coalesce(x.read, 0) AS read, coalesce(x.blank, 0) AS blank FROM (VALUES {", ".join(f"('{f[0]}', {str(f[3]).lower()})" for f in CATALOG)}) c(key, on_form)
 LEFT JOIN (SELECT field, count(*) FILTER (found <> '') AS read, count(*) FILTER (found = '') AS blank FROM ({FIELDS}) f GROUP BY field) x ON c.key = x.field""")
 def catalog_counts(spark, sf_dir):
