@@ -832,6 +832,25 @@ def html_report(spark, sf_dir):
     return rows.report_lines(results).select("form_id", F.md5(F.col("html").cast("binary")).alias("html"))
 
 
+# Pages of the store's records: a table with a heading, a row that lacks its opening tag, and a key given twice; and a list of users.
+RECORD_PAGES = f"""
+SELECT form_id AS page_id, '<table id="t"><tr><th>No</th><th>Field</th><th>Value</th></tr><tr><td>1</td><td>Record No</td><td><b>' || record_no || '</b></td></tr> <td>2</td><td>Holder Name</td><td> ' || replace(ph_name, '#', ' &amp; ') || ' </td></tr><tr><td>3</td><td>Premium</td><td>0$</td></tr><tr><td colspan="2">note</td></tr><TR class="x"><td>4</td><td>PREMIUM</td><td>' || premium || '</td><td>more</td></TR></table>' AS html, record_no, ph_name, premium FROM ({RECORDS}) r"""
+USER_PAGES = """
+SELECT n_nationkey AS page_id, '<select><option value="selectuser">pick one</option><option value="">none</option><OPTION selected value="u' || CAST(n_nationkey AS STRING) || '"><i>' || n_name || '</i> &lt;1&gt;</OPTION>' || CASE WHEN n_regionkey = 1 THEN '<option class="b" value="v">A&nbsp;B</option>' ELSE '' END || '</select>' AS html, n_name, n_regionkey FROM nation"""
+
+
+@query(f"""SELECT page_id, unnest(['record_no', 'holder_name', 'premium']) AS key, unnest([record_no, replace(ph_name, '#', ' & '), premium]) AS value FROM ({RECORD_PAGES}) p""")
+def html_records(spark, sf_dir):
+    """Key and value of the tables of record pages."""
+    return html.key_values(derived(spark, sf_dir, RECORD_PAGES).select("page_id", "html")).select("page_id", F.explode("record").alias("key", "value"))
+
+
+@query(f"""SELECT page_id, 2 AS n, 'u' || page_id AS value, n_name || ' <1>' AS text FROM ({USER_PAGES}) p UNION ALL SELECT page_id, 3, 'v', 'A B' FROM ({USER_PAGES}) p WHERE n_regionkey = 1""")
+def html_options(spark, sf_dir):
+    """Users that may be chosen on a page."""
+    return html.options(derived(spark, sf_dir, USER_PAGES).select("page_id", "html"))
+
+
 UNREAD = "SELECT s_suppkey AS folder, 1 AS pos, 0.5D AS col, 'p<' || CAST(s_suppkey AS STRING) || '>.png' AS image, s_suppkey % 3 AS box, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE 'L_I@' || CAST(10000 + s_suppkey AS STRING) || ' & ' || s_name || ' TR12AN34SA56CT' END AS text FROM supplier"
 
 
