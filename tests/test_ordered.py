@@ -10,6 +10,7 @@ def test_running_values_equal_a_loop(spark):
     rows = [(rng.choice(["hot", "hot", "hot", "a", None]), i, rng.randint(-5, 5)) for i in range(900)]
     df = spark.createDataFrame(rows, "g string, i long, v int").repartition(5)
     spark.conf.set("spark.sql.shuffle.partitions", "9")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         blocks = in_blocks(df, ["g"], ["i"])
         assert blocks.where("g = 'hot'").select("_block").distinct().count() > 3
@@ -23,6 +24,7 @@ def test_running_values_equal_a_loop(spark):
                         assert got[i] == acc
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_rows_are_numbered_without_gaps(spark):

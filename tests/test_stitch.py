@@ -170,6 +170,7 @@ def test_search_by_column_equals_a_scan():
 def test_one_folder_is_cut_into_stretches(spark):
     rng = random.Random(3)
     spark.conf.set("spark.sql.shuffle.partitions", "7")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small blocks would become one
     try:
         rows = [("all", i, rng.choice([START, START, REST, REST, REST]) + f" {i}", rng.choice([0.2, 0.4, 0.8, None])) for i in range(3000)] + [(None, 1, START, 0.1), (None, 2, REST, 0.1)]
         kinds = classify(frame(spark, rows))
@@ -180,3 +181,4 @@ def test_one_folder_is_cut_into_stretches(spark):
         assert got == Counter([("all", *x) for x in want] + [("all", p, t, "open") for p, t, _ in left] + [(None, 2, f"{START} {REST}", "joined")])
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
