@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import load, pieces, text_bytes, texts_only
-from .packing import encoder, vocabulary
+from .packing import ranks, slow_encoder, vocabulary
 
 CAPACITY = 2048
 END_ID = 1
@@ -24,21 +25,45 @@ LONG = INSIDE
 #: Bytes of text for which the windows are sought at once.
 CHUNK = 1 << 20
 STOPS, CLOSERS, BLANKS = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (b".!?", b"\"')]", b" \t\n\x0b\x0c\r"))
+MAY_END, WIDE_STOPS = STOPS | CLOSERS, ("\u3002".encode(), "\uff01".encode(), "\uff1f".encode())
+
+
+@lru_cache(2)
+def plain_encoder(name: str = "byte_bpe_50k") -> Callable[[str], np.ndarray]:
+    """The ids that packing.encoder() gives, without its search for special tokens, which no text here has."""
+    import public_tokenizers
+    import tiktoken
+
+    fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(name), special_tokens={})
+
+    def encode(text: str) -> np.ndarray:
+        # White space of 2000 characters, which the fast pattern cannot take, fills one of these blocks at least.
+        if len(text) >= 2000 and any(text[i : i + 1000].isspace() for i in range(0, len(text), 1000)):
+            return np.array(slow_encoder(name).encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(fast.encode_ordinary(text), np.uint32)
+
+    return encode
 
 
 def sentence_ends(data: bytes) -> np.ndarray:
     """Offsets behind sentences: after full stops, marks and what closes quotes behind them if a blank follows, after
     ideographic ones, and after line ends."""
     raw = np.frombuffer(data, np.uint8)
-    at = np.arange(len(raw))
-    base = np.maximum.accumulate(np.where(CLOSERS[raw], -1, at)) if len(raw) else at  # the last byte that closes nothing
-    ends = (base >= 0) & STOPS[raw[base]]
-    ends[:-1] &= BLANKS[raw[1:]]
-    ends |= raw == 10
-    if len(raw) > 2:
-        wide = ((raw[:-2] == 0xE3) & (raw[1:-1] == 0x80) & (raw[2:] == 0x82)) | ((raw[:-2] == 0xEF) & (raw[1:-1] == 0xBC) & ((raw[2:] == 0x81) | (raw[2:] == 0x9F)))
-        ends[2:] |= wide
-    return np.flatnonzero(ends) + 1
+    last = MAY_END[raw]
+    last[:-1] &= BLANKS[raw[1:]]
+    at = np.flatnonzero(last)
+    closed = CLOSERS[raw[at]]
+    if closed.any():  # what closes counts if a stop stands before all of it
+        others = np.flatnonzero(~CLOSERS[raw])
+        before = np.searchsorted(others, at[closed]) - 1
+        good = np.ones(len(at), bool)
+        good[closed] = (before >= 0) & STOPS[raw[others[before]]] if len(others) else False
+        at = at[good]
+    parts = [at, np.flatnonzero(raw == 10)]
+    if any(mark in data for mark in WIDE_STOPS) and len(raw) > 2:
+        for a, b, c in WIDE_STOPS:
+            parts.append(np.flatnonzero((raw[:-2] == a) & (raw[1:-1] == b) & (raw[2:] == c)) + 2)
+    return np.unique(np.concatenate(parts)) + 1
 
 
 def places_to_cut(ids: list[np.ndarray], data: bytes, long: int = LONG, sentence: int = SENTENCE, inside: int = INSIDE) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +214,7 @@ def order_preserving_packing(docs: DataFrame, order: list[str] | None = None, ca
         docs = docs.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, windows, held, begin, upto = encoder(name), Windows(capacity), deque(), 0, 0
+        encode, windows, held, begin, upto = plain_encoder(name), Windows(capacity), deque(), 0, 0
         sequence = TaskContext.get().partitionId() << 40
 
         def rows(ends: list[int]) -> Iterator[pa.RecordBatch]:

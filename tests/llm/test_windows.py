@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from formweave.llm.windows import Windows, order_preserving_packing, places_to_cut, sentence_ends
+from formweave.llm.windows import Windows, order_preserving_packing, places_to_cut, plain_encoder, sentence_ends
 
 tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 tokenizer.encode_special_tokens = True
@@ -57,6 +57,31 @@ def test_sentence_ends():
     assert len(sentence_ends(b"")) == 0 and len(sentence_ends(b'"')) == 0
 
 
+def slow_ends(data):
+    """Byte by byte."""
+    out = set()
+    for i, c in enumerate(data):
+        j = i
+        while j >= 0 and data[j] in b"\"')]":
+            j -= 1
+        stop = j >= 0 and data[j] in b".!?" and (i + 1 == len(data) or data[i + 1] in b" \t\n\x0b\x0c\r")
+        if stop or c == 10 or any(data[: i + 1].endswith(m.encode()) for m in "。！？"):
+            out.add(i + 1)
+    return sorted(out)
+
+
+def test_sentence_ends_byte_by_byte():
+    rng = random.Random(3)
+    for _ in range(300):
+        data = "".join(rng.choice(["a", ".", "!", '"', ")", "]", " ", "\n", "。", "！", "é"]) for _ in range(rng.randint(0, 40))).encode()
+        assert sentence_ends(data).tolist() == slow_ends(data)
+
+
+def test_ids_equal_those_of_the_tokenizers_file():
+    for t in ("", "Hello  World\n\n x", "Überfluß été ñ 漢字 🙂", "a" * 5000, "<|endoftext|> 12.5$ don't", " " * 7000, "x" + "\u3000" * 2500 + "y", " x" * 3000):
+        assert plain_encoder()(t).tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def test_places_are_ends_of_documents_sentences_words_or_ids():
     texts = ["One two. Three four.", "", "", "x " * 400, "y" * 900, "short"]
     ids = [np.array(ids_of(t)[:-1], np.uint32) for t in texts]
