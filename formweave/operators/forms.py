@@ -91,12 +91,12 @@ def validate(parts: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame
 
     Gives forms (form_id, folder, image, parts, record_no, matched, checked, matched_fields, mismatched,
     overall_score, verdict, image_mismatch, sources) and field rows. Parts of one form are joined and matched with the
-    record whose number stands in their header; it is filed under the image of its last part. Forms without a record
-    have matched false and no verdict. sources has image and box of each part, and the fields read wrongly on it with
+    record whose number stands in their header, not with one whose number is a part of that; it is filed under the image
+    of its last part. Forms without a record have matched false and no verdict. sources has image and box of each part, and the fields read wrongly on it with
     the box around their words. Field rows are written once to the shared folder, as both results come from them.
     """
     forms = merged_forms(parts)
-    named = match_by_number(forms.select(F.col("form_id").alias("id"), "text"), records).select(F.col("id").alias("form_id"), "record_no")
+    named = match_by_number(forms.select(F.col("form_id").alias("id"), "text"), records, whole=True).select(F.col("id").alias("form_id"), "record_no")
     fields = [c for c in records.columns if c in KEYS and c != "record_no"]
     first = records.groupBy("record_no").agg(*(F.min_by(c, "pos").alias(c) for c in fields))
     known = forms.join(named, "form_id").join(first, "record_no", "left").withColumn("matched", F.col("record_no").isNotNull())

@@ -26,10 +26,11 @@ def times(inside, number):
     return ((F.length(inside) - F.length(F.replace(inside, number, F.lit("")))) / F.length(number)).cast("int")
 
 
-def match_by_number(texts: DataFrame, records: DataFrame, pos: str = "pos") -> DataFrame:
+def match_by_number(texts: DataFrame, records: DataFrame, pos: str = "pos", whole: bool = False) -> DataFrame:
     """texts (id, text) with record_no and n: the record whose digits stand most often in the header, twice at least.
 
-    Of equals the first in store order counts. Instead of comparing all pairs, the header's digit runs of the
+    Of equals the first in store order counts; with `whole` the longest number, as 60016 also stands wherever 160016 does,
+    and only then the first. Instead of comparing all pairs, the header's digit runs of the
     lengths that records have are joined with the numbers by hash; the runs that meet are then counted exactly.
     """
     numbers = records.select("record_no", F.col(pos).alias("p"), digits(F.coalesce("record_no", F.lit(""))).alias("d")).where("d <> ''")
@@ -40,7 +41,7 @@ def match_by_number(texts: DataFrame, records: DataFrame, pos: str = "pos") -> D
     runs = runs.select("id", "h", F.explode("ns").alias("n")).where("length(h) >= 2 * n")
     runs = runs.select("id", "h", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("h") - F.col("n") + 1), lambda i: F.substring(F.col("h"), i, F.col("n"))))).alias("d"))
     met = runs.join(numbers, "d").withColumn("n", times(F.col("h"), F.col("d"))).where(F.col("n") >= LEAST_TIMES)
-    best = met.groupBy("id").agg(F.max_by(F.struct("record_no", "n"), F.struct("n", -F.col("p"))).alias("b"))
+    best = met.groupBy("id").agg(F.max_by(F.struct("record_no", "n"), F.struct("n", F.length("d") if whole else F.lit(0), -F.col("p"))).alias("b"))
     return texts.join(best.select("id", "b.record_no", "b.n"), "id", "left")
 
 

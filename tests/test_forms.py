@@ -39,6 +39,14 @@ def test_validate_joins_parts_and_judges_all_fields(spark):
     assert forms.validate(got.limit(0), known)[0].count() == 0
 
 
+def test_validate_takes_the_whole_number(spark):
+    """60016 stands as often as 160016 does where the latter is printed, and comes earlier in the store."""
+    known = spark.createDataFrame([(1, "L_I@60016", "Bob Ray"), (2, "L_I@160016", "Ann Lee")], "pos int, record_no string, ph_name string")
+    got = parts(spark, [(1, 1, 0.2, "a", "L_I@160016\nL_I@160016\nAnn Lee TR12AN34SA56CT"), (1, 2, 0.2, "b", "L_I@60016\nL_I@60016\nBob Ray TR12AN34SA56CT")])
+    found, _ = forms.validate(got, known)
+    assert {(r.form_id, r.record_no) for r in found.collect()} == {("1:1", "L_I@160016"), ("1:2", "L_I@60016")}
+
+
 def test_cells_are_stitched_and_fall_back_to_words(spark):
     df = spark.createDataFrame([(1, 1, ["L_I@60001", "Ann Lee"]), (1, 2, ["Oak St", "C-123456"]), (1, 3, ["lost  end"]), (1, 4, [""])], "folder int, pos int, cells array<string>")
     got = sorted((r.pos, r.cells, r.state) for r in forms.stitch_cells(df).collect())
