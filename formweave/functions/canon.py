@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import digits, indel_ratio
+from .similarity import ratio
+from .text import digits
 
 # Fields with few possible values, and what these are.
 CHOICES = {
@@ -25,10 +27,24 @@ LEAST_ALIKE = 78.0
 
 
 def nearest(options: list[str], v: Column) -> Column:
-    """The most similar option (the first of equals) if it is similar enough, else v."""
-    rated = F.array(*(F.struct(indel_ratio(F.upper(v), F.lit(o.upper())).alias("r"), F.lit(-i).alias("i"), F.lit(o).alias("o")) for i, o in enumerate(options)))
-    best = F.array_max(rated)
-    return F.when(best["r"] >= LEAST_ALIKE, best["o"]).otherwise(v)
+    """The most similar option (the first of equals) if it is similar enough, else v.
+
+    The different values of an Arrow batch are compared once each, and only with options of a length that can do.
+    """
+    folded = [(o.upper(), o) for o in options]
+
+    def best_of(x: str | None) -> str | None:
+        rated = [(ratio(x, o), -i) for i, (o, _) in enumerate(folded) if 200.0 * min(len(x), len(o)) / (len(x) + len(o)) >= LEAST_ALIKE] if x else []
+        r, i = max(rated, default=(0.0, 0))
+        return folded[-i][1] if r >= LEAST_ALIKE else None
+
+    @F.pandas_udf("string")
+    def best(values: pd.Series) -> pd.Series:
+        codes, different = pd.factorize(values, use_na_sentinel=True)
+        of = pd.Series([best_of(x) for x in different] + [None], dtype=object)
+        return of.iloc[codes].reset_index(drop=True)  # code -1 is null and the last
+
+    return F.coalesce(best(F.upper(v)), v)
 
 
 def canonical(key: str, value: Column) -> Column:

@@ -87,3 +87,11 @@ def test_matching_ties_and_near_values(spark):
     words = spark.createDataFrame([("k", "visa"), ("k", "VISE"), ("k", "DISCOVERABLE1"), ("other", "VISA")], "key string, word string")
     for short in (True, False):
         assert {(r.key, r.word): r.score for r in matching.nearest_values(words, known, short).collect()} == {("k", "visa"): 100.0, ("k", "VISE"): 75.0, ("k", "DISCOVERABLE1"): 0.0, ("other", "VISA"): 0.0}
+
+
+def test_choices_are_compared_once_for_each_value(spark):
+    """No matrix of letters in expressions, which took minutes over a few thousand values; odd values as before."""
+    df = spark.createDataFrame([(v,) for v in (None, "", "o?", "ßx", "Vosa", "PLAN-g", "Vosa")], "v string").coalesce(1)
+    out = df.select(canon.canonical("card_type", F.col("v")).alias("card"), canon.canonical("plan_name", F.col("v")).alias("plan"))
+    assert "aggregate(" not in out._jdf.queryExecution().toString()
+    assert [tuple(r) for r in out.collect()] == [(None, None), ("", ""), ("o?", "o?"), ("ßx", "ßx"), ("Vosa", "Vosa"), ("PLAN-g", "PLAN G"), ("Vosa", "Vosa")]
