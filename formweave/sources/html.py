@@ -43,6 +43,12 @@ def key_values(pages: DataFrame) -> DataFrame:
     text = F.regexp_replace("html", r"(?i)(</tr>\s*)(<td)", "$1<tr>$2")
     rows = F.filter(F.split(text, r"(?i)<tr\b[^>]*>"), lambda r: F.contains(F.lower(r), F.lit("</t")))
     cells = lambda r: F.regexp_extract_all(r, F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), F.lit(1))
-    pairs = F.transform(F.filter(F.transform(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), cells), lambda c: F.size(c) >= 3), lambda c: F.struct(F.replace(F.lower(plain(c[1])), F.lit(" "), F.lit("_")).alias("k"), plain(c[2]).alias("v")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
-    return pages.select("page_id", F.map_from_entries(last).alias("record"))
+    # What is used several times is exploded from an array of one: expressions are not merged across that, so that a page is
+    # taken apart once and not again for each mention.
+    once = lambda df, c, name: df.select("page_id", F.explode(F.array(c)).alias(name))
+    split = once(pages, rows, "_rows")
+    body = F.slice("_rows", 2, F.greatest(F.size("_rows") - 1, F.lit(0)))
+    pairs = F.transform(F.filter(F.transform(body, cells), lambda c: F.size(c) >= 3), lambda c: F.struct(F.replace(F.lower(plain(c[1])), F.lit(" "), F.lit("_")).alias("k"), plain(c[2]).alias("v")))
+    found = once(split, pairs, "_pairs")
+    last = F.filter("_pairs", lambda p, i: ~F.exists(F.slice("_pairs", i + 2, F.size("_pairs")), lambda q: q["k"] == p["k"]))
+    return found.select("page_id", F.map_from_entries(last).alias("record"))

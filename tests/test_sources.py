@@ -95,3 +95,10 @@ def test_empty_stores(spark, n):
     store = spark.createDataFrame([(0, "a", "x")][:n], "pos long, record_no string, value string")
     new = spark.createDataFrame([(0, "b", "y")], "pos long, record_no string, value string")
     assert records.upsert(store, new).count() == n + 1
+
+
+def test_pages_are_taken_apart_once(spark):
+    page = "<tr><th>x</th></tr><tr><td>1</td><td>A b</td><td>1</td></tr><tr><td>2</td><td>A B</td><td>2</td></tr>"
+    out = html.key_values(spark.createDataFrame([(1, page), (2, None), (3, "")], "page_id int, html string")).select("page_id", F.explode("record").alias("key", "value"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert [tuple(r) for r in out.collect()] == [(1, "a_b", "2")]
