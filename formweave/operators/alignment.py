@@ -120,9 +120,12 @@ def segment(words: list[str], listed: dict[str, frozenset[str]] | None = None, c
     With cells (the words of each, in order) a field takes whole cells: one of any size, more only within its limit.
     """
     units = [[w] for w in words] if cells is None else cells
-    m, tables = len(units), []
+    m, tables, made = len(units), [], {}
     for key, _, _, _, least, most, usual, kind in LOCATED:
         known = (listed or {}).get(key, frozenset())
+        if (alike := (least, most, usual, kind, known)) in made:  # fields of one kind and size score all runs alike
+            tables.append(made[alike])
+            continue
         longest = most + 1 if cells is None else m
         t = np.full((min(longest, m) + 1, m + 1), -np.inf)
         for e in range(m + 1):
@@ -134,7 +137,7 @@ def segment(words: list[str], listed: dict[str, frozenset[str]] | None = None, c
                         break
                     run = unit + run
                 t[k, e] = field_score(kind, least, most, usual, run, known)
-        tables.append(t)
+        tables.append(made.setdefault(alike, t))
     runs = best_chain(tables, skip=False)
     fits = runs[0][0] == 0 and all(a[1] == b[0] for a, b in zip(runs, runs[1:])) and runs[-1][1] == m
     return runs, fits
@@ -155,6 +158,8 @@ def segment_forms(forms: DataFrame, text: str, listed: dict[str, set[str]] | Non
         rows = forms.withColumn("_words", F.filter(units, lambda c: F.size(c) > 0))
     else:
         rows = forms.withColumn("_words", tokens(F.coalesce(F.col(text), F.lit(""))))
+    # A form takes far longer than its bytes tell, so forms are dealt to all tasks, however few files they came from.
+    rows = rows.repartition(int(forms.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     most_words, kept = sum(f[5] + 1 for f in LOCATED), forms.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

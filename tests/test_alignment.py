@@ -120,3 +120,9 @@ def test_catalog(spark):
     rows = field_catalog(spark).orderBy("pos").collect()
     assert [r.key for r in rows] == KEYS and sum(r.on_form for r in rows) == 55 and sum(r.most + 1 for r in rows if r.most) == 166
     assert len(LOCATED) == 55 and next(r.alias for r in rows if r.key == "ph_zip") == "policy_holder_zip"
+
+
+def test_forms_of_one_file_are_dealt_to_all_tasks(spark):
+    one = spark.createDataFrame([(1, "L_I@60001")], "form_id int, text string").coalesce(1)
+    plan = segment_forms(one, "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert f"Repartition {spark.conf.get('spark.sql.shuffle.partitions')}, true" in plan
