@@ -26,8 +26,9 @@ UP, DOWN = 4, 5
 WORDS = 3
 #: Columns of these.
 PRINT = [f"f{i}" for i in range(WORDS)]
-#: Groups of up to so many texts with a block in common are compared whole at once; in larger ones each with the first
-#: and with the next NEXT at first, and with what those links have not joined afterwards.
+#: Groups of up to so many texts with a block in common are compared whole at once, and each text is paired with the
+#: nearest before it; in larger ones each is compared with the first and with the next NEXT at first. What those links
+#: have not joined is paired afterwards.
 SMALL, NEXT = 64, 2
 #: Texts that share a block with a text by chance.
 CHANCE = 8
@@ -131,10 +132,12 @@ def prints_of(table) -> np.ndarray:
 
 
 def meetings(rows: DataFrame, blocks: Blocks, small: int = SMALL) -> DataFrame:
-    """a, b, differ: pairs of nodes that share a block and differ in few bits, each pair for its first block alone; and
-    rows (key, a, f0, f1, ...; b null) of the members of groups too large to be compared whole.
+    """a, b, differ: pairs of nodes that share a block and differ in few bits, each for its first block alone and at most
+    two for each row: with the nearest before it and with the group's first. And rows (key, a, f0, f1, ...; b null) of
+    the nodes that may have more such partners in their group: both ends of pairs left out, and all members of groups too
+    large to be compared whole.
 
-    Rows come sorted by block. A task holds the first row of the present group and its last `small` rows, however
+    So there are no more rows than members of groups, however many pairs these make. Rows come sorted by block. A task holds the first row of the present group and its last `small` rows, however
     large the group is.
     """
     fields = ["key", "a", "b", "differ", *PRINT]
@@ -179,13 +182,19 @@ def meetings(rows: DataFrame, blocks: Blocks, small: int = SMALL) -> DataFrame:
             bits = np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
             near = np.flatnonzero((bits <= blocks.distance) & (a != b))
             near = near[blocks.first_shared(differ[near]) == key[at[near]] >> 44]
+            # of the partners before it each row keeps the nearest: one pair for a row, not all pairs of its group
+            own = near[near < len(left)]
+            own = own[np.lexsort((own, bits[own], right[own]))]
+            later = np.concatenate(([False], right[own][1:] == right[own][:-1])) if len(own) else np.zeros(0, bool)
+            near = np.concatenate((own[~later], near[near >= len(left)]))
+            unsaid = np.unique(np.concatenate((left[own[later]], right[own[later]])))
             none = pa.nulls(len(near), pa.int64())
             yield pa.RecordBatch.from_arrays([none, pa.array(np.minimum(a[near], b[near])), pa.array(np.maximum(a[near], b[near])), pa.array(bits[near])] + [none] * WORDS, names=fields)
             # members of large groups: once a group proves large, also those already seen
             large = fresh[place[fresh] >= small]
             turn = large[place[large] == small]
             back = np.concatenate([np.arange(t - small, t) for t in turn] or [large[:0]])
-            out = np.concatenate((back[back >= 0], large))
+            out = np.concatenate((back[back >= 0], large, unsaid[place[unsaid] < small]))
             none = pa.nulls(len(out), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(node[out]), none, none, *(pa.array(prints[out, w].view(np.int64)) for w in range(WORDS))], names=fields)
             if len(key):
@@ -199,10 +208,10 @@ def meetings(rows: DataFrame, blocks: Blocks, small: int = SMALL) -> DataFrame:
 
 
 def apart(blocks: Blocks):
-    """Pairs of each group in different components that differ in few bits."""
+    """Pairs of each group in different components that differ in few bits, each for its first block alone."""
 
     def compare(table: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-        node, part, prints = np.asarray(table["a"]), np.asarray(table["component"]), prints_of(table)
+        key, node, part, prints = np.asarray(table["key"]), np.asarray(table["a"]), np.asarray(table["component"]), prints_of(table)
         cross, left = np.asarray(table["_i"]) != np.asarray(table["_j"]), np.asarray(table["_left"])
         for s, e in zip(bounds[:-1], bounds[1:]):
             bits = sum(np.bitwise_count(prints[s:e, None, w] ^ prints[None, s:e, w]).astype(np.int16) for w in range(WORDS))
@@ -210,6 +219,8 @@ def apart(blocks: Blocks):
             if cross[s]:
                 near &= left[s:e, None] != left[None, s:e]
             i, j = np.nonzero(near)
+            first = blocks.first_shared(prints[s:e][i] ^ prints[s:e][j]) == key[s] >> 44
+            i, j = i[first], j[first]
             yield pa.RecordBatch.from_arrays([pa.array(node[s:e][i]), pa.array(node[s:e][j]), pa.array(bits[i, j].astype(np.int64))], names=["a", "b", "differ"])
 
     return compare
@@ -254,7 +265,8 @@ def similar_groups(texts: DataFrame, size: int = 5, seed: int = 42, recall: floa
     A link is a Jaccard similarity of at least UP / DOWN between sets of lower-cased word shingles; no other pair
     links, and a pair just at this similarity is found with at least the chance `recall`, closer ones almost surely.
     Texts whose fingerprints are equal in all bits are one node, and so are texts without words. First each node is verified with
-    the one of its partners that differs in fewest bits, then all pairs that these links have not joined.
+    the one of its partners that differs in fewest bits, then its other pairs that these links have not joined, and
+    at last all pairs that are still apart.
     """
     rows = keep(wide_fingerprints(texts, size, seed), "prints")
     nodes = rows.groupBy("node").agg(F.min("_digest").alias("_digest"), *(F.first(c).alias(c) for c in PRINT))
@@ -268,12 +280,16 @@ def similar_groups(texts: DataFrame, size: int = 5, seed: int = 42, recall: floa
     nearest = nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = verified(texts, named, keep(nearest, "nearest"), size, seed)
     found = keep(connected_components(links), "components")
-    large = met.where("b is null").select("key", "a", *PRINT).distinct()
-    placed = large.join(found.toDF("a", "_c"), "a", "left").withColumn("component", F.coalesce("_c", "a")).drop("_c")
+    second = keep(in_components(pairs, found).select("a", "b").distinct(), "second")
+    if not second.isEmpty():
+        links = links.union(verified(texts, named, second, size, seed))
+        found = keep(connected_components(links), "components")
+    members = met.where("b is null").select("key", "a", *PRINT).distinct()
+    placed = members.join(found.toDF("a", "_c"), "a", "left").withColumn("component", F.coalesce("_c", "a")).drop("_c")
     placed = keep(placed, "placed")
     several = placed.groupBy("key").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x < _y").select("key")
-    rest = in_groups(placed.join(several, "key"), ["key"], apart(blocks), "a long, b long, differ long")
-    rest = keep(in_components(pairs, found).union(rest).select("a", "b").distinct(), "rest")
+    rest = in_groups(placed.join(several, "key"), ["key"], apart(blocks), "a long, b long, differ long").select("a", "b").distinct()
+    rest = keep(rest.join(second, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         found = connected_components(links.union(verified(texts, named, rest, size, seed)))
     discard(met, placed)

@@ -95,3 +95,32 @@ def test_fingerprints_differ_as_the_similarity_says(spark):
     prints = {r.doc_id: [r[c] for c in alike.PRINT] for r in alike.wide_fingerprints(df, 5, 42).collect()}
     bits = [sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(prints[2 * i], prints[2 * i + 1])) for i in range(len(texts))]
     assert abs(np.mean(bits) / (64 * alike.WORDS) - alike.Blocks(100).share) < 0.02
+
+
+def test_a_group_of_near_copies_makes_few_pairs_for_each(spark):
+    """Pairs and rows kept for later grow with the members of groups, and together name every near pair."""
+    rng = np.random.default_rng(4)
+    blocks = alike.Blocks(4000)
+    base = rng.integers(0, 1 << 63, alike.WORDS, dtype=np.uint64)
+
+    def copies(n):
+        flips = np.packbits(rng.random((n, 64 * alike.WORDS)) < 0.01, axis=1, bitorder="little").view(np.uint64)
+        return base ^ flips
+
+    prints = np.concatenate((copies(60), rng.integers(0, 1 << 63, (300, alike.WORDS), dtype=np.uint64)))
+    nodes = spark.createDataFrame([tuple(int(x) for x in p.view(np.int64)) for p in prints], ", ".join(f"{c} long" for c in alike.PRINT))
+    got = alike.meetings(alike.keyed(nodes, blocks), blocks, 64).collect()
+    pairs = [(r.a, r.b) for r in got if r.b is not None]
+    assert len(pairs) < 10 * 60
+    names, named, members = alike.node_of(prints).tolist(), set(pairs), {}
+    for r in got:
+        if r.b is None:
+            members.setdefault(r.key, set()).add(r.a)
+    keys = blocks.keys(prints)
+    for i in range(60):
+        differ = prints[i] ^ prints[i + 1 : 60]
+        first = blocks.first_shared(differ)
+        for j, t in zip(range(i + 1, 60), first.tolist()):
+            if t < len(blocks.places):
+                pair = tuple(sorted((names[i], names[j])))
+                assert pair in named or {*pair} <= members.get(int(keys[i, t]), set())
