@@ -29,7 +29,26 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: computed once, with a short lineage that survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written to the shared folder and read again: computed once, with a short lineage that survives lost executors.
+
+    The shuffle files of its making go at once, not when the driver happens to collect its garbage.
+    """
+    spark, option = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(option, None)
+    spark.conf.set(option, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(option) if before is None else spark.conf.set(option, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of kept() that nothing will read any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._kept_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
