@@ -30,7 +30,7 @@ BYTES_PER_BUCKET, FEWEST_BUCKETS, MOST_BUCKETS = 128, 1 << 16, 1 << 27
 #: Buckets in one row of counts.
 SPAN = 1 << 12
 #: Bytes of text that are counted at once.
-CHUNK = 1 << 23
+CHUNK = 1 << 22
 ENDS = np.isin(np.arange(256), np.frombuffer(b".,;:!?\x0a\x0b\x0c\x0d", np.uint8))
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BLANK_OR_END = ENDS | np.isin(np.arange(256), np.frombuffer(b" \t", np.uint8))
