@@ -8,11 +8,14 @@ from pyspark.sql.window import Window as W
 
 from formweave.functions.similarity import with_ratio
 from formweave.functions.text import digits, indel_ratio
+from formweave.operators.ordered import in_blocks, running
 
 #: A number has to stand at least so often in the header of a form.
 LEAST_TIMES = 2
 #: Values whose lengths differ by more are not compared.
 BAND = 3
+#: Words of a form in which tokens and parts meet.
+STRETCH = 64
 
 
 def header_digits(text):
@@ -88,9 +91,15 @@ def cells(words: DataFrame) -> DataFrame:
 
 
 def owner_of_tokens(tokens_: DataFrame, parts: DataFrame) -> DataFrame:
-    """tokens_ (form, token) with the part (form, part, words) that each came from, by running word offsets."""
-    w = W.partitionBy("form").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    spans = parts.withColumn("begin", F.coalesce(F.sum("words").over(w), F.lit(0))).withColumn("end", F.col("begin") + F.col("words"))
-    t, s = tokens_.alias("t"), spans.alias("s")
-    on = (F.col("t.form") == F.col("s.form")) & (F.col("t.token") >= F.col("s.begin")) & (F.col("t.token") < F.col("s.end"))
+    """tokens_ (form, token) with the part (form, part, words) that each came from, by running word offsets.
+
+    Offsets come from blocks, and a token meets the parts that lie in its stretch of STRETCH words, so that a form of any
+    length is many join keys.
+    """
+    size = F.coalesce("words", F.lit(0))
+    upto = running(in_blocks(parts.select("form", "part", size.alias("words")), ["form"], ["part"], "parts"), ["part"], F.col("words"), "end")
+    spans = upto.where("words > 0").withColumn("begin", F.col("end") - F.col("words"))
+    spans = spans.select("form", "part", "begin", "end", F.explode(F.sequence(F.floor(F.col("begin") / STRETCH), F.floor((F.col("end") - 1) / STRETCH))).alias("at"))
+    t, s = tokens_.withColumn("at", F.floor(F.col("token") / STRETCH)).alias("t"), spans.alias("s")
+    on = (F.col("t.form") == F.col("s.form")) & (F.col("t.at") == F.col("s.at")) & (F.col("t.token") >= F.col("s.begin")) & (F.col("t.token") < F.col("s.end"))
     return t.join(s, on, "left").select("t.form", "t.token", "s.part")
