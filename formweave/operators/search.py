@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GRAM, BUCKETS, LIMIT = 3, 64, 60
+#: Postings that one task sorts, about.
+SORTED = 1 << 21
 
 
 def searched() -> Column:
@@ -22,13 +24,20 @@ def bucket_of(gram: Column) -> Column:
     return F.pmod(F.xxhash64(F.substring(gram, 1, 1)), F.lit(BUCKETS)).cast("int")
 
 
+def ranges(text: DataFrame) -> list[int]:
+    """[how many ranges postings of the texts t need], where that is more than the session's number of partitions."""
+    needed = -(-(text.agg(F.sum(F.length("t"))).first()[0] or 0) // SORTED)
+    return [needed] if needed > int(text.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
+
+
 def write_index(records: DataFrame, path: str, pos: str = "pos") -> None:
     """Writes the store, in order of `pos`, and its postings (gram, pos, at) below `path`. Texts end with shorter grams,
     so that one or two letters are found as well. Records of blank text have no postings."""
     records.repartitionByRange(pos).sortWithinPartitions(pos).write.parquet(f"{path}/store")
     text = records.select(F.col(pos).cast("long").alias("pos"), searched().alias("t")).where(F.length("t") > 0)
     each = text.select("pos", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("t")), lambda i: F.substring(F.col("t"), i, F.lit(GRAM)))).alias("at", "gram"))
-    dealt = each.withColumn("bucket", bucket_of(F.col("gram"))).repartitionByRange("bucket", "gram", "pos", "at").sortWithinPartitions("bucket", "gram", "pos", "at")
+    order = ["bucket", "gram", "pos", "at"]
+    dealt = each.withColumn("bucket", bucket_of(F.col("gram"))).repartitionByRange(*ranges(text), *order).sortWithinPartitions(*order)
     dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
 
 

@@ -35,3 +35,13 @@ def test_empty_stores(spark, tmp_path):
     search.write_index(none, str(tmp_path))
     for typed in ("", "a", "abcd"):
         assert search.search_index(spark, str(tmp_path), typed).count() == 0
+
+
+def test_postings_get_more_ranges_when_there_are_more(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search, "SORTED", 100)
+    rows = [(i, f"L_I@{60000 + i}", f"Name {i}", f"F{i}") for i in range(100)]
+    store = spark.createDataFrame(rows, "pos long, record_no string, ph_name string, form_no string")
+    search.write_index(store, str(tmp_path / "index"))
+    files = {p.name.split("-")[1] for p in (tmp_path / "index" / "postings").glob("bucket=*/part-*.parquet")}
+    assert len(files) > 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [r.pos for r in search.search_index(spark, str(tmp_path / "index"), "name 7").collect()] == [7, *range(70, 80)]
