@@ -785,7 +785,8 @@ SELECT t.form, CAST(t.token AS INT) AS token, o.part FROM t LEFT JOIN o ON t.for
 def span_offsets(spark, sf_dir):
     c = derived(spark, sf_dir, "SELECT conv_id AS form, turn AS part, text FROM conversations")
     parts = c.select("form", "part", F.size(text.tokens(F.col("text"))).alias("words"))
-    words = parts.groupBy("form").agg(F.sum("words").cast("int").alias("n")).where("n > 0").select("form", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("token"))
+    words = parts.groupBy("form").agg(F.sum("words").cast("int").alias("n")).where("n > 0")
+    words = words.select("form", "n", F.explode(F.expr("sequence(0, n - 1, 4096)")).alias("b")).select("form", F.explode(F.expr("sequence(b, least(b + 4095, n - 1))")).alias("token"))
     return matching.owner_of_tokens(words, parts)
 
 
@@ -933,7 +934,9 @@ def stitched_stream(spark: SparkSession, base: str, batches: list[DataFrame], ca
 
     for rows_ in batches:
         rows_.repartition("folder").write.mode("append").parquet(f"{base}/in")
-    stream = spark.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
+    # each round visits all state partitions, so large inputs come in larger rounds instead of more of them
+    files = len(spark.read.schema(batches[0].schema).parquet(f"{base}/in").inputFiles())
+    stream = spark.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", max(4, -(-files // 12))).parquet(f"{base}/in")
     run = stitch_stream(stream, carry).writeStream.format("parquet").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/out")
     run.awaitTermination()
     return spark.read.schema("folder string, pos long, text string, state string").parquet(f"{base}/out")
