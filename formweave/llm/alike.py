@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, keep, mix, pieces, text_bytes
-from .components import connected_components, in_groups
+from .common import discard, keep, mix, pieces, ragged, text_bytes
+from .components import connected_components, in_groups, in_parts
 from .simhash import majority_bits, shingle_hashes
 
 #: Similarity from which texts are near-duplicates: UP / DOWN.
@@ -26,6 +26,8 @@ UP, DOWN = 4, 5
 WORDS = 3
 #: Columns of these.
 PRINT = [f"f{i}" for i in range(WORDS)]
+#: Columns of a member of a group, in the part of it where in_groups() compares it.
+DEALT = ["key", "a", "component", *PRINT, "_i", "_j", "_left"]
 #: Groups of up to so many texts with a block in common are compared whole at once, and each text is paired with the
 #: nearest before it; in larger ones each is compared with the first and with the next NEXT at first. What those links
 #: have not joined is paired afterwards.
@@ -207,28 +209,76 @@ def meetings(rows: DataFrame, blocks: Blocks, small: int = SMALL) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", *PRINT).mapInArrow(run, ", ".join(f"{c} long" for c in fields))
 
 
+def unjoined(blocks: Blocks, table: pa.Table, bounds: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For each group its first row, its end, and from the first on the places of all pairs in different components that
+    differ in few bits, each for its first block alone."""
+    key, node, part, prints = np.asarray(table["key"]), np.asarray(table["a"]), np.asarray(table["component"]), prints_of(table)
+    cross, left = np.asarray(table["_i"]) != np.asarray(table["_j"]), np.asarray(table["_left"])
+    for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        bits = sum(np.bitwise_count(prints[s:e, None, w] ^ prints[None, s:e, w]).astype(np.int16) for w in range(WORDS))
+        near = (bits <= blocks.distance) & (node[s:e, None] < node[None, s:e]) & (part[s:e, None] != part[None, s:e])
+        if cross[s]:
+            near &= left[s:e, None] != left[None, s:e]
+        i, j = np.nonzero(near)
+        first = blocks.first_shared(prints[s:e][i] ^ prints[s:e][j]) == key[s] >> 44
+        yield s, e, i[first], j[first]
+
+
 def apart(blocks: Blocks):
-    """Pairs of each group in different components that differ in few bits, each for its first block alone."""
+    """The members of each group that are in a pair of unjoined(), as they were dealt: no more rows than members, however
+    many the pairs."""
 
     def compare(table: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-        key, node, part, prints = np.asarray(table["key"]), np.asarray(table["a"]), np.asarray(table["component"]), prints_of(table)
-        cross, left = np.asarray(table["_i"]) != np.asarray(table["_j"]), np.asarray(table["_left"])
-        for s, e in zip(bounds[:-1], bounds[1:]):
-            bits = sum(np.bitwise_count(prints[s:e, None, w] ^ prints[None, s:e, w]).astype(np.int16) for w in range(WORDS))
-            near = (bits <= blocks.distance) & (node[s:e, None] < node[None, s:e]) & (part[s:e, None] != part[None, s:e])
-            if cross[s]:
-                near &= left[s:e, None] != left[None, s:e]
-            i, j = np.nonzero(near)
-            first = blocks.first_shared(prints[s:e][i] ^ prints[s:e][j]) == key[s] >> 44
-            i, j = i[first], j[first]
-            yield pa.RecordBatch.from_arrays([pa.array(node[s:e][i]), pa.array(node[s:e][j]), pa.array(bits[i, j].astype(np.int64))], names=["a", "b", "differ"])
+        for s, _, i, j in unjoined(blocks, table, bounds):
+            some = pa.array(s + np.unique(np.concatenate((i, j))))
+            yield from table.select(DEALT).take(some).combine_chunks().to_batches()
 
     return compare
 
 
-def verified(texts: DataFrame, named: DataFrame, pairs: DataFrame, size: int, seed: int) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose sets have at least the similarity; named: node and the _digest of one of its texts."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct().join(named, F.col("n") == F.col("node")).select("_digest")
+def joined(blocks: Blocks):
+    """Links (a, b) between members of each group in different components, from their sets: all pairs of unjoined() that
+    earlier ones of the group have not joined are compared, and only what joins two components is a row."""
+
+    def compare(table: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        table = table.combine_chunks()
+        node, part, sets = np.asarray(table["a"]), np.asarray(table["component"]), table["set"].chunk(0)
+        at, values = np.asarray(sets.offsets).astype(np.int64), np.asarray(sets.values)
+        for s, e, i, j in unjoined(blocks, table, bounds):
+            found = joining(part[s:e], values[at[s] : at[e]], at[s : e + 1] - at[s], i, j)
+            yield pa.RecordBatch.from_arrays([pa.array(node[s + found[:, 0]]), pa.array(node[s + found[:, 1]])], names=["a", "b"])
+
+    return compare
+
+
+def joining(part: np.ndarray, values: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray, limit: int = 1 << 20) -> np.ndarray:
+    """Rows (i, j) of the pairs of sets at least so similar that join components not yet joined by rows before.
+    i: ascending; at: where each set begins in values."""
+    label, ids = np.unique(part, return_inverse=True)[1], np.unique(values, return_inverse=True)[1]
+    size, inside = np.diff(at), np.zeros(len(ids) + 1, np.int64)
+    alone, begin = np.unique(i, return_index=True)
+    out = [np.zeros((0, 2), np.int64)]
+    for one, b, e in zip(alone.tolist(), begin.tolist(), [*begin[1:].tolist(), len(i)]):
+        others = j[b:e]
+        # sets whose sizes differ too much cannot be similar
+        others = others[(label[others] != label[one]) & (size[others] > 0) & ((UP + DOWN) * np.minimum(size[others], size[one]) >= UP * (size[others] + size[one]))]
+        inside[ids[at[one] : at[one + 1]]] = 1
+        for some in np.array_split(others, 1 + int(size[others].sum()) // limit):
+            if len(some):
+                n = size[some]
+                both = np.add.reduceat(inside[ids[ragged(at[some], n)]], np.cumsum(n) - n)
+                some = some[(UP + DOWN) * both >= UP * (n + size[one])]
+                heads, first = np.unique(label[some], return_index=True)
+                keep_ = heads != label[one]  # those of a part before may have joined it
+                out.append(np.stack((np.full(keep_.sum(), one), some[first[keep_]]), axis=1))
+                label[np.isin(label, heads)] = label[one]
+        inside[ids[at[one] : at[one + 1]]] = 0
+    return np.concatenate(out)
+
+
+def sets_of(texts: DataFrame, named: DataFrame, wanted: DataFrame, size: int, seed: int) -> DataFrame:
+    """node, set: the shingles of the wanted nodes (n); named: node and the _digest of one of its texts."""
+    wanted = wanted.join(named, F.col("n") == F.col("node")).select("_digest")
     slot = F.pmod(F.col("_digest"), F.lit(FILTER_BITS))
     found = wanted.select((slot / 32).cast("int").alias("at"), F.expr(f"shiftleft(1L, cast(pmod(_digest, {FILTER_BITS}) % 32 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
     bits = np.zeros(FILTER_BITS // 32, np.uint32)
@@ -244,7 +294,12 @@ def verified(texts: DataFrame, named: DataFrame, pairs: DataFrame, size: int, se
 
     # the filter lets a few others through; only named texts have a node
     sets = texts.select("text", "_digest").mapInArrow(run, "_digest long, set array<long>").join(named, "_digest").groupBy("node").agg(F.first("set").alias("set"))
-    sets = keep(sets, "sets")
+    return keep(sets, "sets")
+
+
+def verified(texts: DataFrame, named: DataFrame, pairs: DataFrame, size: int, seed: int) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose sets have at least the similarity."""
+    sets = sets_of(texts, named, pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct(), size, seed)
     both = pairs.select("a", "b").join(sets.toDF("a", "one"), "a").join(sets.toDF("b", "two"), "b")
     overlap = F.size(F.array_intersect("one", "two"))
     out = keep(both.where((UP + DOWN) * overlap >= UP * (F.size("one") + F.size("two"))).select("a", "b"), "links")
@@ -266,7 +321,7 @@ def similar_groups(texts: DataFrame, size: int = 5, seed: int = 42, recall: floa
     links, and a pair just at this similarity is found with at least the chance `recall`, closer ones almost surely.
     Texts whose fingerprints are equal in all bits are one node, and so are texts without words. First each node is verified with
     the one of its partners that differs in fewest bits, then its other pairs that these links have not joined, and
-    at last all pairs that are still apart.
+    at last all pairs that are still apart: these by the sets of their groups' members, without a row for each pair.
     """
     rows = keep(wide_fingerprints(texts, size, seed), "prints")
     nodes = rows.groupBy("node").agg(F.min("_digest").alias("_digest"), *(F.first(c).alias(c) for c in PRINT))
@@ -288,10 +343,13 @@ def similar_groups(texts: DataFrame, size: int = 5, seed: int = 42, recall: floa
     placed = members.join(found.toDF("a", "_c"), "a", "left").withColumn("component", F.coalesce("_c", "a")).drop("_c")
     placed = keep(placed, "placed")
     several = placed.groupBy("key").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x < _y").select("key")
-    rest = in_groups(placed.join(several, "key"), ["key"], apart(blocks), "a long, b long, differ long").select("a", "b").distinct()
-    rest = keep(rest.join(second, ["a", "b"], "left_anti"), "rest")
+    kinds = ", ".join(f"{c} {dict(_i='int', _j='int', _left='boolean').get(c, 'long')}" for c in DEALT)
+    rest = keep(in_groups(placed.join(several, "key", "left_semi"), ["key"], apart(blocks), kinds), "rest")
     if not rest.isEmpty():
-        found = connected_components(links.union(verified(texts, named, rest, size, seed)))
+        sets = sets_of(texts, named, rest.select(F.col("a").alias("n")).distinct(), size, seed)
+        more = in_parts(rest.join(sets.toDF("a", "set"), "a"), ["key"], joined(blocks), "a long, b long").distinct()
+        found = connected_components(links.union(keep(more, "more")))
+        discard(sets)
     discard(met, placed)
     group = F.coalesce("component", "node").alias("group")
     return rows.select("doc_id", "_digest", "node").join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("doc_id", "_digest", group)

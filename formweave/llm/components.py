@@ -59,6 +59,11 @@ def in_groups(members: DataFrame, key: list[str], compare: Callable, schema: str
     split = split.withColumn("_part", F.pmod(F.xxhash64(*cols, F.lit(7)), F.col("_parts")).cast("int"))
     split = split.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     tasks = split.select(*cols, F.least("_part", "_other").alias("_i"), F.greatest("_part", "_other").alias("_j"), (F.col("_part") <= F.col("_other")).alias("_left"))
+    return in_parts(tasks, key, compare, schema)
+
+
+def in_parts(tasks: DataFrame, key: list[str], compare: Callable, schema: str) -> DataFrame:
+    """Rows that compare() yields for members as in_groups() deals them, with _i, _j and _left."""
     by = [*key, "_i", "_j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@ from collections import Counter
 from functools import partial
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -124,3 +125,38 @@ def test_a_group_of_near_copies_makes_few_pairs_for_each(spark):
             if t < len(blocks.places):
                 pair = tuple(sorted((names[i], names[j])))
                 assert pair in named or {*pair} <= members.get(int(keys[i, t]), set())
+
+
+def test_members_still_apart_are_few_rows_and_their_sets_join_them():
+    """Many near prints of different components: no row for each pair, and the joining pairs give all components."""
+    rng = np.random.default_rng(6)
+    blocks, n = alike.Blocks(4000), 120
+    prints = rng.integers(0, 1 << 63, alike.WORDS, dtype=np.uint64) ^ np.packbits(rng.random((n, 64 * alike.WORDS)) < 0.005, axis=1, bitorder="little").view(np.uint64)
+    key, node = blocks.keys(prints)[:, 0], rng.permutation(n)
+    some = np.flatnonzero(key == key[0])
+    # sets of which each is like the next of its stretch of 12 and too unlike those after
+    sets = [np.arange(100 * (i // 12) * 100 + 10 * (i % 12), 100 * (i // 12) * 100 + 10 * (i % 12) + 100) for i in range(n)]
+    columns = {"key": key[some], "a": node[some], "component": node[some], **{c: prints[some, w].view(np.int64) for w, c in enumerate(alike.PRINT)}}
+    columns |= {"set": [sets[i] for i in some], "_i": np.zeros(len(some), np.int32), "_j": np.zeros(len(some), np.int32), "_left": np.ones(len(some), bool)}
+    table, bounds = pa.table(columns), np.array([0, len(some)])
+    assert len(some) > 60
+    assert sorted(x for b in alike.apart(blocks)(table, bounds) for x in b["a"].to_pylist()) == sorted(node[some].tolist())
+    got = [(a, b) for batch in alike.joined(blocks)(table, bounds) for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist())]
+    of = dict(zip(node[some].tolist(), some.tolist()))
+    like = lambda i, j: similar(set(sets[i].tolist()), set(sets[j].tolist()))
+    assert len(got) < len(some) and all(like(of[a], of[b]) for a, b in got)
+    label, want = {int(i): int(i) for i in some}, {int(i): int(i) for i in some}
+    for names, pairs in ((label, [(of[a], of[b]) for a, b in got]), (want, [(int(i), int(j)) for i in some for j in some if like(i, j)])):
+        for _ in range(n):
+            for a, b in pairs:
+                names[a] = names[b] = min(names[a], names[b])
+    assert label == want and 1 < len(set(label.values())) < len(some)
+
+
+def test_joining_in_parts_of_any_size():
+    at = np.array([0, 5, 10, 15, 15])
+    values = np.array([1, 2, 3, 4, 5, 1, 2, 3, 4, 6, 1, 2, 3, 4, 5])
+    pairs = np.array([0, 0, 0, 1, 1, 2]), np.array([1, 2, 3, 2, 3, 3])
+    for limit in (1, 6, 1 << 20):
+        got = alike.joining(np.array([7, 8, 9, 10]), values, at, *pairs, limit)
+        assert got.tolist() == [[0, 2]]
