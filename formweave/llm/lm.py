@@ -32,10 +32,12 @@ LARGEST = np.float32(80)
 ONES = np.ones(TAIL, np.float32)
 #: Inputs in a window, and how far the next window begins after it.
 WINDOW, STRIDE = 24, 21
-#: Each round trains on this share of all training windows, and on all of them up to LEAST_WINDOWS.
-ROUNDS, SHARE, LEAST_WINDOWS = 4, 1 / 128, 60_000
+#: Rounds share out all training windows; each trains on all of them up to LEAST_WINDOWS.
+ROUNDS, LEAST_WINDOWS = 4, 60_000
 #: Windows that one replica is trained on in a round; the replicas' weights are averaged after it.
-REPLICA_WINDOWS = 16_384
+REPLICA_WINDOWS = 131_072
+#: Windows of a step, of a replica with few windows (up to MANY_WINDOWS) and with many.
+BATCH, LARGE_BATCH, MANY_WINDOWS = 64, 256, 65_536
 #: What each id adds to the hash of a word.
 ID_VALUES = mix(np.arange(1, N_IDS + 1, dtype=np.uint64)) | np.uint64(1)
 #: A word as frequent as one in HEAVY words is looked up by the tasks; there cannot be more than HEAVY of these.
@@ -205,7 +207,7 @@ class Model:
         grad["P"][:w] = dx.reshape(n, w, WIDTH).sum(axis=0)
         return loss / float(count), grad, {"E": summed(x.ravel(), dx), "G": summed(g.ravel(), dx), "T": (groups, np.array(tails, np.float32).reshape(len(groups), WIDTH * TAIL))}
 
-    def train(self, windows: np.ndarray, part: float = 0.0, share: float = 1.0, batch: int = 64, rate: float = 4e-3, row_rate: float = 0.2) -> float:
+    def train(self, windows: np.ndarray, part: float = 0.0, share: float = 1.0, batch: int = BATCH, rate: float = 4e-3, row_rate: float = 0.2) -> float:
         """One pass over windows (two ids before the first target, then targets; -1: nothing): Adam for p, Adagrad by
         rows for the tables. The rates fall over all rounds, of which this pass is the share that begins at part."""
         first, second = ({n: np.zeros_like(v) for n, v in self.p.items()} for _ in range(2))
@@ -352,7 +354,7 @@ def counted(rows: DataFrame, codes, n: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n, np.int64)
-        for batch in batches:
+        for batch in pieces(batches, "ids", 1 << 20):
             total += np.bincount(codes(*id_rows(batch["ids"])), minlength=n)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["code", "n"])
@@ -375,35 +377,40 @@ def following(slot: np.ndarray):
     return codes
 
 
-def windows_of(rows: DataFrame, share: float, seed: int) -> DataFrame:
-    """place, w: this share of all training windows, chosen by hash. Each id and end is a target of one window."""
-    limit = np.uint64(min(share, 1.0) * float((1 << 64) - 2048))
+def windows_of(rows: DataFrame, end: float, seed: int, begin: float = 0.0) -> DataFrame:
+    """place, w: all training windows whose hashes are from the share `begin` of all hashes up to the share `end` (beyond
+    1: from the first on again). Each id and end of a text is a target of one window."""
+    every_one, origin = end - begin >= 1, int(begin * (1 << 64))
+    size = np.uint64(0 if every_one else int(end * (1 << 64)) - origin)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "ids"):
+        for batch in pieces(batches, "ids", 1 << 20):
             ids, offsets = id_rows(batch["ids"])
             count = np.diff(offsets) // WINDOW + 1
             text = np.repeat(np.arange(len(count)), count)
             at = ragged(np.zeros(len(count), np.int64), count)
             name = mix(mix(np.asarray(batch["row"]).astype(np.uint64))[text] + (at.astype(np.uint64) << np.uint64(8)) + np.uint64(seed))
-            chosen = np.flatnonzero(name <= limit) if share < 1 else np.arange(len(name))
-            out = np.full((len(chosen), WINDOW + 2), -1, "<i4")
-            for i, (t, s) in enumerate(zip(text[chosen].tolist(), (at[chosen] * WINDOW).tolist())):
-                own = ids[offsets[t] : offsets[t + 1]]
-                row = np.concatenate((np.full(max(0, 2 - s), END_ID), own[max(0, s - 2) : s + WINDOW], [END_ID] if s + WINDOW > len(own) else []))
-                out[i, : len(row)] = row
-            raw = [out[i].tobytes() for i in range(len(out))]
-            yield pa.RecordBatch.from_arrays([pa.array(name[chosen].view(np.int64)), pa.array(raw, pa.binary())], names=["place", "w"])
+            chosen = np.arange(len(name)) if every_one else np.flatnonzero(name - np.uint64(origin) < size)
+            # each text with two ends before it and one after, nothing beyond
+            base = offsets[:-1] + 3 * np.arange(len(count))
+            every = np.full(len(ids) + 3 * len(count) + WINDOW + 2, END_ID, "<i4")
+            every[np.arange(len(ids)) + np.repeat(3 * np.arange(len(count)) + 2, np.diff(offsets))] = ids
+            place = (base[text[chosen]] + at[chosen] * WINDOW)[:, None] + np.arange(WINDOW + 2)
+            out = every[place]
+            out[place >= (base + np.diff(offsets) + 3)[text[chosen]][:, None]] = -1
+            ends = np.arange(len(out) + 1, dtype=np.int32) * (4 * (WINDOW + 2))
+            raw = pa.BinaryArray.from_buffers(pa.binary(), len(out), [None, pa.py_buffer(ends), pa.py_buffer(out)])
+            yield pa.RecordBatch.from_arrays([pa.array(name[chosen].view(np.int64)), raw], names=["place", "w"])
 
     return rows.select("row", "ids").mapInArrow(run, "place long, w binary")
 
 
-def fit(rows: DataFrame, rounds: int = ROUNDS, share: float = SHARE, least: int = LEAST_WINDOWS) -> Model:
-    """The model for the training rows of tokens().
+def fit(rows: DataFrame, rounds: int = ROUNDS, least: int = LEAST_WINDOWS) -> Model:
+    """The model for the training rows of tokens(), which learns from all of them.
 
-    Counts of ids and of successive ids cover all of them. The weights are fitted in rounds: each draws its share
-    of all windows, replicas that start from the same weights are trained on REPLICA_WINDOWS each, and their weights
-    are averaged, tables by how much a replica moved each row.
+    Counts of ids and of successive ids cover all of them. The weights are fitted in rounds, which share out all windows,
+    so that each is trained on once, and oftener where there are few. Replicas that start from the same weights are
+    trained on REPLICA_WINDOWS each, and their weights are averaged, tables by how much a replica moved each row.
     """
     size = F.length("ids") / 2
     n, windows = rows.agg(F.count("*"), F.coalesce(F.sum(F.floor(size / WINDOW) + 1), F.lit(0))).first()
@@ -412,10 +419,11 @@ def fit(rows: DataFrame, rounds: int = ROUNDS, share: float = SHARE, least: int
     slot = np.full(N_IDS, HEAD - 1, np.int64)
     slot[head_order(counts)] = np.arange(HEAD - 1)
     model = Model(counts, counted(rows, following(slot), HEAD * HEAD).reshape(HEAD, HEAD) if n else None)
-    share = max(share, least / max(1, windows))
-    replicas = max(1, round(min(1.0, share) * windows / REPLICA_WINDOWS))
+    share = least / max(1, windows)
+    replicas = max(1, round(min(1.0, max(1 / rounds, share)) * windows / REPLICA_WINDOWS))
     for r in range(rounds if windows else 0):
-        improve(model, windows_of(rows, share, r).repartition(replicas), replicas, r / rounds, 1 / rounds)
+        drawn = windows_of(rows, max((r + 1) / rounds, r / rounds + share), 0, r / rounds)
+        improve(model, drawn.repartition(replicas), replicas, r / rounds, 1 / rounds)
     return model
 
 
@@ -423,15 +431,16 @@ def improve(model: Model, drawn: DataFrame, replicas: int, part: float, share: f
     """One round: a replica for each partition of the windows, and their average, made in tasks of `group` replicas."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, raw = [], []
+        place, raw = [np.zeros(0, np.int64)], []
         for batch in batches:
             place.append(np.asarray(batch["place"]))
-            raw += batch["w"].to_pylist()
-        if raw:
-            order = np.argsort(np.concatenate(place), kind="stable")
+            raw.append(text_bytes(batch, "w")[0])
+        order = np.argsort(np.concatenate(place), kind="stable")
+        if n := len(order):
+            windows = np.frombuffer(b"".join(raw), "<i4").reshape(n, WINDOW + 2)[order]
             before = {k: v.copy() for k, v in model.seen.items()}
-            model.train(np.frombuffer(b"".join(raw), "<i4").reshape(len(raw), WINDOW + 2)[order], part, share)
-            out = [np.float32([len(raw)]), *(v.ravel() * np.float32(len(raw)) for v in model.p.values())]
+            model.train(windows, part, share, LARGE_BATCH if n > MANY_WINDOWS else BATCH)
+            out = [np.float32([n]), *(v.ravel() * np.float32(n) for v in model.p.values())]
             for k, v in model.rows.items():
                 moved = model.seen[k] - before[k]
                 out += [moved, (v * moved[:, None]).ravel()]
@@ -450,7 +459,9 @@ def improve(model: Model, drawn: DataFrame, replicas: int, part: float, share: f
     while replicas > 1:
         replicas = -(-replicas // group)
         found = found.repartition(replicas).mapInArrow(add, "x binary")
+    found = keep(found, "model")
     got = found.collect()  # one row at most
+    discard(found)
     if not got:
         return
     x, at = np.frombuffer(got[0].x, "<f4"), 1
@@ -516,18 +527,18 @@ def scored(rows: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
     return out.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
-def lm_scores(docs: DataFrame, folds: int = 7, fold: int = 2, rounds: int = ROUNDS, share: float = SHARE, least: int = LEAST_WINDOWS) -> DataFrame:
+def lm_scores(docs: DataFrame, folds: int = 7, fold: int = 2, rounds: int = ROUNDS, least: int = LEAST_WINDOWS) -> DataFrame:
     """Scores of all rows of docs, by what the rows outside one fold (crc32 of the id as text) teach.
 
-    The base and its counts cover every word of every training text; the model's vocabulary and the counts that its
-    outputs correct cover every id of these. Its weights come from `rounds` rounds, each over `share` of all their
-    windows (and over about `least` windows at least). A null or empty text is the end alone; a null id counts as
-    an empty text in the fold. Repeated rows are rows like others. Texts of any length are scored whole.
+    The base and its counts cover every word of every training text; the model's vocabulary, the counts that its outputs
+    correct and its weights cover every id of these: `rounds` rounds share out all their windows (and are over about
+    `least` windows each at least). A null or empty text is the end alone; a null id counts as an empty text in the fold.
+    Repeated rows are rows like others. Texts of any length are scored whole.
     """
     rows = keep(tokens(docs, in_fold(F.col("doc_id"), folds, fold)), "tokens")
     training = rows.where("not held_out")
     counts = keep(count_words(training), "words")
-    out = scored(rows, counts, fit(training, rounds, share, least))
+    out = scored(rows, counts, fit(training, rounds, least))
     discard(rows)
     return out
 

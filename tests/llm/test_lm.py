@@ -121,6 +121,22 @@ def test_all_windows_are_drawn_once(spark):
     assert some[0] != some[1] and all(0.1 * len(got) < len(x) < 0.6 * len(got) for x in some)
 
 
+def test_every_window_is_trained_on(spark, monkeypatch):
+    """Rounds share out all windows: each is in one of them, none in several but by rounding."""
+    monkeypatch.setattr(lm, "WINDOW", 4)
+    drawn = []
+    monkeypatch.setattr(lm, "improve", lambda model, windows, *a: drawn.append(Counter(bytes(r.w) for r in windows.collect())))
+    texts = [f"{i} one two three four five six seven" for i in range(300)]
+    rows = lm.tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2), lm.F.lit(False))
+    lm.fit(rows, rounds=3, least=10)
+    want = Counter(w.astype("<i4").tobytes() for w in windows([ids_of(t) for t in texts]))
+    assert len(drawn) == 3 and sum(drawn, Counter()) == want
+    assert all(0.2 < sum(x.values()) / sum(want.values()) < 0.5 for x in drawn)
+    drawn.clear()
+    lm.fit(rows, rounds=3, least=10**6)
+    assert drawn == [want] * 3
+
+
 def test_counts_of_successive_ids():
     ids, offsets = np.array([5, 7, 5, 9], np.uint16), np.array([0, 3, 3, 4])
     slot = np.arange(lm.N_IDS) % lm.HEAD
