@@ -36,7 +36,8 @@ def lookup(records: DataFrame, wanted: DataFrame, pos: str = "pos") -> DataFrame
     key or has the same digits; found is null where nothing fits.
 
     All tiers are hash joins: on the number, on its digits, and for keys inside numbers on all substrings of the
-    numbers that have the length of a key.
+    numbers that have the length of a key. Substrings travel with the place of their first record alone; the records
+    named in the end are fetched by their places.
     """
     keys = wanted.select("key").distinct().withColumns({"k": F.lower(F.trim("key"))}).withColumn("d", digits(F.col("k")))
     store = records.select(F.lower(F.coalesce("record_no", F.lit(""))).alias("r"), F.col("record_no").alias("found"), F.col(pos).alias("p")).withColumn("rd", digits(F.col("r")))
@@ -45,11 +46,12 @@ def lookup(records: DataFrame, wanted: DataFrame, pos: str = "pos") -> DataFrame
     open_ = keys.join(exact.select("key"), "key", "left_anti").where("k <> ''")
     same = open_.where("d <> ''").join(store, F.col("d") == F.col("rd"))
     lengths = open_.agg(F.collect_set(F.length("k")).alias("ns"))  # one row, of as many values as keys have lengths
-    parts = store.join(F.broadcast(lengths)).select("found", "p", "r", F.explode("ns").alias("n")).where("n <= length(r)")
-    parts = parts.withColumn("part", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("r") - F.col("n") + 1), lambda i: F.substring(F.col("r"), i, F.col("n"))))))
+    parts = store.join(F.broadcast(lengths)).select("p", "r", F.explode("ns").alias("n")).where("n <= length(r)")
+    parts = parts.select("p", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("r") - F.col("n") + 1), lambda i: F.substring(F.col("r"), i, F.col("n"))))).alias("part"))
     # the first record of each substring is all that can be found
-    parts = parts.groupBy("part").agg(F.min_by("found", "p").alias("found"), F.min("p").alias("p"))
-    within = open_.join(parts, F.col("k") == F.col("part"))
+    parts = parts.groupBy("part").agg(F.min("p").alias("p"))
+    within = open_.join(parts, F.col("k") == F.col("part")).select("key", "k", "p")
+    within = within.join(store.select("p", "r", "found"), "p").where(F.contains("r", "k"))  # others may have the same place
     loose = first(same.select("key", "found", "p").union(within.select("key", "found", "p")), 2)
     return wanted.join(exact.unionByName(loose), "key", "left")
 

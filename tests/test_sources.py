@@ -102,3 +102,13 @@ def test_pages_are_taken_apart_once(spark):
     out = html.key_values(spark.createDataFrame([(1, page), (2, None), (3, "")], "page_id int, html string")).select("page_id", F.explode("record").alias("key", "value"))
     assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
     assert [tuple(r) for r in out.collect()] == [(1, "a_b", "2")]
+
+
+def test_lookup_deals_substrings_without_their_records(spark):
+    """Only the place of a substring's first record is shuffled with it; equal places do not mix up records."""
+    store = spark.createDataFrame([(5, "L_I@61001"), (5, "X_9"), (1, None), (7, "L_I@61002")], "pos long, record_no string")
+    asked = spark.createDataFrame([("i@6100",), ("x_",), ("61002",), ("zz",)], "key string")
+    out = records.lookup(store, asked)
+    parts = [line for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate [part" in line]
+    assert parts and not any("min_by" in line or "found" in line for line in parts)
+    assert {r.key: (r.found, r.tier) for r in out.collect()} == {"i@6100": ("L_I@61001", 2), "x_": ("X_9", 2), "61002": ("L_I@61002", 2), "zz": (None, None)}
