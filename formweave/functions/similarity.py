@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,11 @@ def ratio(a: str, b: str) -> float:
     return 200.0 * common_length(a, b) / (len(a) + len(b)) if a or b else 100.0
 
 
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (sizes[0] numbers), then those from starts[1] on, and so forth."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
 def window_ratios(forms: list[tuple[list[str], list[str]]], longest: list[list[int]]) -> list[list[np.ndarray]]:
     """For each form (values, words) and value x a table t: t[n, e] is the ratio of x and the n words before e, joined
     by a space, up to its `longest` n; -inf where there are none.
@@ -41,62 +47,62 @@ def window_ratios(forms: list[tuple[list[str], list[str]]], longest: list[list[i
     for each row of the matrix; where a word ends, the row tells the common length of the window so far. Values too
     long for that go one by one.
     """
-    tables = [[np.full((k + 1, len(words) + 1), -np.inf) for k in sizes] for (_, words), sizes in zip(forms, longest)]
-    values, value_of, starts, ends, slots = {}, [], [], [], []
-    text, at = [], 0
-    for f, (asked, words) in enumerate(forms):
-        begin = at + np.concatenate(([0], np.cumsum([len(w) + 1 for w in words]))).astype(np.int64)
-        text.append(" ".join(words) + " ")
-        at += len(text[-1])
-        for i, x in enumerate(asked):
-            table = tables[f][i]
-            table[0] = 0.0 if x else 100.0
-            if len(x) > 64:
-                for k in range(1, min(len(table), len(words) + 1)):
-                    table[k, k:] = [ratio(x, " ".join(words[e - k : e])) for e in range(k, len(words) + 1)]
-                continue
-            v = values.setdefault(x, len(values))
-            for s in range(len(words)):
-                value_of.append(v)
-                starts.append(begin[s])
-                ends.append(begin[min(len(words), s + len(table) - 1)] - 1)
-                slots.append((f, i, s))
-    if not slots:
+    form = np.repeat(np.arange(len(forms)), [len(asked) for asked, _ in forms])
+    asked = [x for values, _ in forms for x in values]
+    m = np.array([len(words) for _, words in forms], np.int64)
+    most, wide = np.fromiter(chain.from_iterable(longest), np.int64, len(asked)), m[form] + 1
+    base = np.concatenate(([0], np.cumsum((most + 1) * wide)))
+    flat = np.full(int(base[-1]), -np.inf)
+    flat[ragged(base[:-1], wide)] = np.repeat(np.array([0.0 if x else 100.0 for x in asked]), wide)
+    one = (flat[s:e].reshape(-1, w) for s, e, w in zip(base[:-1].tolist(), base[1:].tolist(), wide.tolist()))
+    tables = [list(islice(one, len(values))) for values, _ in forms]
+    values, value_of = {}, np.full(len(asked), -1, np.int64)
+    for q, x in enumerate(asked):
+        if len(x) > 64:
+            words, table = forms[form[q]][1], flat[base[q] : base[q + 1]].reshape(-1, wide[q])
+            for k in range(1, min(len(table), len(words) + 1)):
+                table[k, k:] = [ratio(x, " ".join(words[e - k : e])) for e in range(k, len(words) + 1)]
+        else:
+            value_of[q] = values.setdefault(x, len(values))
+    short = np.flatnonzero(value_of >= 0)
+    # a slot is a value and a word at which windows begin
+    slot = np.repeat(short, m[form[short]])
+    if not len(slot):
         return tables
-    letters, codes = np.unique(np.frombuffer("".join(text).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
-    word_end = np.zeros(len(codes) + 1, bool)
-    word_no = np.zeros(len(codes) + 1, np.int64)
-    at = 0
-    for _, words in forms:
-        e = at + np.cumsum([len(w) + 1 for w in words]) - 2 if words else np.zeros(0, np.int64)
-        word_end[e], word_no[e] = True, np.arange(1, len(words) + 1)
-        at += sum(map(len, words)) + max(1, len(words))
-    masks = np.zeros((len(values), len(letters)), np.uint64)
-    for x, v in values.items():
-        cp = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32)
-        c = np.searchsorted(letters, cp)
-        for i in np.flatnonzero((c < len(letters)) & (letters[np.minimum(c, len(letters) - 1)] == cp)).tolist():
-            masks[v, c[i]] |= np.uint64(1 << i)
-    size = np.array([len(x) for x in values], np.int64)
-    full = np.array([(1 << len(x)) - 1 for x in values], np.uint64)
-    value_of, starts, ends = np.array(value_of), np.array(starts), np.array(ends)
+    word = ragged(np.zeros(len(short), np.int64), m[form[short]])
+    every = [w for _, words in forms for w in words]
+    begin = np.concatenate(([0], np.cumsum(np.fromiter(map(len, every), np.int64, len(every)) + 1)))
+    first = (np.cumsum(m) - m)[form[slot]]
+    starts, ends = begin[first + word], begin[first + np.minimum(m[form[slot]], word + most[slot])] - 1
+    points = lambda t: np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+    letters, codes = np.unique(points(" ".join([*every, ""])), return_inverse=True)
+    word_no = np.zeros(len(codes), np.int64)  # where a word ends, its number in the form from 1
+    word_no[begin[1:] - 2] = ragged(np.ones(len(m), np.int64), m)
+    size = np.fromiter(map(len, values), np.int64, len(values))
+    cp = points("".join(values))
+    c = np.minimum(np.searchsorted(letters, cp), len(letters) - 1)
+    masks, same = np.zeros(len(values) * len(letters), np.uint64), letters[c] == cp
+    bits = np.uint64(1) << ragged(np.zeros(len(size), np.int64), size).astype(np.uint64)
+    np.bitwise_or.at(masks, (np.repeat(np.arange(len(size)) * len(letters), size) + c)[same], bits[same])
+    full = np.array([(1 << n) - 1 for n in size.tolist()], np.uint64)
     order = np.argsort(starts - ends, kind="stable")  # longest first, so that those still going are the first ones
-    value_of, starts, ends = value_of[order], starts[order], ends[order]
+    slot, word, starts, ends = slot[order], word[order], starts[order], ends[order]
+    own = value_of[slot]
+    row_of, full, size = own * len(letters), full[own], size[own]
     going = np.searchsorted(starts - ends, -np.arange(int((ends - starts).max(initial=0))), "left")
     row = np.full(len(order), ~np.uint64(0))
-    found: list[tuple[np.ndarray, ...]] = []
+    place = base[slot] - word * wide[slot]  # where in `flat` the window of no words would end before the form
     for j, n in enumerate(going.tolist()):
-        place = starts[:n] + j
-        v, u = row[:n], row[:n] & masks[value_of[:n], codes[place]]
+        at = starts[:n] + j
+        v = row[:n]
+        u = v & masks[row_of[:n] + codes[at]]
         row[:n] = (v + u) | (v - u)
-        done = np.flatnonzero(word_end[place])
+        e = word_no[at]
+        done = np.flatnonzero(e)
         if len(done):
-            which = value_of[done]
-            common = size[which] - np.bitwise_count(row[done] & full[which])
-            found.append((order[done], word_no[place[done]], 200.0 * common / (size[which] + j + 1)))
-    for item, e, r in zip(*(np.concatenate(x).tolist() for x in zip(*found))) if found else ():
-        f, i, s = slots[item]
-        tables[f][i][e - s, e] = r
+            e = e[done]
+            common = size[done] - np.bitwise_count(row[done] & full[done])
+            flat[place[done] + e * wide[slot[done]] + e] = 200.0 * common / (size[done] + j + 1)
     return tables
 
 

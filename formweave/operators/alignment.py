@@ -21,6 +21,8 @@ RECOVER_ONE, RECOVER_MORE = 40.0, 55.0
 LOCATED = [f for f in FIELDS if f[3]]
 #: Forms that are aligned together.
 AT_ONCE = 256
+#: Places of tables of forms whose chains are found together.
+CELLS = 1 << 20
 #: Known values that a kernel may hold; more are refused rather than sent to every task.
 MOST_LISTED = 100_000
 
@@ -31,27 +33,36 @@ def best_chain(tables: list[np.ndarray], skip: bool) -> list[tuple[int, int]]:
     With skip, words between fields may be left out; otherwise the runs cover all words, or are all empty where
     that cannot be. Of equal totals the shortest run, the earliest place before it and the first end win.
     """
-    m = tables[0].shape[1] - 1
-    total = np.zeros(m + 1) if skip else np.where(np.arange(m + 1) == 0, 0.0, -np.inf)
+    return best_chains([t[None] for t in tables], skip)[0]
+
+
+def best_chains(tables: list[np.ndarray], skip: bool) -> list[list[tuple[int, int]]]:
+    """best_chain() of many forms: tables[i][form, n, e], with -inf beyond a form's own words (then only with skip)."""
+    forms, m = len(tables[0]), tables[0].shape[2] - 1
+    each, places = np.arange(forms)[:, None], np.arange(m + 1)
+    total = np.zeros((forms, m + 1)) if skip else np.broadcast_to(np.where(places == 0, 0.0, -np.inf), (forms, m + 1))
     steps = []
     for gain in tables:
-        before, at = total, np.arange(m + 1)
+        before, at = total, np.broadcast_to(places, total.shape)
         if skip:
-            before = np.maximum.accumulate(total)
-            at = np.maximum.accumulate(np.where(np.concatenate(([True], total[1:] > before[:-1])), np.arange(m + 1), 0))
+            before = np.maximum.accumulate(total, axis=1)
+            at = np.zeros(total.shape, np.int64)
+            at[:, 1:] = np.where(total[:, 1:] > before[:, :-1], places[1:], 0)
+            at = np.maximum.accumulate(at, axis=1)
         options = np.full(gain.shape, -np.inf)
-        for n in range(min(len(gain), m + 1)):
-            options[n, n:] = before[: m + 1 - n] + gain[n, n:]
-        length = options.argmax(axis=0)
+        for n in range(min(gain.shape[1], m + 1)):
+            np.add(before[:, : m + 1 - n], gain[:, n, n:], out=options[:, n, n:])
+        length = options.argmax(axis=1)
         steps.append((length, at))
-        total = options[length, np.arange(m + 1)]
-    end = int(total.argmax()) if skip else m
+        total = options[each, length, places]
+    each = each[:, 0]
+    end = total.argmax(axis=1) if skip else np.full(forms, m)
     runs = []
     for length, at in reversed(steps):
-        begin = end - int(length[end])
-        runs.append((begin, end))
-        end = int(at[begin])
-    return runs[::-1]
+        begin = end - length[each, end]
+        runs.append(list(zip(begin.tolist(), end.tolist())))
+        end = at[each, begin]
+    return [list(of) for of in zip(*reversed(runs))]
 
 
 def align(expected: list[str], words: list[str]) -> list[tuple[int, int]]:
@@ -63,13 +74,28 @@ def align_all(forms: list[tuple[list[str], list[str]]]) -> list[list[tuple[int,
     """align() of many forms at once."""
     sizes = [[max(1, len(x.split())) for x in expected] for expected, _ in forms]
     tables = window_ratios(forms, [[n + SLACK for n in of] for of in sizes])
-    return [located(t, n, len(words)) for t, n, (_, words) in zip(tables, sizes, forms)]
-
-
-def located(tables: list[np.ndarray], sizes: list[int], m: int) -> list[tuple[int, int]]:
-    if not tables:
-        return []
-    runs = best_chain(tables, skip=True)
+    like: dict[tuple[int, int], list[int]] = {}  # forms of as many fields and about as many words
+    for f, (expected, words) in enumerate(forms):
+        if expected:
+            like.setdefault((len(expected), len(words).bit_length()), []).append(f)
+    out: list[list[tuple[int, int]]] = [[] for _ in forms]
+    for (n, _), same in like.items():
+        shape = max(max(sizes[f]) for f in same) + SLACK + 1, max(len(forms[f][1]) for f in same) + 1
+        step = max(1, CELLS // (n * shape[0] * shape[1]))
+        for some in (same[i : i + step] for i in range(0, len(same), step)):
+            stacked = [np.full((len(some), *shape), -np.inf) for _ in range(n)]
+            for j, f in enumerate(some):
+                for stack, t in zip(stacked, tables[f]):
+                    stack[j, : t.shape[0], : t.shape[1]] = t
+            for f, runs in zip(some, best_chains(stacked, skip=True)):
+                out[f] = located(runs, tables[f], sizes[f], len(forms[f][1]))
+    return out
+
+
+def located(runs: list[tuple[int, int]], tables: list[np.ndarray], sizes: list[int], m: int) -> list[tuple[int, int]]:
+    """The runs of best_chain(), and words for values left without any where some between their neighbours are alike."""
+    if all(e > b for b, e in runs):
+        return runs
     taken = np.zeros(m + 1, bool)
     for b, e in runs:
         taken[b:e] = True
@@ -94,7 +120,9 @@ def align_forms(forms: DataFrame, expected: Column, text: Column, keys: list[str
     stand in the text. Each form is aligned by itself, in time that grows with its words, so forms of any number
     spread over tasks.
     """
-    rows = forms.withColumns({
+    # A form takes far longer than its bytes tell, so forms are dealt to all tasks, however few files they came from.
+    dealt = forms.repartition(int(forms.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = dealt.withColumns({
         "_values": F.transform(F.coalesce(expected, F.array().cast("array<string>")), lambda v: collapse(F.coalesce(v, F.lit("")))),
         "_words": tokens(collapse(F.coalesce(text, F.lit("")))),
         "_shown": tokens(F.coalesce(text, F.lit(""))),

@@ -5,6 +5,7 @@ from formweave.catalog import KEYS, field_catalog
 from formweave.functions.scoring import field_score, score, score_words
 from formweave.functions.similarity import common_length, differences, ratio
 from formweave.functions.text import tokens
+from formweave.operators import alignment
 from formweave.operators.alignment import LOCATED, align, align_forms, best_chain, segment, segment_forms
 from pyspark.sql import functions as F
 
@@ -126,3 +127,22 @@ def test_forms_of_one_file_are_dealt_to_all_tasks(spark):
     one = spark.createDataFrame([(1, "L_I@60001")], "form_id int, text string").coalesce(1)
     plan = segment_forms(one, "text")._jdf.queryExecution().optimizedPlan().toString()
     assert f"Repartition {spark.conf.get('spark.sql.shuffle.partitions')}, true" in plan
+
+
+def test_many_chains_at_once_equal_one_by_one(monkeypatch):
+    """Forms of all sizes are put in common tables, and none goes through best_chain() alone."""
+    rng = random.Random(3)
+    vocab = ["ann", "lee", "12", "oak", "st.", "\u00c9t\u00e9", "salem", "P-8929", "\U0001f642b"]
+    some = lambda n: [rng.choice(vocab) for _ in range(n)]
+    forms = [([" ".join(some(rng.choice([1, 1, 2, 25]))) for _ in range(rng.randrange(5))], some(rng.choice([0, 1, 3, 9, 40]))) for _ in range(150)]
+    want = [alignment.align_all([f])[0] for f in forms]
+    monkeypatch.setattr(alignment, "best_chain", None)
+    assert alignment.align_all(forms) == want
+    monkeypatch.setattr(alignment, "CELLS", 300)
+    assert alignment.align_all(forms) == want
+
+
+def test_forms_of_one_file_are_aligned_by_all_tasks(spark):
+    df = spark.createDataFrame([(i, "ann lee") for i in range(64)], "form_id long, text string").coalesce(1)
+    out = align_forms(df, F.array(F.lit("lee")), F.col("text"), ["ph_name"])
+    assert out.select(F.spark_partition_id().alias("p")).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
