@@ -89,10 +89,10 @@ class Model:
         flat = t["x"].reshape(-1, WIDTH)
         t["q"], t["k"], t["v"] = np.split((flat @ np.concatenate((p["q"] * np.float32(WIDTH**-0.5), p["k"], p["v"]), axis=1)).reshape(n, w, -1), 3, axis=2)
         s = t["q"] @ t["k"].transpose(0, 2, 1)
-        s += np.triu(np.full((w, w), -1e9, np.float32), 1)
-        s -= s.max(axis=2, keepdims=True)
+        np.clip(s, -LARGEST, LARGEST, out=s)
         np.exp(s, out=s)
-        s /= s.sum(axis=2, keepdims=True)
+        s *= np.tri(w, dtype=np.float32)
+        s *= 1 / (s @ ONES[:w, None])
         t["a"], t["z"] = s, s @ t["v"]
         t["y"] = t["x"] + t["z"] @ p["o"]
         t["r"] = np.maximum(t["y"] @ p["h"] + p["hb"], 0)
@@ -150,30 +150,38 @@ class Model:
         t, some = self.forward(x, g), np.flatnonzero(wanted.ravel())
         grad = {name: np.zeros_like(v) for name, v in p.items()}
         last, target = self.slot[x.ravel()[some]], y.ravel()[some]
+        order = np.argsort((self.slot[target] // MEMBERS).astype(np.int16), kind="stable")  # by cluster
+        some, last, target = some[order], last[order], target[order]
         place = self.slot[target]
-        out, count, rows = t["out"][some], np.float32(max(1, len(some))), np.arange(len(some))
+        out, count = t["out"][some], np.float32(max(1, len(some)))
         cluster, member = np.divmod(place, MEMBERS)
+        edges = np.searchsorted(cluster, np.arange(CLUSTERS + 1)).tolist()
 
         def step(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
             """Gradient of the logits; adds to the loss."""
             nonlocal loss
-            logits -= logits.max(axis=1, keepdims=True)
+            np.clip(logits, -LARGEST, LARGEST, out=logits)
             np.exp(logits, out=logits)
-            logits /= logits.sum(axis=1, keepdims=True)
-            here = np.arange(len(at)), at
-            loss -= float(np.log(logits[here] + 1e-30).sum())
-            logits[here] -= 1
-            logits /= count
+            here, whole = np.arange(len(at)), logits @ ONES[: logits.shape[1]]
+            own = logits[here, at]
+            loss -= float(np.log(own / whole + 1e-30).sum())
+            whole *= count
+            logits *= (1 / whole)[:, None]
+            logits[here, at] -= 1 / count
             return logits
 
         loss = 0.0
         c = step(out @ p["c"] + self.bias[0][last], cluster)
         grad["c"], d = out.T @ c, c @ p["c"].T
-        for k in np.unique(cluster).tolist():
-            i = np.flatnonzero(cluster == k)
-            m = step(out[i] @ p["m"][k] + self.bias[1][last[i] * CLUSTERS + k], member[i])
-            grad["m"][k] = out[i].T @ m
-            d[i] += m @ p["m"][k].T
+        bias, m = self.bias[1][last * CLUSTERS + cluster], np.empty((len(some), MEMBERS), out.dtype)
+        parts = [(k, slice(*edges[k : k + 2])) for k in range(CLUSTERS) if edges[k] < edges[k + 1]]
+        for k, i in parts:
+            np.matmul(out[i], p["m"][k], out=m[i])
+        m += bias
+        m = step(m, member)
+        for k, i in parts:
+            grad["m"][k] = out[i].T @ m[i]
+            d[i] += m[i] @ p["m"][k].T
         rare = np.flatnonzero(place == HEAD - 1)
         groups, tails = np.zeros(0, np.int64), []
         if len(rare):
@@ -202,8 +210,9 @@ class Model:
         ds = t["a"] * (da - (da * t["a"]).sum(axis=2, keepdims=True))
         dq, dk = ds @ t["k"] * np.float32(WIDTH**-0.5), ds.transpose(0, 2, 1) @ t["q"]
         xs = flat(t["x"])
-        grad["q"], grad["k"], grad["v"] = (xs.T @ flat(v) for v in (dq, dk, dv))
-        dx = dy + flat(dq) @ p["q"].T + flat(dk) @ p["k"].T + flat(dv) @ p["v"].T
+        every = np.concatenate((flat(dq), flat(dk), flat(dv)), axis=1)
+        grad["q"], grad["k"], grad["v"] = np.split(xs.T @ every, 3, axis=1)
+        dx = dy + every @ np.concatenate((p["q"], p["k"], p["v"]), axis=1).T
         grad["P"][:w] = dx.reshape(n, w, WIDTH).sum(axis=0)
         return loss / float(count), grad, {"E": summed(x.ravel(), dx), "G": summed(g.ravel(), dx), "T": (groups, np.array(tails, np.float32).reshape(len(groups), WIDTH * TAIL))}
 
@@ -274,8 +283,8 @@ def chance(logits: np.ndarray, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def summed(rows: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct row numbers, and the sum of d for each."""
-    order = np.argsort(rows, kind="stable")
+    """Distinct row numbers (below 2^16), and the sum of d for each."""
+    order = np.argsort(rows.astype(np.uint16), kind="stable")  # by radix
     rows = rows[order]
     at = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
     return rows[at], np.add.reduceat(d[order], at, axis=0)
