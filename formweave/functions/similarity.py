@@ -106,22 +106,41 @@ def window_ratios(forms: list[tuple[list[str], list[str]]], longest: list[list[i
     return tables
 
 
+def ratios(left: pa.Array, right: pa.Array) -> pa.Array:
+    """ratio() of the strings of two arrays; null where either is."""
+    same = pc.equal(left, right)  # null where either is
+    some = np.flatnonzero(np.asarray(pc.fill_null(pc.invert(same), False)))  # only what differs is compared
+    values = np.full(len(left), 100.0)
+    values[some] = [ratio(a, b) for a, b in zip(left.take(pa.array(some)).to_pylist(), right.take(pa.array(some)).to_pylist())]
+    return pa.array(values, mask=np.asarray(same.is_null()))
+
+
 def with_ratio(df: DataFrame, left: str, right: str, name: str = "ratio") -> DataFrame:
     """df with the ratio of two string columns (null where either is null), for strings of any length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same = pc.equal(batch[left], batch[right])  # null where either is
-            some = np.flatnonzero(np.asarray(pc.fill_null(pc.invert(same), False)))  # only what differs is compared
-            values = np.full(batch.num_rows, 100.0)
-            pairs = zip(batch[left].take(pa.array(some)).to_pylist(), batch[right].take(pa.array(some)).to_pylist())
-            values[some] = [ratio(a, b) for a, b in pairs]
-            column = pa.array(values, mask=np.asarray(same.is_null()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, ratios(batch[left], batch[right])], names=[*batch.schema.names, name])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
+def with_ratios(df: DataFrame, left: str, right: str, name: str = "ratios") -> DataFrame:
+    """with_ratio() of two columns of arrays of strings, of one size in each row: an array of ratios."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = pa.ListArray.from_arrays(pc.cast(offsets(batch[left]), pa.int32()), ratios(batch[left].flatten(), batch[right].flatten()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, name])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))]))
+
+
+def offsets(lists: pa.Array) -> pa.Array:
+    """Where each list begins among all values of lists that are not null, and where the last one ends."""
+    return pa.array(np.concatenate(([0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)))))
+
+
 def differences(expected: str, found: str) -> list[dict]:
     """Runs of `found`, in order, and whether each differs from what was expected. Separators never do."""
     fold = lambda s: s.upper().translate(SHOWN_ALIKE) if len(s.upper()) == len(s) else s

@@ -29,12 +29,13 @@ def times(inside, number):
     return ((F.length(inside) - F.length(F.replace(inside, number, F.lit("")))) / F.length(number)).cast("int")
 
 
-def match_by_number(texts: DataFrame, records: DataFrame, pos: str = "pos", whole: bool = False) -> DataFrame:
-    """texts (id, text) with record_no and n: the record whose digits stand most often in the header, twice at least.
+def best_numbers(texts: DataFrame, records: DataFrame, pos: str = "pos", whole: bool = False) -> DataFrame:
+    """id, record_no and n for texts (id, text) in whose header the digits of a record stand twice at least: the record
+    whose digits stand most often.
 
     Of equals the first in store order counts; with `whole` the longest number, as 60016 also stands wherever 160016 does,
-    and only then the first. Instead of comparing all pairs, the header's digit runs of the
-    lengths that records have are joined with the numbers by hash; the runs that meet are then counted exactly.
+    and only then the first. Instead of comparing all pairs, the header's digit runs of the lengths that records have are
+    counted, and those that stand often enough joined with the numbers by hash.
     """
     numbers = records.select("record_no", F.col(pos).alias("p"), digits(F.coalesce("record_no", F.lit(""))).alias("d")).where("d <> ''")
     numbers = numbers.groupBy("d").agg(F.min_by("record_no", "p").alias("record_no"), F.min("p").alias("p"))
@@ -42,10 +43,18 @@ def match_by_number(texts: DataFrame, records: DataFrame, pos: str = "pos", whol
     heads = texts.select("id", header_digits(F.coalesce("text", F.lit(""))).alias("h"))
     runs = heads.join(F.broadcast(lengths.agg(F.array_sort(F.collect_set("n")).alias("ns"))))
     runs = runs.select("id", "h", F.explode("ns").alias("n")).where("length(h) >= 2 * n")
-    runs = runs.select("id", "h", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("h") - F.col("n") + 1), lambda i: F.substring(F.col("h"), i, F.col("n"))))).alias("d"))
-    met = runs.join(numbers, "d").withColumn("n", times(F.col("h"), F.col("d"))).where(F.col("n") >= LEAST_TIMES)
-    best = met.groupBy("id").agg(F.max_by(F.struct("record_no", "n"), F.struct("n", F.length("d") if whole else F.lit(0), -F.col("p"))).alias("b"))
-    return texts.join(best.select("id", "b.record_no", "b.n"), "id", "left")
+    # A run stands twice where it comes again after its end.
+    at = F.sequence(F.lit(1), F.length("h") - 2 * F.col("n") + 1)
+    again = F.filter(at, lambda i: F.call_function("locate", F.substring(F.col("h"), i, F.col("n")), F.col("h"), i + F.col("n")) > 0)
+    runs = runs.select("id", "h", F.explode(F.array_distinct(F.transform(again, lambda i: F.substring(F.col("h"), i, F.col("n"))))).alias("d"))
+    runs = runs.select("id", "d", times(F.col("h"), F.col("d")).alias("n")).where(F.col("n") >= LEAST_TIMES)
+    best = runs.join(numbers, "d").groupBy("id").agg(F.max_by(F.struct("record_no", "n"), F.struct("n", F.length("d") if whole else F.lit(0), -F.col("p"))).alias("b"))
+    return best.select("id", "b.record_no", "b.n")
+
+
+def match_by_number(texts: DataFrame, records: DataFrame, pos: str = "pos", whole: bool = False) -> DataFrame:
+    """texts (id, text) with record_no and n of best_numbers(), null where there is none."""
+    return texts.join(best_numbers(texts, records, pos, whole), "id", "left")
 
 
 def nearest_values(words: DataFrame, vocabulary: DataFrame, short: bool = False) -> DataFrame:

@@ -203,10 +203,15 @@ def open_halves(parts: DataFrame) -> DataFrame:
     return left.join(cols, "_at").drop("_at")
 
 
+def tied_parts(parts: DataFrame) -> DataFrame:
+    """The parts (folder, pos, text, col) that go on with an earlier one, as _at, struct(folder, pos), with the pos of that
+    one as group_pos. No text takes part in the stitching but its kind."""
+    kinds = classify(parts.select("folder", F.col("pos").cast("long").alias("pos"), "text", "col")).select("folder", "pos", "col", "kind", F.lit("").alias("text"))
+    return _joined(kinds.where("kind in ('partial', 'continuation')")).where("state = 'joined'").select(F.struct("folder", "pos").alias("_at"), F.col("head").alias("group_pos"))
+
+
 def group_members(parts: DataFrame) -> DataFrame:
     """parts (folder, pos, text, col), blank ones included, with the group that each belongs to: the pos of its first
-    part. Blank parts are groups of their own. No text takes part in the stitching but its kind."""
-    kinds = classify(parts.select("folder", F.col("pos").cast("long").alias("pos"), "text", "col")).select("folder", "pos", "col", "kind", F.lit("").alias("text"))
-    ties = _joined(kinds.where("kind in ('partial', 'continuation')")).where("state = 'joined'").select(F.struct("folder", "pos").alias("_at"), F.col("head").alias("group_pos"))
+    part. Blank parts are groups of their own."""
     every = parts.select("folder", F.col("pos").cast("long").alias("pos"), F.struct("folder", F.col("pos").cast("long").alias("pos")).alias("_at"))
-    return every.join(ties, "_at", "left").select("folder", "pos", F.coalesce("group_pos", "pos").alias("group_pos"))
+    return every.join(tied_parts(parts), "_at", "left").select("folder", "pos", F.coalesce("group_pos", "pos").alias("group_pos"))

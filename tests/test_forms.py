@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from formweave.functions import registered
-from formweave.functions.similarity import differences, ratio, window_ratios
-from formweave.operators import forms, records, verdict
+from formweave.functions.similarity import differences, ratio, window_ratios, with_ratios
+from formweave.operators import forms, matching, records, verdict
 from formweave.sources import snapshots
 from formweave.streaming.carry import normal_carry
 
@@ -92,3 +92,53 @@ def test_windows_of_no_words_and_long_values():
 
 def test_carry_is_made_normal():
     assert normal_carry(["a", ["b", 0.2], ["c"]]) == [(-3, "a", 0.5), (-2, "b", 0.2), (-1, "c", 0.5)]
+
+
+def test_validated_forms_are_aligned_once(spark, monkeypatch):
+    """Field rows and forms come from one judging of each form, and the summary of a form is that of its field rows."""
+    known = spark.createDataFrame([(i, f"L_I@{60000 + i}", "Ann Lee", "OR", "500$", "" if i % 2 else "10$", "note") for i in range(20)], "pos int, record_no string, ph_name string, ph_state string, premium string, discount string, remark string")
+    got = parts(spark, [(1, i, 0.2, "a", f"L_I@{60000 + i}\nL_I@{60000 + i}\n{'Ann Lee' if i % 3 else 'Bob Rex'} {'OR' if i % 4 else ''} 5{i % 2}0$ 10$ TR12AN34SA56CT") for i in range(20)])
+    aligned, align = spark.sparkContext.accumulator(0), forms.align_forms
+
+    def counted(*args):
+        def run(batches):
+            for b in batches:
+                aligned.add(b.num_rows)
+                yield b
+
+        out = align(*args)
+        return out.mapInArrow(run, out.schema)
+
+    monkeypatch.setattr(forms, "align_forms", counted)
+    found, results = forms.validate(got, known)
+    rows = {r.form_id: r for r in found.collect()}
+    each = results.collect()
+    assert aligned.value == 20 == len(rows) and len(each) == 20 * len(forms.KEYS)
+    for s in verdict.form_summary(results).collect():
+        r = rows[s.form_id]
+        assert (r.checked, r.matched_fields, r.mismatched, r.overall_score, r.verdict) == (s.checked, s.matched, s.mismatched, s.overall_score, s.verdict)
+    assert len({r.overall_score for r in rows.values()}) > 2
+    assert {(r.expected, r.found, r.status, r.score, r.on_form) for r in each if r.field == "remark"} == {("note", "", "not_on_form", None, False)}
+    assert {(r.expected, r.found, r.status, r.score) for r in each if r.field == "agent_city"} == {(None, "", "match", 100.0)}
+
+
+def test_numbers_are_counted_before_they_meet_records(spark):
+    """Only runs of digits that stand twice, without overlaps, go to the join; what is found stays the same."""
+    heads = {1: "11111 1111", 2: "11111 11111", 3: "60016 060016", 4: "160016\n160016\n99999 99999", 5: "6001 60016 001", 6: None, 7: "12312312312"}
+    numbers = ["11111", "60016", "160016", "99999", "123", "231", "1111"]
+    texts, store = spark.createDataFrame(list(heads.items()), "id int, text string"), spark.createDataFrame(list(enumerate(f"L_I@{n}" for n in numbers)), "pos int, record_no string")
+    for whole in (False, True):
+        want = {}
+        for i, h in heads.items():
+            d = "".join(c for line in (h or "").split("\n")[:2] for c in line if c.isdigit())
+            best = max(((d.count(n), len(n) if whole else 0, -p, n) for p, n in enumerate(numbers) if d.count(n) >= 2), default=None)
+            want[i] = (f"L_I@{best[3]}", best[0]) if best else (None, None)
+        assert {r.id: (r.record_no, r.n) for r in matching.match_by_number(texts, store, whole=whole).collect()} == want
+    plan = matching.best_numbers(texts, store)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("locate(") > plan.index("Join Inner") and "length(h" not in plan[: plan.index("Join Inner")]
+
+
+def test_ratios_of_lists(spark):
+    rows = [(1, ["ab", "same", None], ["ax", "same", "y"]), (2, [], []), (3, None, None), (4, ["", "abc"], ["", ""])]
+    got = with_ratios(spark.createDataFrame(rows, "i int, a array<string>, b array<string>").coalesce(1), "a", "b", "r")
+    assert {r.i: r.r for r in got.collect() if r.a} == {1: [ratio("ab", "ax"), 100.0, None], 4: [100.0, 0.0]}
